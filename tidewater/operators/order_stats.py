@@ -66,10 +66,8 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
     data = raw.where(F.col("__v").isNotNull())
     fr = _fractions(buckets)
 
-    # level 0: one bounded sketch per group, merged map-side
-    stats = cut_lineage(raw.groupBy(*keys).agg(
-        F.count("*").alias("__nall"), F.count("__v").alias("__n"),
-        F.percentile_approx("__v", fr, accuracy).alias("__splits")))
+    # level 0: counts per group (map-side partial aggregate)
+    stats = cut_lineage(raw.groupBy(*keys).agg(F.count("*").alias("__nall"), F.count("__v").alias("__n")))
     if callable(targets):
         tg = stats.select(*keys, "__n", F.explode(F.array_distinct(
             targets(F.col("__n"), F.col("__nall")))).alias("__k"))
@@ -77,6 +75,14 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
         tg = join_null_safe(targets.select(*keys, "__k").distinct(), stats.select(*keys, "__n"), keys, "inner")
     tg = tg.where((F.col("__k") >= 0) & (F.col("__k") < F.col("__n")))
 
+    largest = stats.agg(F.max("__n")).first()[0]
+    if largest is None or largest <= max_exact_rows:
+        # every group is small enough to rank its distinct values directly
+        return _rank_direct(data, tg, keys)
+
+    # large groups: one bounded sketch per group, merged map-side
+    sk = cut_lineage(data.groupBy(*keys).agg(F.percentile_approx("__v", fr, accuracy).alias("__splits")))
+    stats = join_null_safe(stats, sk, keys, "inner")
     bk = join_null_safe(data, broadcast_if_small(stats.select(*keys, "__splits")), keys, "inner") \
         .withColumn("__b", _bucket_of(F.col("__v"), F.col("__splits")))
     hist = bk.groupBy(*keys, "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"),
@@ -116,6 +122,17 @@ def _candidates(data: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFram
             .drop("__lo", "__hi", "__c")
 
 
+def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str]) -> DataFrame:
+    """Small groups: (value, count) per group, running count over the
+    group's distinct values, then pick the wanted ranks."""
+    vc = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    w = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    vc = vc.withColumn("__cb", F.sum("__c").over(w) - F.col("__c"))
+    j = join_null_safe(vc, broadcast_if_small(tg), keys, "inner")
+    return j.where((F.col("__cb") <= F.col("__k")) & (F.col("__k") < F.col("__cb") + F.col("__c"))) \
+            .select(*keys, "__k", "__v", "__n")
+
+
 def _finish(cand: DataFrame, keys: list[str]) -> DataFrame:
     # duplicates collapse map-side; the window then sees distinct values of one bucket
     vc = cand.groupBy(*keys, "__n", "__k", "__below", "__v").agg(F.count("*").alias("__c"))
