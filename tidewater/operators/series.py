@@ -37,11 +37,11 @@ def running_total(df: DataFrame, entity: str | Sequence[str], order: str, value:
     return df.withColumn(out, s)
 
 
-def stack_bounds(df: DataFrame, period: str, ordinal: str, value: str,
+def stack_bounds(df: DataFrame, period: str, ordinal: str | Sequence[str], value: str,
                  lower: str = "stack_lower", upper: str = "stack_upper") -> DataFrame:
     """Stacked-area bounds: within each period, entities stacked in
     ``ordinal`` order; upper = running sum, lower = upper - value."""
-    w = W.partitionBy(period).orderBy(ordinal).rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(period).orderBy(*_keys(ordinal)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(upper, F.sum(value).over(w)).withColumn(lower, F.col(upper) - F.col(value))
 
 
