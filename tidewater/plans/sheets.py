@@ -260,7 +260,7 @@ def missing_district_rows(s: Star, spec: WideSpec = WideSpec()) -> DataFrame:
                        F.col("r_name").alias("Region_Name"))
     out = gaps.select("code", "year").join(po, ["code", "year"], "left").join(el, ["code", "year"], "left") \
         .join(names, "code", "left")
-    return out.select(F.col("year").cast("double").alias("Year"),
+    return out.select(F.col("year").cast("int").alias("Year"),
                       F.round(F.try_divide(F.col("p"), F.col("e")), 6).alias("Affordability_Ratio"),
                       "Region_Name", F.col("code").alias("Local_Authority_Code"), "Local_Authority_Name")
 
