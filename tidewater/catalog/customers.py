@@ -91,12 +91,12 @@ def rfm_metrics(spark, root):
 
 @register("rfm_percent_rank", "WITH" + _RANK_SQL + " SELECT * FROM rfm_rank")
 def rfm_percent_rank(spark, root):
-    return C.rfm_percent_ranks(C.rfm_metrics(_t(spark, root).orders, WIN))
+    return C.rfm_percent_ranks(C.cut_lineage(C.rfm_metrics(_t(spark, root).orders, WIN)))
 
 
 @register("rfm_tiers", "WITH" + _TIER_SQL + " SELECT * FROM rfm_tier")
 def rfm_tiers(spark, root):
-    return C.rfm_tiers(C.rfm_metrics(_t(spark, root).orders, WIN))
+    return C.rfm_tiers(C.cut_lineage(C.rfm_metrics(_t(spark, root).orders, WIN)))
 
 
 @register("rfm_labels", "WITH" + _LABEL_SQL + " SELECT * FROM segment_table")

@@ -167,11 +167,12 @@ def _region(spark, root):
 
 def _district(spark, root):
     s = _star(spark, root)
-    sh = SH.housing_sheets(s, WSPEC, ("district_price", "district_earnings"))
+    pc, ec = SH.price_cells(s, WSPEC), SH.earnings_cells(s, WSPEC)   # each computed once
+    sh = SH.housing_sheets(s, WSPEC, ("district_price", "district_earnings"), pc=pc, ec=ec)
     earn = A.median_impute(A.long_district_earnings(sh["district_earnings"], ASPEC), ["Region code", "Year"],
                            A.EARN, digits=4)
     return A.district_data(A.long_district_price(sh["district_price"]), earn,
-                           SH.missing_district_rows(s, WSPEC), ASPEC)
+                           SH.missing_district_rows(s, WSPEC, pc, ec), ASPEC)
 
 
 def _dy(spark, root):

@@ -34,10 +34,19 @@ DEFAULT_MAX_EXACT_ROWS = 4_000_000
 MAX_LEVELS = 6
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
 def _fractions(b: int) -> list[float]:
     return [i / b for i in range(1, b)]
 
 
+def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16, hi: int = 4096) -> int:
+    """Bucket count so that one bucket's distinct values (ranked in one
+    task) stay near ``rows_per_bucket``."""
+    return int(max(lo, min(hi, -(-rows // rows_per_bucket))))
+
+
 def _bucket_of(v: Column, splits: Column) -> Column:
     """Number of split points <= v (JVM higher-order function, no UDF)."""
     return F.aggregate(splits, F.lit(0), lambda acc, s: acc + F.when(s <= v, 1).otherwise(0))
@@ -148,8 +157,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     """Exact interpolating percentiles per group (``percentile`` /
     ``quantile_cont`` / R ``quantile(type=7)``), NULLs ignored.
 
-    Returns ``keys + names``; a group whose values are all NULL does not
-    appear (callers left-join).
+    Returns ``keys + names + ['n']`` (``n`` = non-NULL values); a group
+    whose values are all NULL does not appear (callers left-join).
     """
     keys = list(keys)
     names = list(names) if names else [f"p{str(f).replace('.', '_')}" for f in fractions]
@@ -170,7 +179,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         lo_k, hi_k = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
         lo_v, hi_v = F.element_at("__m", lo_k), F.element_at("__m", hi_k)
         outs.append(F.when(lo_k == hi_k, lo_v).otherwise(lo_v + (pos - lo_k) * (hi_v - lo_v)).alias(name))
-    return by_k.select(*keys, *outs)
+    return by_k.select(*keys, *outs, F.col("__n").alias("n"))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median", **kw) -> DataFrame:
@@ -233,7 +242,7 @@ def above_cutoff(v: Column, prefix: str, i: int, descending: bool) -> Column:
 
 
 def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank",
-                       descending: bool = False, buckets: int = 1024,
+                       descending: bool = False, buckets: int | None = None,
                        accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """``PERCENT_RANK() OVER (ORDER BY value [DESC])`` as a column, exact,
     without a single-partition sort.
@@ -246,6 +255,8 @@ def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank",
     key = F.col(f"`{value}`").cast("double")
     if descending:
         key = -key
+    if buckets is None:
+        buckets = buckets_for(df.count())
     base = df.withColumn("__x", key)
     stats = cut_lineage(base.agg(
         F.count("*").alias("__N"), F.count("__x").alias("__nn"),
@@ -270,3 +281,46 @@ def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank",
         rank0 = F.when(F.col("__x").isNull(), F.lit(0)).otherwise(nulls + F.col("__before"))
     pr = F.when(F.col("__N") > 1, rank0.cast("double") / (F.col("__N") - 1).cast("double")).otherwise(F.lit(0.0))
     return j.withColumn(out, pr).drop("__x", "__before", "__N", "__nn")
+
+
+def exact_percent_ranks(df: DataFrame, key: str, measures: dict[str, tuple[str, bool]],
+                        buckets: int | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+    """Several ``PERCENT_RANK()`` columns in one pass (long form, one group
+    per measure).  ``measures`` maps column → (output name, descending).
+    ``key`` must identify rows; the ranks are pivoted back by it.
+
+    Same method as :func:`exact_percent_rank`, but the sketch, bucket
+    histogram and value ranking run once for all measures instead of one
+    chained plan per measure.
+    """
+    names = list(measures)
+    desc = [m for m in names if measures[m][1]]
+    if buckets is None:
+        buckets = buckets_for(df.count())
+    long = df.select(F.col(f"`{key}`").alias("__key"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.col(f"`{m}`").cast("double").alias("v")) for m in names])).alias("__s")) \
+        .select("__key", F.col("__s.m").alias("__m"),
+                F.when(F.col("__s.m").isin(desc), -F.col("__s.v")).otherwise(F.col("__s.v")).alias("__x"))
+    stats = cut_lineage(long.groupBy("__m").agg(
+        F.count("*").alias("__N"), F.count("__x").alias("__nn"),
+        F.percentile_approx("__x", _fractions(buckets), accuracy).alias("__splits")))
+    st = F.broadcast(stats)  # one row per measure
+    vals = long.where(F.col("__x").isNotNull()).join(st.select("__m", "__splits"), "__m") \
+        .withColumn("__b", _bucket_of(F.col("__x"), F.col("__splits"))) \
+        .groupBy("__m", "__b", "__x").agg(F.count("*").alias("__c"))
+    # measures x buckets rows
+    off = vals.groupBy("__m", "__b").agg(F.sum("__c").alias("__bc")) \
+        .withColumn("__off", F.sum("__bc").over(W.partitionBy("__m").orderBy("__b")
+                                                .rowsBetween(W.unboundedPreceding, 0)) - F.col("__bc"))
+    ranked = vals.join(F.broadcast(off.select("__m", "__b", "__off")), ["__m", "__b"]) \
+        .withColumn("__before", F.col("__off") + F.sum("__c").over(
+            W.partitionBy("__m", "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")) \
+        .select("__m", "__x", "__before")
+    j = long.join(ranked, ["__m", "__x"], "left").join(st.select("__m", "__N", "__nn"), "__m")
+    is_desc = F.col("__m").isin(desc)
+    rank0 = F.when(F.col("__x").isNull(), F.when(is_desc, F.col("__nn")).otherwise(F.lit(0))) \
+             .otherwise(F.col("__before") + F.when(is_desc, F.lit(0)).otherwise(F.col("__N") - F.col("__nn")))
+    pr = F.when(F.col("__N") > 1, rank0.cast("double") / (F.col("__N") - 1).cast("double")).otherwise(F.lit(0.0))
+    wide = j.select("__key", "__m", pr.alias("__pr")).groupBy("__key").pivot("__m", names).agg(F.first("__pr"))
+    wide = wide.select(F.col("__key").alias(key), *[F.col(f"`{m}`").alias(measures[m][0]) for m in names])
+    return df.join(wide, key, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidewater.functions.dates import add_years, day_diff, shifted_open_range, to_day
 from tidewater.functions.text import concat_codes, like_class
 from tidewater.operators.joins import attach_group_agg
-from tidewater.operators.order_stats import (above_cutoff, cut_lineage, exact_percent_rank,
+from tidewater.operators.order_stats import (above_cutoff, cut_lineage, exact_percent_ranks,
                                              percent_rank_thresholds)
 
 # ---- fixed values: segmentation rules (first match wins), tier cutoffs ----
@@ -110,9 +110,9 @@ def rfm_metrics(orders: DataFrame, win: RfmWindow = RfmWindow(),
 def rfm_percent_ranks(rfm: DataFrame) -> DataFrame:
     """Exact ``PERCENT_RANK()`` of recency (asc), frequency and monetary
     (desc) over all customers, without a single-partition sort."""
-    out = exact_percent_rank(rfm, "recency", "r_percent_rank")
-    out = exact_percent_rank(out, "frequency", "f_percent_rank", descending=True)
-    return exact_percent_rank(out, "monetary", "m_percent_rank", descending=True)
+    return exact_percent_ranks(rfm, "customer_id", {"recency": ("r_percent_rank", False),
+                                                    "frequency": ("f_percent_rank", True),
+                                                    "monetary": ("m_percent_rank", True)})
 
 
 def _tier(v, thr_prefix: str, descending: bool, cutoffs: Sequence[float]):

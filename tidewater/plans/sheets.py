@@ -153,9 +153,7 @@ def _medians_by_level(rows: DataFrame, value: str, spec: WideSpec) -> DataFrame:
         .withColumn("code", F.when(F.col("level") == "n", nation_code(F.col("__nk")))
                     .when(F.col("level") == "r", region_code(F.col("__rk")))
                     .otherwise(F.lit(WORLD_CODE)))
-    med = exact_median(lv, ["level", "code", "year"], value, "median")
-    cnt = lv.groupBy("level", "code", "year").agg(F.count(value).alias("n_obs"))
-    return cnt.join(med, ["level", "code", "year"], "left")
+    return exact_median(lv, ["level", "code", "year"], value, "median").withColumnRenamed("n", "n_obs")
 
 
 def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> DataFrame:
@@ -217,12 +215,15 @@ def district_sheet(cells: DataFrame, s: Star, spec: WideSpec, header: str, earni
                       F.col("la_code").alias(la_c), F.col("la_name").alias(la_n), *[F.col(f"`{y}`") for y in years])
 
 
-def housing_sheets(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def housing_sheets(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] | None = None,
+                   pc: DataFrame | None = None, ec: DataFrame | None = None) -> dict[str, DataFrame]:
     """The four wide sheets of the affordability analysis (or those named
-    in ``which``)."""
+    in ``which``); precomputed cell tables may be passed in."""
     which = set(which or ("region_price", "region_earnings", "district_price", "district_earnings"))
-    pc = price_cells(s, spec) if which & {"region_price", "district_price"} else None
-    ec = earnings_cells(s, spec) if which & {"region_earnings", "district_earnings"} else None
+    if pc is None and which & {"region_price", "district_price"}:
+        pc = price_cells(s, spec)
+    if ec is None and which & {"region_earnings", "district_earnings"}:
+        ec = earnings_cells(s, spec)
     out = {}
     if "region_price" in which:
         out["region_price"] = region_sheet(pc, s, spec, spec.price_header)
@@ -235,14 +236,16 @@ def housing_sheets(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] |
     return out
 
 
-def missing_district_rows(s: Star, spec: WideSpec = WideSpec()) -> DataFrame:
+def missing_district_rows(s: Star, spec: WideSpec = WideSpec(), pc: DataFrame | None = None,
+                          ec: DataFrame | None = None) -> DataFrame:
     """Hand-collected fill-ins for districts whose ratio is missing: for each
     nation-year whose price or earnings cell is suppressed, a ratio of mean
     order value to mean line revenue from all its rows.  Columns as the
     appended sheet: Year, Affordability_Ratio, Region_Name,
     Local_Authority_Code, Local_Authority_Name."""
     geo = _geo(s)
-    pc, ec = price_cells(s, spec), earnings_cells(s, spec)
+    pc = pc if pc is not None else price_cells(s, spec)
+    ec = ec if ec is not None else earnings_cells(s, spec)
     gaps = pc.where(F.col("level") == "n").select("code", "year", F.col("cell").alias("pcell")) \
         .join(ec.where(F.col("level") == "n").select("code", "year", F.col("cell").alias("ecell")),
               ["code", "year"], "full") \
