@@ -1 +1,6 @@
+"""Streaming: intentionally empty.
 
+The analyses this library rebuilds are batch computations over complete
+tables (no stream, watermark, late data or state in any of them), so no
+Structured Streaming operator is provided.
+"""
