@@ -68,3 +68,12 @@ def test_hot_group_is_refined(spark):
     ref = df.agg(F.median("v")).first()[0]
     got = exact_median(df, ["g"], "v", buckets=4, max_exact_rows=20).first().median
     assert got == ref
+
+
+def test_single_value_bucket_resolved_without_refinement(spark):
+    # a third of the rows share one value: its bucket cannot be split, the answer is read off the range
+    vals = [1] * 400 + list(range(2, 802))
+    df = _frame(spark, vals, groups=1)
+    ref = df.agg(F.percentile("v", [0.1, 0.5, 0.9])).first()[0]
+    got = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], ["a", "b", "c"], buckets=4, max_exact_rows=10).first()
+    assert [got.a, got.b, got.c] == pytest.approx(ref)

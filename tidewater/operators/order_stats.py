@@ -103,11 +103,15 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
         .select(*keys, "__n", "__k", "__lo", "__hi", F.col("__before").alias("__below"), "__c")
     ranges = cut_lineage(ranges)
 
+    done = []  # ranges whose bucket holds a single value are already answered
     for _level in range(MAX_LEVELS):
+        done.append(ranges.where(F.col("__lo") == F.col("__hi"))
+                    .select(*keys, "__k", F.col("__lo").alias("__v"), "__n"))
+        ranges = ranges.where(F.col("__lo") < F.col("__hi"))
         worst = ranges.agg(F.max("__c")).first()[0]
         cand = _candidates(data, ranges, keys)
         if worst is None or worst <= max_exact_rows:
-            return _finish(cand, keys)
+            return _union([_finish(cand, keys)] + done)
         # a wanted bucket is still large: split it again from its own sketch
         st = cand.groupBy(*keys, "__k").agg(F.percentile_approx("__v", fr, accuracy).alias("__splits"))
         cb = join_null_safe(cand, broadcast_if_small(st), keys + ["__k"], "inner") \
@@ -120,7 +124,14 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
         ranges = cut_lineage(
             h.where((lo_rank <= F.col("__k")) & (F.col("__k") < lo_rank + F.col("__c")))
              .select(*keys, "__n", "__k", "__lo", "__hi", lo_rank.alias("__below"), "__c"))
-    return _finish(_candidates(data, ranges, keys), keys)
+    return _union([_finish(_candidates(data, ranges, keys), keys)] + done)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _candidates(data: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
