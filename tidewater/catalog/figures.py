@@ -68,3 +68,20 @@ SELECT "Year", CAST(COUNT(*) AS DOUBLE) / 1000.0 AS value_k,
 FROM first GROUP BY "Year" """)
 def bar_totals(spark, root):
     return G.bar_totals(SH.new_customers_per_year(_star(spark, root)), spec=SPEC)
+
+
+@register("supply_sheet_bars", f"""
+WITH first AS (SELECT o_custkey, MIN(CAST(year(o_orderdate) AS INTEGER)) AS "Year" FROM orders GROUP BY o_custkey)
+SELECT "Year", CAST(COUNT(*) AS DOUBLE) / 1000.0 AS value_k,
+       CAST(COUNT(*) AS DOUBLE) / 1000.0 >= {SPEC.bar_threshold} AS at_or_above
+FROM first GROUP BY "Year" """)
+def supply_sheet_bars(spark, root):
+    """The supply series exported as a plain sheet (CSV with header) and read
+    back with an explicit schema before the bar totals."""
+    from tidewater.catalog.housing import _scratch
+    from tidewater.sources.sheets import read_sheet
+    from tidewater.sources.sinks import write_datasets
+    out = _scratch(spark, "supply")
+    write_datasets({"supply": SH.new_customers_per_year(_star(spark, root))}, out, fmt="csv")
+    back = read_sheet(spark, f"{out}/supply", "Year int, Net_Additional double", fmt="csv", header=False)
+    return G.bar_totals(back, spec=SPEC)

@@ -293,3 +293,23 @@ def _bins_sql() -> str:
 @register("ratio_bins", _MAP_SQL + " SELECT *, " + _bins_sql() + " FROM mapped")
 def ratio_bins(spark, root):
     return A.ratio_bins(map_matched(spark, root), ASPEC)
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    from tidewater.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/sheets/{name}-{uuid.uuid4().hex}"
+
+
+@register("sheet_roundtrip_long", BASE + " SELECT * FROM hp_district")
+def sheet_roundtrip_long(spark, root):
+    """District price sheet written as a published CSV (title line, header,
+    ':' cells), read back with the preamble reader, then made long."""
+    from tidewater.sources.sheets import read_sheet_with_preamble
+    from tidewater.sources.sinks import write_sheet_with_preamble
+    sheet = _sheets(spark, root, "district_price")["district_price"]
+    path = write_sheet_with_preamble(sheet, _scratch(spark, "district_price"),
+                                     ["Median price paid by local authority"])
+    back = read_sheet_with_preamble(spark, path, skip=1, na=":")
+    return A.long_district_price(back)

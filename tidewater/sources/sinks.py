@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_datasets(tables: Mapping[str, DataFrame], out: str, mode: str = "overwrite",
@@ -22,3 +22,39 @@ def write_datasets(tables: Mapping[str, DataFrame], out: str, mode: str = "overw
         w.save(p)
         paths.append(p)
     return paths
+
+
+def _csv_line(values) -> str:
+    import csv
+    import io
+    buf = io.StringIO()
+    csv.writer(buf, lineterminator="").writerow(values)
+    return buf.getvalue()
+
+
+def write_sheet_with_preamble(df: DataFrame, path: str, preamble: Sequence[str] = (), na: str = ":",
+                              mode: str = "overwrite") -> str:
+    """Write ``df`` as CSV text files that each start with the ``preamble``
+    lines and the header (the layout of a published sheet), NULL as ``na``.
+
+    Rows are formatted with ``to_csv`` in the JVM; a ``mapInPandas`` pass
+    puts the preamble and header in front of each partition's lines, so
+    every output file is a complete sheet and no task sees more than its
+    own partition.
+    """
+    header = _csv_line(df.columns)
+    head = list(preamble) + [header]
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(na)).alias(c) for c in df.columns]
+    lines = df.select(F.to_csv(F.struct(*cells)).alias("value"))
+
+    def prepend(batches):
+        import pandas as pd
+        started = False
+        for pdf in batches:
+            if not started and len(pdf):
+                started = True
+                yield pd.DataFrame({"value": head})
+            yield pdf
+
+    lines.mapInPandas(prepend, "value string").write.mode(mode).text(path)
+    return path
