@@ -33,3 +33,13 @@ def test_tables_and_view(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     v = publish_view(t.region, "tw_region")
     assert v.count() == spark.sql("select count(*) from tw_region").first()[0] == 5
+
+
+def test_sheet_writer_roundtrip(spark, scratch):
+    from tidewater.sources.sinks import write_sheet_with_preamble
+    df = spark.createDataFrame([("E1", "A, b", 1.5), ("E2", "C", None)], "Code string, Name string, `Year 2001` double") \
+        .repartition(2)
+    path = write_sheet_with_preamble(df, f"{scratch}/sheet", ["Title", "Note"])
+    back = read_sheet_with_preamble(spark, path, skip=2, na=":")
+    assert back.columns == ["Code", "Name", "Year 2001"]
+    assert sorted(tuple(r) for r in back.collect()) == [("E1", "A, b", "1.5"), ("E2", "C", None)]

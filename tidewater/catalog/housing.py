@@ -167,7 +167,8 @@ def _region(spark, root):
 
 def _district(spark, root):
     s = _star(spark, root)
-    pc, ec = SH.price_cells(s, WSPEC), SH.earnings_cells(s, WSPEC)   # each computed once
+    cells = SH.sheet_cells(s, WSPEC)   # both sheets, one selection, computed once
+    pc, ec = SH.price_cells(s, WSPEC, cells), SH.earnings_cells(s, WSPEC, cells)
     sh = SH.housing_sheets(s, WSPEC, ("district_price", "district_earnings"), pc=pc, ec=ec)
     earn = A.median_impute(A.long_district_earnings(sh["district_earnings"], ASPEC), ["Region code", "Year"],
                            A.EARN, digits=4)

@@ -135,7 +135,7 @@ class WideSpec:
     earnings_header: str = "Earnings {y}"
 
 
-def _cell(median: Column, n: Column, min_obs: int) -> Column:
+def _cell(median: Column, n: Column, min_obs) -> Column:
     # printed sheet values: the median to 3 decimals (medians of cents)
     return F.when(n >= min_obs, F.round(median, 3).cast("string")).otherwise(F.lit(":"))
 
@@ -143,19 +143,6 @@ def _cell(median: Column, n: Column, min_obs: int) -> Column:
 WORLD_CODE = "WLD"
 
 
-def _medians_by_level(rows: DataFrame, value: str, spec: WideSpec) -> DataFrame:
-    """Exact median and count per (level, entity code, year) for the nation,
-    region and world levels.  Each row is emitted once per level; the
-    median uses the distributed order-statistics operator, so a hot
-    entity-year is never held by one task."""
-    lv = rows.select("__nk", "__rk", "year", value,
-                     F.explode(F.array(F.lit("n"), F.lit("r"), F.lit("w"))).alias("level")) \
-        .withColumn("code", F.when(F.col("level") == "n", nation_code(F.col("__nk")))
-                    .when(F.col("level") == "r", region_code(F.col("__rk")))
-                    .otherwise(F.lit(WORLD_CODE)))
-    return exact_median(lv, ["level", "code", "year"], value, "median").withColumnRenamed("n", "n_obs")
-
-
 def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> DataFrame:
     labels = [header.format(y=y) for y in spec.years]
     c = cells.where(F.col("year").isin(list(spec.years))) \
@@ -165,27 +152,55 @@ def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> Dat
     return c.groupBy(*ids).pivot("__label", labels).agg(F.first("cell"))
 
 
-def price_cells(s: Star, spec: WideSpec = WideSpec()) -> DataFrame:
+def _price_rows(s: Star, spec: WideSpec) -> DataFrame:
     geo = _geo(s)
     o = s.orders.where(F.col("o_orderstatus") == spec.price_status) \
         .select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice")
     c = broadcast_if_small(s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk")))
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
-        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", "o_totalprice")
-    m = _medians_by_level(rows, "o_totalprice", spec)
-    # entities x years rows, read by several sheets: computed once
-    return cut_lineage(m.withColumn("cell", _cell(F.col("median"), F.col("n_obs"), spec.min_obs_price)))
+    return o.join(c, o.o_custkey == c.c_custkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
+        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", F.col("o_totalprice").alias("v"))
 
 
-def earnings_cells(s: Star, spec: WideSpec = WideSpec()) -> DataFrame:
+def _earnings_rows(s: Star) -> DataFrame:
     geo = _geo(s)
     sup = broadcast_if_small(s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk")))
     li = s.lineitem.select("l_suppkey", F.year("l_shipdate").alias("year"),
-                           (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("revenue"))
-    rows = li.join(sup, li.l_suppkey == sup.s_suppkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
-        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", "revenue")
-    m = _medians_by_level(rows, "revenue", spec)
-    return cut_lineage(m.withColumn("cell", _cell(F.col("median"), F.col("n_obs"), spec.min_obs_earnings)))
+                           (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
+    return li.join(sup, li.l_suppkey == sup.s_suppkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
+        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", "v")
+
+
+def sheet_cells(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] = ("price", "earnings")) -> DataFrame:
+    """Cells of the price and/or earnings sheets in one table
+    (sheet, level, code, year, median, n_obs, cell).  Both sheets go through
+    one grouped exact-median selection (group = sheet x level x entity x
+    year), and the small result is checkpointed once."""
+    parts = []
+    if "price" in which:
+        parts.append(_price_rows(s, spec).withColumn("sheet", F.lit("price")))
+    if "earnings" in which:
+        parts.append(_earnings_rows(s).withColumn("sheet", F.lit("earnings")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    lv = rows.select("sheet", "__nk", "__rk", "year", "v",
+                     F.explode(F.array(F.lit("n"), F.lit("r"), F.lit("w"))).alias("level")) \
+        .withColumn("code", F.when(F.col("level") == "n", nation_code(F.col("__nk")))
+                    .when(F.col("level") == "r", region_code(F.col("__rk")))
+                    .otherwise(F.lit(WORLD_CODE)))
+    m = exact_median(lv, ["sheet", "level", "code", "year"], "v", "median").withColumnRenamed("n", "n_obs")
+    min_obs = F.when(F.col("sheet") == "price", F.lit(spec.min_obs_price)).otherwise(F.lit(spec.min_obs_earnings))
+    return cut_lineage(m.withColumn("cell", _cell(F.col("median"), F.col("n_obs"), min_obs)))
+
+
+def price_cells(s: Star, spec: WideSpec = WideSpec(), cells: DataFrame | None = None) -> DataFrame:
+    c = cells if cells is not None else sheet_cells(s, spec, ("price",))
+    return c.where(F.col("sheet") == "price").drop("sheet")
+
+
+def earnings_cells(s: Star, spec: WideSpec = WideSpec(), cells: DataFrame | None = None) -> DataFrame:
+    c = cells if cells is not None else sheet_cells(s, spec, ("earnings",))
+    return c.where(F.col("sheet") == "earnings").drop("sheet")
 
 
 def _names(s: Star) -> DataFrame:
@@ -220,10 +235,13 @@ def housing_sheets(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] |
     """The four wide sheets of the affordability analysis (or those named
     in ``which``); precomputed cell tables may be passed in."""
     which = set(which or ("region_price", "region_earnings", "district_price", "district_earnings"))
-    if pc is None and which & {"region_price", "district_price"}:
-        pc = price_cells(s, spec)
-    if ec is None and which & {"region_earnings", "district_earnings"}:
-        ec = earnings_cells(s, spec)
+    need = [k for k, names in (("price", {"region_price", "district_price"}),
+                               ("earnings", {"region_earnings", "district_earnings"})) if which & names]
+    need = [k for k in need if (pc if k == "price" else ec) is None]
+    if need:
+        cells = sheet_cells(s, spec, need)
+        pc = pc if pc is not None else price_cells(s, spec, cells)
+        ec = ec if ec is not None else earnings_cells(s, spec, cells)
     out = {}
     if "region_price" in which:
         out["region_price"] = region_sheet(pc, s, spec, spec.price_header)
@@ -244,8 +262,9 @@ def missing_district_rows(s: Star, spec: WideSpec = WideSpec(), pc: DataFrame |
     appended sheet: Year, Affordability_Ratio, Region_Name,
     Local_Authority_Code, Local_Authority_Name."""
     geo = _geo(s)
-    pc = pc if pc is not None else price_cells(s, spec)
-    ec = ec if ec is not None else earnings_cells(s, spec)
+    if pc is None or ec is None:
+        cells = sheet_cells(s, spec)
+        pc, ec = price_cells(s, spec, cells), earnings_cells(s, spec, cells)
     gaps = pc.where(F.col("level") == "n").select("code", "year", F.col("cell").alias("pcell")) \
         .join(ec.where(F.col("level") == "n").select("code", "year", F.col("cell").alias("ecell")),
               ["code", "year"], "full") \
