@@ -164,10 +164,13 @@ r AS (
            (SELECT total FROM tot) - (SELECT CASE WHEN COUNT(*) FILTER (WHERE amount_scaled IS NULL) = 0
                                                   THEN SUM(amount_scaled) END FROM top)
 ),
-p AS (SELECT r.entity, r.amount_scaled, r.amount_scaled / NULLIF(tot.total, 0) * 100 AS pct FROM r, tot)
-SELECT entity, ROUND(amount_scaled, 6) AS amount_scaled, ROUND(pct, 6) AS percentage_of_total,
-       """ + _num_text("round_even(amount_scaled, 2)") + " || ' (' || " + _num_text("round_even(pct, 1)") + """ || '%)' AS label
-FROM p""")
+p AS (SELECT r.entity, r.amount_scaled, r.amount_scaled / NULLIF(tot.total, 0) * 100 AS pct FROM r, tot),
+q AS (
+    SELECT entity, ROUND(amount_scaled, 6) AS amount_scaled, ROUND(pct, 6) AS percentage_of_total,
+           """ + _num_text("round_even(amount_scaled, 2)") + " || ' (' || " + _num_text("round_even(pct, 1)") + """ || '%)' AS label
+    FROM p
+)
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY amount_scaled DESC NULLS LAST, entity) AS INTEGER) AS position FROM q""")
 def panel_top5_rest(spark, root):
     return P.top_with_rest(main_panel(spark, root), SPEC)
 

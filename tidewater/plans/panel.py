@@ -105,8 +105,11 @@ def top_with_rest(main: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
     out = rows.crossJoin(F.broadcast(total)).withColumn("percentage_of_total", pct)  # one-row total
     out = out.withColumn("label", share_label("amount_scaled", "percentage_of_total")).drop("total")
     # values derived from float sums: fixed precision for stable output
-    return out.withColumns({"amount_scaled": F.round("amount_scaled", 6),
-                            "percentage_of_total": F.round("percentage_of_total", 6)})
+    out = out.withColumns({"amount_scaled": F.round("amount_scaled", 6),
+                           "percentage_of_total": F.round("percentage_of_total", 6)})
+    # re-sorted after the remainder row is appended: bar position (k+1 rows)
+    w = W.orderBy(F.col("amount_scaled").desc_nulls_last(), F.col("entity"))
+    return out.withColumn("position", F.row_number().over(w))
 
 
 def leaders(main: DataFrame, spec: PanelSpec = PanelSpec()) -> DataFrame:
