@@ -25,7 +25,7 @@ def add_years(c, years: int) -> Column:
     clamped to 28 Feb in non-leap target years."""
     if years == 0:
         return col(c)
-    return col(c) + F.make_interval(F.lit(years))
+    return col(c) + F.make_ym_interval(F.lit(years), F.lit(0))
 
 
 def _parse(v) -> _dt.datetime:
@@ -37,8 +37,9 @@ def _parse(v) -> _dt.datetime:
 
 
 def ts_lit(v) -> Column:
-    """Typed ``timestamp_ntz`` literal (T-SQL compares date strings)."""
-    return F.lit(_parse(v)).cast("timestamp_ntz")
+    """Typed ``timestamp_ntz`` literal (T-SQL compares date strings).  Built
+    from text, so neither the session nor the Python time zone moves it."""
+    return F.lit(_parse(v).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def shifted_open_range(c, lo, hi, shift_years: int = 0) -> Column:

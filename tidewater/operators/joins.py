@@ -7,29 +7,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Default bound for an explicit broadcast: the optimizer's size estimate
-# must stay below it.  Beyond it the join is left to the planner
-# (sort-merge, or AQE's runtime broadcast when the shuffle turns out small).
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# Row bound for an explicit broadcast.  Beyond it the join is left to the
+# planner: sort-merge, or AQE's runtime broadcast when the shuffled side
+# turns out small.
+BROADCAST_MAX_ROWS = 1_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of ``df`` (None when unavailable)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate is advisory
-        return None
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (reads at most
+    ``max_rows + 1`` rows: cheap on a scan or a checkpointed table)."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when its estimated size is below ``max_bytes``.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    Otherwise ``df`` is returned unchanged and Spark plans a shuffle join
-    (with AQE skew splitting).  Use plain ``F.broadcast`` only for tables
-    whose row count is fixed by definition (region, nation, bands).
+    Meant for base tables and checkpointed intermediates, where the bounded
+    count is cheap.  Otherwise ``df`` is returned unchanged and Spark plans
+    the join itself (sort-merge with AQE skew splitting, or a runtime
+    broadcast when the shuffle output is small).  Tables whose row count is
+    fixed by definition (region, nation, parameter bands, one-row scalars)
+    use ``F.broadcast`` directly.
     """
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
+    if has_at_most(df, max_rows):
         return F.broadcast(df)
     return df
 
@@ -66,18 +66,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*tmp.values())
 
 
-def attach_group_agg(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
-                     broadcast_max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def attach_group_agg(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
     """``agg(x) OVER (PARTITION BY keys)`` without a window.
 
     A window sorts every row of a key in one task, so one hot key would
     sit in a single task.  Here the aggregate runs partially on the map
-    side (skew-safe) and is joined back; the join-back is broadcast when
-    the per-key table is small and otherwise a sort-merge join whose hot
-    partitions AQE's skew-join splits.
+    side (skew-safe) and is joined back.  The per-key table is derived, so
+    no hint is given: Catalyst broadcasts it when its estimate is small, AQE
+    when its shuffle output is, and otherwise it is a sort-merge join whose
+    hot partitions AQE's skew join splits.
     """
     per_key = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_null_safe(df, broadcast_if_small(per_key, broadcast_max_bytes), keys, "left")
+    return join_null_safe(df, per_key, keys, "left")
 
 
 def band_join(df: DataFrame, x: str, bands: DataFrame, how: str = "left") -> DataFrame:

@@ -114,7 +114,7 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
             return _union([_finish(cand, keys)] + done)
         # a wanted bucket is still large: split it again from its own sketch
         st = cand.groupBy(*keys, "__k").agg(F.percentile_approx("__v", fr, accuracy).alias("__splits"))
-        cb = join_null_safe(cand, broadcast_if_small(st), keys + ["__k"], "inner") \
+        cb = join_null_safe(cand, st, keys + ["__k"], "inner") \
             .withColumn("__b", _bucket_of(F.col("__v"), F.col("__splits")))
         h = cb.groupBy(*keys, "__n", "__k", "__below", "__b").agg(
             F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
@@ -148,7 +148,7 @@ def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str]) -> DataFrame:
     vc = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
     w = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
     vc = vc.withColumn("__cb", F.sum("__c").over(w) - F.col("__c"))
-    j = join_null_safe(vc, broadcast_if_small(tg), keys, "inner")
+    j = join_null_safe(vc, tg, keys, "inner")
     return j.where((F.col("__cb") <= F.col("__k")) & (F.col("__k") < F.col("__cb") + F.col("__c"))) \
             .select(*keys, "__k", "__v", "__n")
 

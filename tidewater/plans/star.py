@@ -20,8 +20,8 @@ def dim_snowflake(child: DataFrame, mid: DataFrame, top: DataFrame,
     """Left-join chain child → mid → top where the second key comes from the
     nullable middle side (a child without a parent keeps NULL top columns).
     ``select`` maps output name → source column."""
-    j = child.join(F.broadcast(mid), child[child_key] == mid[mid_key], "left") \
-             .join(F.broadcast(top), F.col(mid_parent) == top[top_key], "left")
+    j = child.join(broadcast_if_small(mid), child[child_key] == mid[mid_key], "left") \
+             .join(broadcast_if_small(top), F.col(mid_parent) == top[top_key], "left")
     return j.select(*[F.col(src).alias(out) for out, src in select.items()])
 
 
