@@ -43,3 +43,24 @@ def test_sheet_writer_roundtrip(spark, scratch):
     back = read_sheet_with_preamble(spark, path, skip=2, na=":")
     assert back.columns == ["Code", "Name", "Year 2001"]
     assert sorted(tuple(r) for r in back.collect()) == [("E1", "A, b", "1.5"), ("E2", "C", None)]
+
+
+def test_preamble_sheet_split_across_partitions(spark, scratch):
+    # a file larger than the split size: only the split at byte 0 carries the preamble
+    with open(f"{scratch}/big.csv", "w") as f:
+        f.write("Title line\n")
+        f.write("Code,Value\n")
+        for i in range(3000):
+            f.write(f"C{i:05d},{':' if i % 7 == 0 else i}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        raw = spark.read.text(scratch)
+        assert raw.rdd.getNumPartitions() > 3
+        df = read_sheet_with_preamble(spark, scratch, skip=1)
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 3000
+    got = {r.Code: r.Value for r in rows}
+    assert got["C00000"] is None and got["C00001"] == "1" and got["C02999"] == "2999"
