@@ -77,3 +77,26 @@ def test_single_value_bucket_resolved_without_refinement(spark):
     ref = df.agg(F.percentile("v", [0.1, 0.5, 0.9])).first()[0]
     got = exact_quantiles(df, ["g"], "v", [0.1, 0.5, 0.9], ["a", "b", "c"], buckets=4, max_exact_rows=10).first()
     assert [got.a, got.b, got.c] == pytest.approx(ref)
+
+
+def test_direct_ranking_by_keys_and_by_group_hash_agree(spark):
+    """The direct path numbers rows per group either on the proven
+    collision-free key hash or on the keys themselves (string and NULL
+    keys included); both give the same k-th values."""
+    from tidewater.operators.order_stats import _rank_direct
+    rnd = random.Random(21)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(3), float(rnd.randrange(40))) for _ in range(500)]
+    data = spark.createDataFrame(rows, "s string, y int, __v double")
+    counts = data.groupBy("s", "y").agg(F.count("*").alias("__n"))
+    tg = counts.select("s", "y", "__n", F.explode(F.array(F.lit(0).cast("long"), (F.col("__n") - 1).cast("long"),
+                                                         F.floor((F.col("__n") - 1) / 2).cast("long"))).alias("__k"))
+    def key(r):
+        return (r[0] or "", r[0] is None) + tuple(r[1:])
+    by_hash = sorted((tuple(r) for r in _rank_direct(data, tg, ["s", "y"], hash_is_exact=True).collect()), key=key)
+    by_keys = sorted((tuple(r) for r in _rank_direct(data, tg, ["s", "y"], hash_is_exact=False).collect()), key=key)
+    assert by_hash == by_keys
+    ref = {}
+    for s_, y, v in rows:
+        ref.setdefault((s_, y), []).append(v)
+    for s_, y, k, v, n in by_keys:
+        assert sorted(ref[(s_, y)])[k] == v and len(ref[(s_, y)]) == n

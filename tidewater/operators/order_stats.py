@@ -30,6 +30,8 @@ from tidewater.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 128
 DEFAULT_ACCURACY = 20_000
+# Largest group ranked by sorting its values in one task.  Above it the
+# sketch path splits the group into value buckets first.
 DEFAULT_MAX_EXACT_ROWS = 4_000_000
 MAX_LEVELS = 6
 
@@ -47,9 +49,22 @@ def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16,
     return int(max(lo, min(hi, -(-rows // rows_per_bucket))))
 
 
-def _bucket_of(v: Column, splits: Column) -> Column:
-    """Number of split points <= v (JVM higher-order function, no UDF)."""
-    return F.aggregate(splits, F.lit(0), lambda acc, s: acc + F.when(s <= v, 1).otherwise(0))
+def _with_bucket(df: DataFrame, v: str, splits: str, n_splits: int, out: str = "__b") -> DataFrame:
+    """Add ``out`` = number of split points <= ``v`` (``splits`` sorted).
+
+    A binary search unrolled into log2(n) plain expressions, one projection
+    per step so the tree does not double at every step; all of it stays in
+    whole-stage codegen.  (A higher-order ``aggregate`` over the array is
+    interpreted and costs n comparisons per row.)"""
+    step = 1
+    while step * 2 <= n_splits:
+        step *= 2
+    df = df.withColumn(out, F.lit(0))
+    while step >= 1:
+        probe = F.try_element_at(F.col(splits), (F.col(out) + step).cast("int"))
+        df = df.withColumn(out, F.col(out) + F.when(F.coalesce(probe <= F.col(v), F.lit(False)), step).otherwise(0))
+        step //= 2
+    return df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -84,16 +99,18 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
         tg = join_null_safe(targets.select(*keys, "__k").distinct(), stats.select(*keys, "__n"), keys, "inner")
     tg = tg.where((F.col("__k") >= 0) & (F.col("__k") < F.col("__n")))
 
-    largest = stats.agg(F.max("__n")).first()[0]
+    h = _group_hash(keys)
+    largest, n_groups, n_hashes = stats.agg(
+        F.max("__n"), F.count("*"), F.count_distinct(h)).first()
     if largest is None or largest <= max_exact_rows:
-        # every group is small enough to rank its distinct values directly
-        return _rank_direct(data, tg, keys)
+        # every group is small enough to be sorted in one task
+        return _rank_direct(data, tg, keys, hash_is_exact=(n_groups == n_hashes))
 
     # large groups: one bounded sketch per group, merged map-side
     sk = cut_lineage(data.groupBy(*keys).agg(F.percentile_approx("__v", fr, accuracy).alias("__splits")))
     stats = join_null_safe(stats, sk, keys, "inner")
     bk = join_null_safe(data, broadcast_if_small(stats.select(*keys, "__splits")), keys, "inner") \
-        .withColumn("__b", _bucket_of(F.col("__v"), F.col("__splits")))
+        .transform(lambda d: _with_bucket(d, "__v", "__splits", len(fr)))
     hist = bk.groupBy(*keys, "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"),
                                          F.max("__v").alias("__hi"))
     hist = hist.withColumn("__before", F.sum("__c").over(
@@ -115,7 +132,7 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
         # a wanted bucket is still large: split it again from its own sketch
         st = cand.groupBy(*keys, "__k").agg(F.percentile_approx("__v", fr, accuracy).alias("__splits"))
         cb = join_null_safe(cand, st, keys + ["__k"], "inner") \
-            .withColumn("__b", _bucket_of(F.col("__v"), F.col("__splits")))
+            .transform(lambda d: _with_bucket(d, "__v", "__splits", len(fr)))
         h = cb.groupBy(*keys, "__n", "__k", "__below", "__b").agg(
             F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         h = h.withColumn("__before", F.sum("__c").over(
@@ -142,15 +159,34 @@ def _candidates(data: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFram
             .drop("__lo", "__hi", "__c")
 
 
-def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str]) -> DataFrame:
-    """Small groups: (value, count) per group, running count over the
-    group's distinct values, then pick the wanted ranks."""
-    vc = data.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    vc = vc.withColumn("__cb", F.sum("__c").over(w) - F.col("__c"))
-    j = join_null_safe(vc, tg, keys, "inner")
-    return j.where((F.col("__cb") <= F.col("__k")) & (F.col("__k") < F.col("__cb") + F.col("__c"))) \
+def _group_hash(keys: list[str]) -> Column:
+    return F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
+
+
+def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str], hash_is_exact: bool = False) -> DataFrame:
+    """Groups of at most ``max_exact_rows``: number the group's values in
+    order (one sort per group, in the shuffle's sort, no hash aggregate
+    over every distinct value) and keep the wanted positions.  Ties need no
+    tie-break: every row at a position among equal values carries the same
+    value.
+
+    When the 64-bit hash of the group keys is proven collision-free on the
+    per-group table (``hash_is_exact``), rows are partitioned, sorted and
+    joined on that one long instead of the keys: the sort then compares a
+    numeric prefix and the value instead of strings."""
+    wanted = tg.select(*keys, "__k", "__n")
+    if hash_is_exact:
+        h = _group_hash(keys)
+        numbered = data.withColumn("__h", h) \
+            .withColumn("__k", F.row_number().over(W.partitionBy("__h").orderBy("__v")) - 1)
+        # groups x targets rows (checkpointed stats: the bounded count is
+        # cheap); broadcast, or the numbered rows would be shuffled again
+        wanted = broadcast_if_small(wanted.select("__k", "__n", h.alias("__h"), *keys))
+        return numbered.select("__h", "__k", "__v").join(wanted, ["__h", "__k"], "inner") \
             .select(*keys, "__k", "__v", "__n")
+    numbered = data.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("__v")) - 1)
+    return join_null_safe(numbered, broadcast_if_small(wanted), keys + ["__k"], "inner") \
+        .select(*keys, "__k", "__v", "__n")
 
 
 def _finish(cand: DataFrame, keys: list[str]) -> DataFrame:
@@ -274,7 +310,7 @@ def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank",
         F.percentile_approx("__x", _fractions(buckets), accuracy).alias("__splits")))
     one = F.broadcast(stats)  # exactly one row
     vals = base.select("__x").where(F.col("__x").isNotNull()).crossJoin(one.select("__splits")) \
-        .withColumn("__b", _bucket_of(F.col("__x"), F.col("__splits"))) \
+        .transform(lambda d: _with_bucket(d, "__x", "__splits", buckets - 1)) \
         .groupBy("__b", "__x").agg(F.count("*").alias("__c"))
     # <= buckets rows: offsets over an unpartitioned window are bounded
     off = vals.groupBy("__b").agg(F.sum("__c").alias("__bc")) \
@@ -317,7 +353,7 @@ def exact_percent_ranks(df: DataFrame, key: str, measures: dict[str, tuple[str,
         F.percentile_approx("__x", _fractions(buckets), accuracy).alias("__splits")))
     st = F.broadcast(stats)  # one row per measure
     vals = long.where(F.col("__x").isNotNull()).join(st.select("__m", "__splits"), "__m") \
-        .withColumn("__b", _bucket_of(F.col("__x"), F.col("__splits"))) \
+        .transform(lambda d: _with_bucket(d, "__x", "__splits", buckets - 1)) \
         .groupBy("__m", "__b", "__x").agg(F.count("*").alias("__c"))
     # measures x buckets rows
     off = vals.groupBy("__m", "__b").agg(F.sum("__c").alias("__bc")) \
