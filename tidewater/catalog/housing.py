@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.catalog import register
 from tidewater.functions.binning import bin_labels
+from tidewater.operators.order_stats import cut_lineage
 from tidewater.plans import affordability as A
 from tidewater.plans import sheets as SH
 from tidewater.sources.tables import Tables
@@ -159,10 +160,15 @@ def _sheets(spark, root, *which):
     return SH.housing_sheets(_star(spark, root), WSPEC, which)
 
 
+# The region-year and district-year tables are small at any scale (entities
+# x years).  Each is checkpointed once: the analyses on top of them branch
+# (self-joins, rankings, summaries) and then re-read that table instead of
+# re-deriving it from the facts, and their plans stay small.
+
 def _region(spark, root):
     sh = _sheets(spark, root, "region_price", "region_earnings")
-    return A.region_data(A.long_region_price(sh["region_price"]),
-                         A.long_region_earnings(sh["region_earnings"], ASPEC), ASPEC)
+    return cut_lineage(A.region_data(A.long_region_price(sh["region_price"]),
+                                     A.long_region_earnings(sh["region_earnings"], ASPEC), ASPEC))
 
 
 def _district(spark, root):
@@ -172,8 +178,8 @@ def _district(spark, root):
     sh = SH.housing_sheets(s, WSPEC, ("district_price", "district_earnings"), pc=pc, ec=ec)
     earn = A.median_impute(A.long_district_earnings(sh["district_earnings"], ASPEC), ["Region code", "Year"],
                            A.EARN, digits=4)
-    return A.district_data(A.long_district_price(sh["district_price"]), earn,
-                           SH.missing_district_rows(s, WSPEC, pc, ec), ASPEC)
+    return cut_lineage(A.district_data(A.long_district_price(sh["district_price"]), earn,
+                                       SH.missing_district_rows(s, WSPEC, pc, ec), ASPEC))
 
 
 def _dy(spark, root):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.catalog import register
+from tidewater.operators.order_stats import cut_lineage
 from tidewater.plans import panel as P
 from tidewater.plans import sheets as SH
 from tidewater.sources.tables import Tables
@@ -84,11 +85,17 @@ def star(spark, root):
     return SH.star_from(Tables(spark, root))
 
 
-def main_panel(spark, root):
+def merged_panel(spark, root):
+    """The three sheets merged: entities x years, small at any scale.  It is
+    checkpointed once, so the branches built on it (rankings, stacks,
+    shares) re-read that table instead of re-deriving it from the facts."""
     s = star(spark, root)
     totals = SH.order_totals(s)
-    merged = P.merge_sheets(totals, SH.per_customer_totals(s, totals), SH.line_values(s))
-    return P.with_change(P.year_range(merged, SPEC))
+    return cut_lineage(P.merge_sheets(totals, SH.per_customer_totals(s, totals), SH.line_values(s)))
+
+
+def main_panel(spark, root):
+    return P.with_change(P.year_range(merged_panel(spark, root), SPEC))
 
 
 @register("panel_sheet_totals", _SHEETS + " SELECT * FROM sheet_a")
