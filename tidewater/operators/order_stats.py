@@ -262,16 +262,19 @@ def percent_rank_thresholds(df: DataFrame, measures: dict[str, bool],
         return F.array(*[F.when(desc, n - 1 - j).otherwise(j - (N - n)) for j in js(N)])
 
     kth = select_kth(long, ["measure"], "x", targets, **kw)
+    # the few selected ranks of a measure as one map k -> value
+    picked = kth.groupBy("measure").agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__kv"))
     counts = long.groupBy("measure").agg(F.count("*").alias("N"), F.count("x").alias("nn"))
-    out = counts.select("measure", "N", "nn", *[j.alias(f"j{i}") for i, j in enumerate(js(F.col("N")))])
-    for i in range(len(cutoffs)):
-        k = F.when(F.col("measure").isin([m for m in names if measures[m]]),
-                   F.col("nn") - 1 - F.col(f"j{i}")).otherwise(F.col(f"j{i}") - (F.col("N") - F.col("nn")))
-        t = kth.select(F.col("measure").alias("__m"), F.col("__k").alias("__tk"), F.col("__v").alias(f"t{i}"))
-        out = out.withColumn(f"__kk{i}", k).join(
-            F.broadcast(t), (F.col("measure") == F.col("__m")) & (F.col(f"__kk{i}") == F.col("__tk")), "left") \
-            .drop("__m", "__tk", f"__kk{i}")
-    return out
+    N, nn = F.col("N"), F.col("nn")
+    cols = []
+    for i, j in enumerate(js(N)):
+        k = F.when(desc, nn - 1 - j).otherwise(j - (N - nn))
+        cols += [j.alias(f"j{i}"), F.try_element_at(F.col("__kv"), k).alias(f"t{i}")]
+    # measures rows on both sides
+    out = counts.join(picked, "measure", "left").select("measure", "N", "nn", *cols)
+    # one row per measure, read once per measure by the caller: cut here so
+    # the selection runs once
+    return cut_lineage(out)
 
 
 def above_cutoff(v: Column, prefix: str, i: int, descending: bool) -> Column:

@@ -134,13 +134,13 @@ def rfm_tiers(rfm: DataFrame, cutoffs: Sequence[float] = TIER_CUTOFFS) -> DataFr
     spec = (("recency", "r_tier", False, "r_"), ("frequency", "f_tier", True, "f_"),
             ("monetary", "m_tier", True, "m_"))
     thr = percent_rank_thresholds(rfm, {m: d for m, _, d, _ in spec}, cutoffs)
-    out = rfm
-    for measure, tier, desc, p in spec:
-        one = thr.where(F.col("measure") == measure)
-        one = one.select(*[F.col(c).alias(p + c) for c in one.columns])
-        out = out.crossJoin(F.broadcast(one))  # exactly one row
-        out = out.withColumn(tier, _tier(measure, p, desc, cutoffs)).drop(*one.columns)
-    return out
+    # the per-measure rows side by side in one row (prefixed columns)
+    fields = [c for c in thr.columns if c != "measure"]
+    one = thr.agg(*[F.first(F.when(F.col("measure") == m, F.col(c)), ignorenulls=True).alias(p + c)
+                    for m, _, _, p in spec for c in fields])
+    out = rfm.crossJoin(F.broadcast(one))  # exactly one row
+    out = out.withColumns({tier: _tier(m, p, desc, cutoffs) for m, tier, desc, p in spec})
+    return out.drop(*one.columns)
 
 
 def segment_of(score_col: str = "rfm_score",
