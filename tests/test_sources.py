@@ -64,3 +64,19 @@ def test_preamble_sheet_split_across_partitions(spark, scratch):
     assert len(rows) == 3000
     got = {r.Code: r.Value for r in rows}
     assert got["C00000"] is None and got["C00001"] == "1" and got["C02999"] == "2999"
+
+
+def test_parquet_schema_cache_follows_rewrites(spark, scratch):
+    """The cached schema is keyed on the path's modification time: a table
+    rewritten with another schema is read with the new one."""
+    import os
+    import time
+    from tidewater.sources.tables import read_parquet
+    path = os.path.join(scratch, "t.parquet")
+    spark.createDataFrame([(1, "a")], "k int, s string").write.parquet(path)
+    assert read_parquet(spark, path).columns == ["k", "s"]
+    assert read_parquet(spark, path).collect()[0].s == "a"
+    time.sleep(1.1)  # coarse file-system clocks
+    spark.createDataFrame([(2.5,)], "x double").write.mode("overwrite").parquet(path)
+    back = read_parquet(spark, path)
+    assert back.columns == ["x"] and back.collect()[0].x == 2.5
