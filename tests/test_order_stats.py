@@ -100,3 +100,25 @@ def test_direct_ranking_by_keys_and_by_group_hash_agree(spark):
         ref.setdefault((s_, y), []).append(v)
     for s_, y, k, v, n in by_keys:
         assert sorted(ref[(s_, y)])[k] == v and len(ref[(s_, y)]) == n
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001/lineitem.parquet"), reason="no driver data")
+def test_sheet_medians_on_driver_tables_all_paths(spark):
+    """Medians of the sheet cells (sheet x level x entity x year groups) from
+    the driver tables: the direct path, one sketch level and a forced
+    multi-level refinement all equal Spark's single-buffer ``median``."""
+    from tidewater.plans import sheets as SH
+    from tidewater.sources.tables import Tables
+    s = SH.star_from(Tables(spark, "/root/testdata/sf0.001"))
+    rows = SH._price_rows(s, SH.WideSpec()).withColumn("sheet", F.lit("price")) \
+        .unionByName(SH._earnings_rows(s).withColumn("sheet", F.lit("earnings")))
+    lv = rows.select("sheet", "__rk", "year", "v", F.explode(F.array(F.lit("r"), F.lit("w"))).alias("level")) \
+        .withColumn("code", F.when(F.col("level") == "r", F.col("__rk").cast("string")).otherwise(F.lit("W")))
+    keys = ["sheet", "level", "code", "year"]
+    ref = {tuple(r[:4]): (r[4], r[5]) for r in lv.groupBy(*keys).agg(F.median("v"), F.count("v")).collect()}
+    for max_exact, buckets in [(10 ** 9, 128), (200, 16), (20, 4)]:
+        got = {tuple(r[:4]): (r[4], r[5]) for r in exact_quantiles(lv, keys, "v", [0.5], ["m"],
+                                                                   max_exact_rows=max_exact, buckets=buckets).collect()}
+        assert got.keys() == ref.keys()
+        for k, (m, n) in ref.items():
+            assert got[k][1] == n and got[k][0] == pytest.approx(m, abs=1e-9)
