@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe
+from tidewater.llm.common import settle
 
 BLOCK = 1024
 
@@ -70,4 +71,5 @@ def truncated(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def length_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return suffix_sums(histogram(docs, path, id_col, text_col))
+    # the sums read the histogram twice; the texts are encoded once
+    return suffix_sums(settle(histogram(docs, path, id_col, text_col)))
