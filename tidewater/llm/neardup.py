@@ -46,7 +46,7 @@ BAND_HASHES = 125       # of which bands are made
 BAND_MISS = 1e-6
 MISS = 1e-7             # pruning a pair that is at the threshold
 BATCH = 32              # positions compared at a time
-BLOCK = 512             # classes of a cluster compared in one task with as many others
+BLOCK = 1024            # classes of a cluster compared in one task with as many others
 GROUP = 1 << 20         # characters hashed at a time
 
 _RNG = np.random.default_rng(77)
@@ -186,10 +186,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def star_pairs(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hubs ``(band, hub)`` of all buckets of two or more, and the distinct
-    pairs ``(hub, node)``."""
+    """``(band, hub, node)`` for the classes other than the hub of all buckets
+    of two or more, and the distinct pairs ``(hub, node)``."""
     hubs = settle(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub"))
-    return hubs, banded.join(hubs, "band").filter("node <> hub").select("hub", "node").distinct()
+    members = settle(banded.join(hubs, "band").filter("node <> hub").select("band", "hub", "node"))
+    return members, members.select("hub", "node").distinct()
 
 
 def verify_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -252,11 +253,11 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def block_links(banded: DataFrame, hubs: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def block_links(members: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components that no hub shows (step 4)."""
     rows, least = band_rows(percent / 100), least_matches(percent / 100)
     # buckets whose members other than the hub lie in more than one component
-    members = banded.join(hubs, "band").filter("node <> hub").select("band", "node")
+    members = members.select("band", "node")
     rooted = members.join(comps, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = settle(rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("first"))
                    .filter("a <> b").select("band", "first"))
@@ -325,10 +326,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     classes = settle(base.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"))
                      .withColumn("node", F.monotonically_increasing_id()))
     banded = settle(bands(classes, band_rows(percent / 100)))
-    hubs, pairs = star_pairs(banded)
+    members, pairs = star_pairs(banded)
     links = verify_pairs(pairs, classes, docs, k, percent)
     comps = settle(components(links))
-    more = settle(block_links(banded, hubs, comps, classes, docs, k, percent))
+    more = settle(block_links(members, comps, classes, docs, k, percent))
     if more.head(1):
         comps = settle(components(links.union(more)))
     tied = classes.select("node", "rep").join(comps, "node")

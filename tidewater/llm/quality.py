@@ -173,3 +173,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     scored = feats.mapInArrow(run, f"doc_id {feats.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are not rejected, all columns as they were.  Of an
+    id that repeats, all rows go if one is rejected."""
+    bad = classify(docs, labels, threshold, id_col, text_col).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")

@@ -112,5 +112,27 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
+def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go, and documents of which nothing is left."""
+    kept = linededup.apply(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return neardup.keep_one(docs, k=5, percent=80)
+
+
+def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids, n_tokens)`` of what is left."""
     return bpe.encode(docs, vocabulary_path())
