@@ -9,8 +9,8 @@ or more is a chunk of its own.
 A chunk of several lines, or of one long line, that occurs more than once is a
 repetition.  The first occurrence, by (doc_id, hash of the text, place), stays;
 the others are removed, but only where their bytes equal those of the first.
-A 128-bit key, the owner and the place of each chunk are shuffled, and the
-bytes of repeated chunks alone.
+A 128-bit key, the owner and the place of each chunk are shuffled, the texts
+once, and the bytes of repeated chunks.
 
 Defined results: a null text is an empty one, which has nothing to remove;
 occurrences within one document count; rows of equal id and text are one owner
@@ -88,63 +88,90 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return got.select("key", F.struct("doc_id", "th", "at").alias("own"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, at, first)`` of the occurrences after the first, with
-    the bytes of the first."""
-    occ = settle(occurrences(docs))
+def changed(d: DataFrame) -> DataFrame:
+    """``(doc_id, th, text, n_removed)`` of the texts ``(doc_id, th, text)``
+    that lose lines; all others stay as they are.
+
+    Texts are shuffled once, to meet the places of their repeated chunks; from
+    there on only texts that hold such chunks, and those chunks' bytes, move.
+    """
+    kind = d.schema["doc_id"].dataType.simpleString()
+    occ = settle(occurrences(d))
     firsts = settle(occ.groupBy("key").agg(F.min("own").alias("first"), F.max("own").alias("last")).filter("first <> last").select("key", "first"))
+    places = occ.join(firsts, "key").distinct().select("own.doc_id", "own.th", F.struct("key", "own.at", (F.col("own") == F.col("first")).alias("first")).alias("x"))
+    lists = (places.groupBy("doc_id", "th").agg(F.collect_list("x").alias("all"))
+             .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "all"))
+    held = settle(d.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+                  .select("doc_id", "th", "text", "all"))
 
     def fetch(batches):
         for b in batches:
-            for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = chunks(text)
-                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for w in want], type=pa.binary()),
-                                                  pa.array([parts[w["at"]][1] for w in want], type=pa.binary())], ["key", "bytes"])
+            for i, th, text, every in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                parts, n = chunks(text), len(every)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["key"] for x in every], type=pa.binary()), pa.array([i] * n, type=b.column(0).type), pa.array([th] * n, type=pa.int64()),
+                     pa.array([x["at"] for x in every], type=pa.int64()), pa.array([x["first"] for x in every], type=pa.bool_()),
+                     pa.array([parts[x["at"]][1] for x in every], type=pa.binary())], ["key", "doc_id", "th", "at", "first", "bytes"])
+
+    found = held.mapInArrow(fetch, f"key binary, doc_id {kind}, th bigint, at bigint, first boolean, bytes binary")
+    found = settle(found)
+    originals = settle(found.filter("first").dropDuplicates(["key"]).select("key", F.col("bytes").alias("original")))
+    equal = found.filter("NOT first").join(originals, "key").filter("bytes = original")
+    drop = (equal.groupBy("doc_id", "th").agg(F.collect_set("at").alias("drop"))
+            .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "drop"))
+    both = held.select("doc_id", "th", "text").join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
+
+    def remove(batches):
+        for b in batches:
+            texts, gone = [], []
+            for text, at in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                parts, out = chunks(text), set(at)
+                texts.append(b"\n".join([c for k, (_, c) in enumerate(parts) if k not in out]).decode("utf-8", "surrogatepass"))
+                gone.append(sum(n for k, (n, _) in enumerate(parts) if k in out))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, type=pa.string()), pa.array(gone, type=pa.int64())],
+                                             ["doc_id", "th", "text", "n_removed"])
+
+    done = both.select("doc_id", "th", "text", "drop").mapInArrow(remove, f"doc_id {kind}, th bigint, text string, n_removed bigint")
+    return settle(done.dropDuplicates(["doc_id", "th"]))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
+
 
-    owners = (firsts.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.th").alias("__th"))
-              .agg(F.collect_list(F.struct("key", "first.at")).alias("want")))
-    one = docs.dropDuplicates(["doc_id", "th"])
-    text = (one.join(owners, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")))
-            .select("text", "want").mapInArrow(fetch, "key binary, bytes binary"))
-    firsts = settle(firsts.join(text, "key"))
-    return (occ.join(firsts, "key").filter("own <> first").distinct()
-            .select("own.doc_id", "own.th", "own.at", "bytes"))
+def _changed(d: DataFrame) -> DataFrame:
+    return changed(d).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("text").alias("__text"), "n_removed")
+
+
+def _same() -> F.Column:
+    return F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, n_lines, n_removed, th)`` of every row, repeated chunks
-    removed; ``n_removed`` counts lines, ``th`` is the hash of the old text."""
-    d = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    drop = (repeated(d).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "bytes")).alias("drop"))
-            .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "drop"))
-    both = d.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    """``(doc_id, text, n_lines, n_removed)`` of every row, repeated chunks
+    removed; both numbers count lines."""
+    d = _rows(docs, id_col, text_col)
+    return d.join(_changed(d), _same(), "left").select(
+        "doc_id", F.coalesce("__text", "text").alias("text"), _lines("text"), F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"))
 
-    def run(batches):
-        for b in batches:
-            texts, lines, gone = [], [], []
-            for text, drop in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                lines.append(text.count("\n") + 1)
-                if not drop:
-                    texts.append(text)
-                    gone.append(0)
-                    continue
-                parts, first = chunks(text), {x["at"]: x["bytes"] for x in drop}
-                keep = [c for k, (_, c) in enumerate(parts) if first.get(k) != c]
-                texts.append(b"\n".join(keep).decode("utf-8", "surrogatepass"))
-                gone.append(sum(n for k, (n, c) in enumerate(parts) if first.get(k) == c))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, type=pa.string()), pa.array(lines, type=pa.int64()),
-                                              pa.array(gone, type=pa.int64()), b.column(1)], ["doc_id", "text", "n_lines", "n_removed", "th"])
 
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return both.select("doc_id", "th", "text", "drop").mapInArrow(
-        run, f"doc_id {kind}, text string, n_lines bigint, n_removed bigint, th bigint")
+def _lines(text: str) -> F.Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup`` with the SHA-256 of each text in its place; the unchanged
+    texts are hashed where they are read."""
+    d = _rows(docs, id_col, text_col)
+    new = _changed(d).select("__id", "__th", "n_removed", F.sha2("__text", 256).alias("__sha"))
+    return d.select("doc_id", "th", _lines("text"), F.sha2("text", 256).alias("sha")).join(new, _same(), "left").select(
+        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("__sha", "sha").alias("text_sha256"))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their shortened texts, all other columns as they
     were; those that lost every line go."""
-    changed = (dedup(docs, id_col, text_col).filter("n_removed > 0")
-               .select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("text").alias("__text")).dropDuplicates(["__id", "__th"]))
+    new = _changed(_rows(docs, id_col, text_col)).drop("n_removed")
     th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    j = docs.join(changed, F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left").filter("__text IS NULL OR __text <> ''")
+    j = docs.join(new, F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left").filter("__text IS NULL OR __text <> ''")
     return j.select(*[F.coalesce(F.col("__text"), F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns])
