@@ -10,123 +10,93 @@ from tidewater.sources.tables import Tables
 
 WIN = C.RfmWindow()  # +10 years, 2010-01-01 < shifted < 2011-01-01, as of 2010-12-31
 
-_PROFILE_SQL = """
-customer_profile AS (
-    SELECT o_custkey AS customer_id,
-           CAST(o_orderdate + INTERVAL 10 YEAR AS DATE) AS transaction_day,
-           MAX(o_orderdate + INTERVAL 10 YEAR) OVER (PARTITION BY o_custkey) AS recency_ts,
-           o_totalprice AS total_due
-    FROM orders
-    WHERE o_orderdate + INTERVAL 10 YEAR > TIMESTAMP '2010-01-01'
-      AND o_orderdate + INTERVAL 10 YEAR < TIMESTAMP '2011-01-01'
-)"""
-
-_RFM_SQL = _PROFILE_SQL + """,
-rfm AS (
-    SELECT customer_id,
-           CAST(MIN(date_diff('day', CAST(recency_ts AS DATE), DATE '2010-12-31')) AS INTEGER) AS recency,
-           COUNT(*) AS frequency,
-           ROUND(SUM(total_due), 2) AS monetary
-    FROM customer_profile
-    GROUP BY customer_id
-)"""
-
-_RANK_SQL = _RFM_SQL + """,
-rfm_rank AS (
-    SELECT *,
-           PERCENT_RANK() OVER (ORDER BY recency ASC NULLS FIRST) AS r_percent_rank,
-           PERCENT_RANK() OVER (ORDER BY frequency DESC NULLS LAST) AS f_percent_rank,
-           PERCENT_RANK() OVER (ORDER BY monetary DESC NULLS LAST) AS m_percent_rank
-    FROM rfm
-)"""
-
-
-def _tier_sql(c: str) -> str:
-    return (f"CASE WHEN {c}_percent_rank > 0.75 THEN 4 WHEN {c}_percent_rank > 0.5 THEN 3 "
-            f"WHEN {c}_percent_rank > 0.25 THEN 2 ELSE 1 END AS {c}_tier")
-
-
-_TIER_SQL = _RANK_SQL + f""",
-rfm_tier AS (
-    SELECT customer_id, recency, frequency, monetary,
-           {_tier_sql('r')}, {_tier_sql('f')}, {_tier_sql('m')}
-    FROM rfm_rank
-)"""
-
-_LABEL_SQL = _TIER_SQL + """,
-rfm_group AS (
-    SELECT *, CONCAT(r_tier, f_tier, m_tier) AS rfm_score FROM rfm_tier
-),
-segment_table AS (
-    SELECT *,
-        CASE
-            WHEN rfm_score = '111' THEN 'Best Customers'
-            WHEN regexp_full_match(rfm_score, '[3-4][3-4][1-4]') THEN 'Lost Bad Customer'
-            WHEN regexp_full_match(rfm_score, '[3-4]2[1-4]') THEN 'Lost Customers'
-            WHEN regexp_full_match(rfm_score, '21[1-4]') THEN 'Almost Lost'
-            WHEN regexp_full_match(rfm_score, '11[2-4]') THEN 'Loyal Customers'
-            WHEN regexp_full_match(rfm_score, '[1-2][1-3]1') THEN 'Big Spenders'
-            WHEN regexp_full_match(rfm_score, '[1-2]4[1-4]') THEN 'New Customers'
-            WHEN regexp_full_match(rfm_score, '[3-4]1[1-4]') THEN 'Hibernating'
-            WHEN regexp_full_match(rfm_score, '[1-2][2-3][2-4]') THEN 'Potential Loyalists'
-            ELSE 'unknown'
-        END AS segment
-    FROM rfm_group
-)"""
+# Orders moved ten years on, of the year 2010 without its first instant.
+_MOVED = """moved AS (
+    SELECT o_custkey AS customer_id, o_orderdate + INTERVAL 10 YEAR AS moved_at, o_totalprice AS total_due FROM orders
+    WHERE moved_at > TIMESTAMP '2010-01-01' AND moved_at < TIMESTAMP '2011-01-01')"""
+
+# One aggregate per customer gives all three measures.
+_MEASURES = _MOVED + """,
+measures AS (
+    SELECT customer_id, CAST(DATE '2010-12-31' - CAST(MAX(moved_at) AS DATE) AS INTEGER) AS recency,
+           COUNT(*) AS frequency, ROUND(SUM(total_due), 2) AS monetary
+    FROM moved GROUP BY customer_id)"""
+
+# Share of the other customers that come before: recent, frequent, high first.
+_SHARES = _MEASURES + """,
+shares AS (
+    SELECT measures.*,
+           coalesce((rank() OVER (ORDER BY recency NULLS FIRST) - 1) / nullif(COUNT(*) OVER () - 1, 0), 0) AS r_percent_rank,
+           coalesce((rank() OVER (ORDER BY frequency DESC NULLS LAST) - 1) / nullif(COUNT(*) OVER () - 1, 0), 0) AS f_percent_rank,
+           coalesce((rank() OVER (ORDER BY monetary DESC NULLS LAST) - 1) / nullif(COUNT(*) OVER () - 1, 0), 0) AS m_percent_rank
+    FROM measures)"""
+
+# A tier is one more than the number of cutoffs below the share.
+_TIERS = _SHARES + """,
+cutoffs(q) AS (VALUES (0.25), (0.5), (0.75)),
+tiers AS (
+    SELECT customer_id, recency, frequency, monetary, """ + ", ".join(
+    f"CAST(1 + (SELECT COUNT(*) FROM cutoffs WHERE {c}_percent_rank > q) AS INTEGER) AS {c}_tier" for c in "rfm") + """
+    FROM shares)"""
+
+# Labels: the first rule whose pattern a score matches.
+_LABELS = _TIERS + """,
+rules(place, pattern, label) AS (VALUES """ + ", ".join(
+    f"({k}, '{pattern}', '{label}')" for k, (pattern, label) in enumerate((
+        ("111", "Best Customers"), ("[3-4][3-4][1-4]", "Lost Bad Customer"), ("[3-4]2[1-4]", "Lost Customers"), ("21[1-4]", "Almost Lost"),
+        ("11[2-4]", "Loyal Customers"), ("[1-2][1-3]1", "Big Spenders"), ("[1-2]4[1-4]", "New Customers"), ("[3-4]1[1-4]", "Hibernating"),
+        ("[1-2][2-3][2-4]", "Potential Loyalists")))) + """),
+scored AS (SELECT *, r_tier || f_tier || m_tier AS rfm_score FROM tiers),
+named AS (SELECT rfm_score, arg_min(label, place) AS label
+          FROM (SELECT DISTINCT rfm_score FROM scored) JOIN rules ON regexp_full_match(rfm_score, pattern) GROUP BY rfm_score),
+labelled AS (SELECT scored.*, coalesce(label, 'unknown') AS segment FROM scored LEFT JOIN named USING (rfm_score))"""
 
 
 def _t(spark, root):
     return Tables(spark, root)
 
 
-@register("rfm_window_profile", "WITH" + _PROFILE_SQL + " SELECT * FROM customer_profile")
+@register("rfm_window_profile", "WITH " + _MOVED + """,
+latest AS (SELECT customer_id, MAX(moved_at) AS recency_ts FROM moved GROUP BY customer_id)
+SELECT moved.customer_id, CAST(moved_at AS DATE) AS transaction_day, recency_ts, total_due
+FROM moved JOIN latest ON moved.customer_id IS NOT DISTINCT FROM latest.customer_id""")
 def rfm_window_profile(spark, root):
     return C.order_profile(_t(spark, root).orders, WIN)
 
 
-@register("rfm_metrics", "WITH" + _RFM_SQL + " SELECT * FROM rfm")
+@register("rfm_metrics", "WITH " + _MEASURES + " SELECT * FROM measures")
 def rfm_metrics(spark, root):
     return C.rfm_metrics(_t(spark, root).orders, WIN)
 
 
-@register("rfm_percent_rank", "WITH" + _RANK_SQL + " SELECT * FROM rfm_rank")
+@register("rfm_percent_rank", "WITH " + _SHARES + " SELECT * FROM shares")
 def rfm_percent_rank(spark, root):
     return C.rfm_percent_ranks(C.cut_lineage(C.rfm_metrics(_t(spark, root).orders, WIN)))
 
 
-@register("rfm_tiers", "WITH" + _TIER_SQL + " SELECT * FROM rfm_tier")
+@register("rfm_tiers", "WITH " + _TIERS + " SELECT * FROM tiers")
 def rfm_tiers(spark, root):
     return C.rfm_tiers(C.cut_lineage(C.rfm_metrics(_t(spark, root).orders, WIN)))
 
 
-@register("rfm_labels", "WITH" + _LABEL_SQL + " SELECT * FROM segment_table")
+@register("rfm_labels", "WITH " + _LABELS + " SELECT * FROM labelled")
 def rfm_labels(spark, root):
     return C.segmentation(_t(spark, root).orders, WIN)
 
 
-@register("rfm_segments", "WITH" + _LABEL_SQL + """
-SELECT segment,
-       COUNT(customer_id) AS number_users,
-       CAST(SUM(COUNT(customer_id)) OVER () AS BIGINT) AS total_users,
-       CAST(COUNT(customer_id) AS DOUBLE) / CAST(SUM(COUNT(customer_id)) OVER () AS DOUBLE) AS pct
-FROM segment_table
-GROUP BY segment""")
+@register("rfm_segments", "WITH " + _LABELS + """
+SELECT segment, n AS number_users, total AS total_users, n / total AS pct
+FROM (SELECT segment, COUNT(customer_id) AS n FROM labelled GROUP BY segment), (SELECT COUNT(customer_id) AS total FROM labelled)""")
 def rfm_segments(spark, root):
     return C.segment_summary(C.segmentation(_t(spark, root).orders, WIN))
 
 
 @register("customer_retention", """
-WITH customer_profile AS (
-    SELECT o_custkey AS customer_id,
-           CAST(o_orderdate AS DATE) AS transaction_day,
-           MIN(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS first_day
-    FROM orders
-)
-SELECT *,
-       CAST(date_diff('day', first_day, transaction_day) AS INTEGER) AS subsequent_day,
-       CASE WHEN date_diff('day', first_day, transaction_day) = 0 THEN 'New Customers'
-            ELSE 'Retained Customers' END AS retention
-FROM customer_profile""")
+WITH days AS (SELECT o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS day FROM orders),
+start AS (SELECT customer_id, MIN(day) AS first_day FROM days GROUP BY customer_id)
+SELECT d.customer_id, day AS transaction_day, first_day, CAST(day - first_day AS INTEGER) AS subsequent_day,
+       if(day = first_day, 'New Customers', 'Retained Customers') AS retention
+FROM days d JOIN start s ON d.customer_id IS NOT DISTINCT FROM s.customer_id""")
 def customer_retention(spark, root):
     return C.customer_retention(_t(spark, root).orders)
 

@@ -1,7 +1,7 @@
 """Affordability queries on wide sheets derived from the star tables:
-price = median status-F order value by customer nation/region/world and
+price = median order value by customer nation/region/world and
 order year, earnings = median line revenue by supplier nation/region/world
-and ship year; ':' below a minimum number of observations.  Districts are
+and ship year; ':' where a cell is withheld by a parameter.  Districts are
 nations, regions are regions plus the world row."""
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ def _wide(cells: str, key: str, header: str) -> str:
 
 _YEARS_SQL = "SELECT CAST(unnest(range(" + str(YEARS[0]) + ", " + str(YEARS[-1] + 1) + ")) AS INTEGER) AS year"
 
+def _pairs(withheld) -> str:
+    return ", ".join(f"('{code}', {year})" for code, year in withheld)
+
+
 BASE = """WITH
 geo AS (
     SELECT n.n_nationkey, n.n_name, r.r_regionkey, r.r_name
@@ -39,7 +43,6 @@ geo AS (
 po AS (
     SELECT g.n_nationkey, g.r_regionkey, CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_totalprice AS v
     FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.n_nationkey
-    WHERE o.o_orderstatus = 'F'
 ),
 le AS (
     SELECT g.n_nationkey, g.r_regionkey, CAST(year(l.l_shipdate) AS INTEGER) AS year,
@@ -59,10 +62,10 @@ estat AS (
     UNION ALL SELECT 'w', 'WLD', year, COUNT(v), median(v) FROM le GROUP BY year
 ),
 pc AS (SELECT level, code, year,
-              CASE WHEN n_obs >= """ + str(WSPEC.min_obs_price) + """ THEN CAST(ROUND(med, 3) AS VARCHAR) ELSE ':' END AS cell
+              CASE WHEN (code, year) IN (""" + _pairs(WSPEC.withheld_price) + """) THEN ':' ELSE CAST(ROUND(med, 3) AS VARCHAR) END AS cell
        FROM pstat),
 ec AS (SELECT level, code, year,
-              CASE WHEN n_obs >= """ + str(WSPEC.min_obs_earnings) + """ THEN CAST(ROUND(med, 3) AS VARCHAR) ELSE ':' END AS cell
+              CASE WHEN (code, year) IN (""" + _pairs(WSPEC.withheld_earnings) + """) THEN ':' ELSE CAST(ROUND(med, 3) AS VARCHAR) END AS cell
        FROM estat),
 years AS (""" + _YEARS_SQL + """),
 districts AS (

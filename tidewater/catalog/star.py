@@ -55,9 +55,9 @@ def fact_margin(spark, root):
 
 @register("sales_by_region", """
 SELECT r.r_name AS region, COUNT(*) AS n_orders, ROUND(SUM(o.o_totalprice), 2) AS total_sales
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
+FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 GROUP BY r.r_name""")
 def sales_by_region(spark, root):
     t = Tables(spark, root)

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, null-safe composite keys,
+"""Join helpers: null-safe composite keys,
 group-attached aggregates, interval (band) joins."""
 
 from __future__ import annotations
@@ -7,33 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Row bound for an explicit broadcast.  Beyond it the join is left to the
-# planner: sort-merge, or AQE's runtime broadcast when the shuffled side
-# turns out small.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most
-    ``max_rows + 1`` rows: cheap on a scan or a checkpointed table)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    Meant for base tables and checkpointed intermediates, where the bounded
-    count is cheap.  Otherwise ``df`` is returned unchanged and Spark plans
-    the join itself (sort-merge with AQE skew splitting, or a runtime
-    broadcast when the shuffle output is small).  Tables whose row count is
-    fixed by definition (region, nation, parameter bands, one-row scalars)
-    use ``F.broadcast`` directly.
-    """
-    if has_at_most(df, max_rows):
-        return F.broadcast(df)
-    return df
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
     """Join on same-named keys where NULL matches NULL (dplyr's default).

@@ -25,7 +25,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.operators.joins import broadcast_if_small, join_null_safe
+from tidewater.operators.joins import join_null_safe
 from tidewater.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 128
@@ -109,7 +109,7 @@ def select_kth(df: DataFrame, keys: Sequence[str], value: str,
     # large groups: one bounded sketch per group, merged map-side
     sk = cut_lineage(data.groupBy(*keys).agg(F.percentile_approx("__v", fr, accuracy).alias("__splits")))
     stats = join_null_safe(stats, sk, keys, "inner")
-    bk = join_null_safe(data, broadcast_if_small(stats.select(*keys, "__splits")), keys, "inner") \
+    bk = join_null_safe(data, stats.select(*keys, "__splits"), keys, "inner") \
         .transform(lambda d: _with_bucket(d, "__v", "__splits", len(fr)))
     hist = bk.groupBy(*keys, "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"),
                                          F.max("__v").alias("__hi"))
@@ -154,7 +154,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _candidates(data: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Rows inside a wanted value range (a rank range maps to a closed
     value range because buckets split by value)."""
-    j = join_null_safe(data, broadcast_if_small(ranges), keys, "inner")
+    j = join_null_safe(data, ranges, keys, "inner")
     return j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))) \
             .drop("__lo", "__hi", "__c")
 
@@ -181,11 +181,11 @@ def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str], hash_is_exact:
             .withColumn("__k", F.row_number().over(W.partitionBy("__h").orderBy("__v")) - 1)
         # groups x targets rows (checkpointed stats: the bounded count is
         # cheap); broadcast, or the numbered rows would be shuffled again
-        wanted = broadcast_if_small(wanted.select("__k", "__n", h.alias("__h"), *keys))
+        wanted = wanted.select("__k", "__n", h.alias("__h"), *keys)
         return numbered.select("__h", "__k", "__v").join(wanted, ["__h", "__k"], "inner") \
             .select(*keys, "__k", "__v", "__n")
     numbered = data.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("__v")) - 1)
-    return join_null_safe(numbered, broadcast_if_small(wanted), keys + ["__k"], "inner") \
+    return join_null_safe(numbered, wanted, keys + ["__k"], "inner") \
         .select(*keys, "__k", "__v", "__n")
 
 
@@ -243,7 +243,7 @@ def percent_rank_thresholds(df: DataFrame, measures: dict[str, bool],
 
     Ascending (NULLs first): a non-NULL ``v`` ranks above ``q`` iff
     ``v > s[j]``, ``s`` the sorted column including NULLs,
-    ``j = floor(q * (N - 1))``; when ``s[j]`` is a NULL every non-NULL value
+    ``j`` the largest rank with ``j / (N - 1) <= q``; when ``s[j]`` is a NULL every non-NULL value
     qualifies.  Descending (NULLs last): iff ``v < t[j]``, ``t`` sorted
     descending; when ``t[j]`` is a NULL no non-NULL value qualifies.
     Returns one row per measure: ``measure, N, nn, j<i>, t<i>``.
@@ -255,7 +255,13 @@ def percent_rank_thresholds(df: DataFrame, measures: dict[str, bool],
     desc = F.col("measure").isin([m for m in names if measures[m]])
 
     def js(N: Column) -> list[Column]:
-        return [F.floor(F.lit(float(q)) * (N - 1)).cast("long") for q in cutoffs]
+        # the largest rank r with r / (N - 1) <= q, in the division that
+        # PERCENT_RANK itself makes: q * (N - 1) alone may round either way
+        out, m = [], (N - 1).cast("double")
+        for q in cutoffs:
+            j = F.floor(F.lit(float(q)) * m).cast("long")
+            out.append(F.when(N <= 1, F.lit(0).cast("long")).when((j + 1) / m <= q, j + 1).when(j / m > q, j - 1).otherwise(j))
+        return out
 
     def targets(n: Column, N: Column) -> Column:
         # descending: t[j] is the (n-1-j)-th smallest; ascending: s[j] follows N-n NULLs
@@ -287,7 +293,7 @@ def above_cutoff(v: Column, prefix: str, i: int, descending: bool) -> Column:
     else:
         nonnull = F.when(t.isNull(), F.lit(True)).otherwise(v > t)
         null_rank = F.lit(0)
-    # rank/(N-1) > q  <=>  rank > floor(q*(N-1)) = j   (integer rank)
+    # rank/(N-1) > q  <=>  rank > j   (integer rank)
     return F.when(v.isNull(), (N > 1) & (null_rank > j)).otherwise(nonnull)
 
 
@@ -373,4 +379,4 @@ def exact_percent_ranks(df: DataFrame, key: str, measures: dict[str, tuple[str,
     pr = F.when(F.col("__N") > 1, rank0.cast("double") / (F.col("__N") - 1).cast("double")).otherwise(F.lit(0.0))
     wide = j.select("__key", "__m", pr.alias("__pr")).groupBy("__key").pivot("__m", names).agg(F.first("__pr"))
     wide = wide.select(F.col("__key").alias(key), *[F.col(f"`{m}`").alias(measures[m][0]) for m in names])
-    return df.join(wide, key, "left")
+    return join_null_safe(df, wide, [key], "left")      # a NULL key has ranks too

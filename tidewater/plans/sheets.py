@@ -11,7 +11,7 @@ grows with the data:
   consumption and gross value per customer, customer counts;
 * wide sheets: median order value ("price") by customer nation/region and
   median line revenue ("earnings") by supplier nation/region per year,
-  suppressed as ``':'`` under a minimum number of observations.
+  with ``':'`` in the cells that a parameter lists as withheld.
 
 Facts are aggregated before every join with a growing dimension; the
 entity-year tables after that are tiny (entities x years).
@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.operators.joins import broadcast_if_small
 from tidewater.operators.order_stats import cut_lineage, exact_median
 
 WORLD = "World"
@@ -57,13 +56,12 @@ def _geo(s: Star) -> DataFrame:
 def _levels(per_nation: DataFrame, s: Star, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Nation rows plus region and world roll-ups of additive columns
     (``rollup`` over the tiny per-nation table)."""
-    named = per_nation.join(_geo(s), per_nation["__nk"] == F.col("n_nationkey"))
+    # rows without a known nation stay: under a NULL entity, and in the world row
+    named = per_nation.join(_geo(s), per_nation["__nk"] == F.col("n_nationkey"), "left")
     r = named.rollup(*by, "r_name", "n_name").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("n_nationkey").alias("__nk"), F.grouping_id().alias("__gid"))
-    r = r.where(F.col("__gid") < 4)  # drop the grand total over `by`
-    for b in by:
-        r = r.where(F.col(b).isNotNull())
+    r = r.where(F.col("__gid") < 4)  # drop the grand total over `by`; a NULL year is a group
     entity = F.when(F.col("__gid") == 0, F.col("n_name")).when(F.col("__gid") == 1, F.col("r_name")) \
               .otherwise(F.lit(WORLD))
     code = F.when(F.col("__gid") == 0, nation_code(F.col("__nk")))
@@ -85,7 +83,7 @@ def order_totals(s: Star) -> DataFrame:
     then summed per nation and rolled up."""
     per_cy = s.orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")) \
         .agg(F.sum("o_totalprice").alias("amount"))
-    c = broadcast_if_small(s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk")))
+    c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
     per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey).groupBy("__nk", "year") \
         .agg(F.sum("amount").alias("amount"))
     out = _levels(per_n, s, ["year"], ["amount"])
@@ -111,7 +109,7 @@ def line_values(s: Star) -> DataFrame:
     o = s.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     per_cy = per_order.join(o, per_order.l_orderkey == o.o_orderkey) \
         .groupBy("o_custkey", "year").agg(F.sum("cons").alias("cons"), F.sum("gross").alias("gross"))
-    c = broadcast_if_small(s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk")))
+    c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
     per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey).groupBy("__nk", "year") \
         .agg(F.sum("cons").alias("cons"), F.sum("gross").alias("gross"))
     lv = _levels(per_n, s, ["year"], ["cons", "gross"])
@@ -128,16 +126,25 @@ def line_values(s: Star) -> DataFrame:
 @dataclass(frozen=True)
 class WideSpec:
     years: tuple[int, ...] = tuple(range(1995, 2002))
-    price_status: str = "F"          # orders counted as completed sales
-    min_obs_price: int = 20          # fewer observations -> ':'
-    min_obs_earnings: int = 100
+    # withheld cells (code, year), shown as ':' whatever their number of rows
+    withheld_price: tuple[tuple[str, int], ...] = (
+        ("NAT3", 1996), ("NAT7", 1998), ("NAT7", 1999), ("NAT12", 1997), ("NAT18", 1995), ("REG1", 1996))
+    withheld_earnings: tuple[tuple[str, int], ...] = (
+        ("NAT5", 1995), ("NAT9", 2000), ("NAT12", 1997), ("NAT20", 2001), ("REG3", 1999))
     price_header: str = "Year {y}"
     earnings_header: str = "Earnings {y}"
 
 
-def _cell(median: Column, n: Column, min_obs) -> Column:
+def _cell(median: Column, withheld: Column) -> Column:
     # printed sheet values: the median to 3 decimals (medians of cents)
-    return F.when(n >= min_obs, F.round(median, 3).cast("string")).otherwise(F.lit(":"))
+    return F.when(withheld, F.lit(":")).otherwise(F.round(median, 3).cast("string"))
+
+
+def _withheld(pairs: Sequence[tuple[str, int]]) -> Column:
+    out = F.lit(False)
+    for code, year in pairs:
+        out = out | ((F.col("code") == code) & (F.col("year") == year))
+    return F.coalesce(out, F.lit(False))
 
 
 WORLD_CODE = "WLD"
@@ -145,7 +152,10 @@ WORLD_CODE = "WLD"
 
 def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> DataFrame:
     labels = [header.format(y=y) for y in spec.years]
-    c = cells.where(F.col("year").isin(list(spec.years))) \
+    # a row without a year has no column; any other year must have one
+    known = F.when(F.col("year").isNull(), F.lit(False)).when(F.col("year").isin(list(spec.years)), F.lit(True)) \
+        .otherwise(F.raise_error(F.concat(F.lit("no sheet column for year "), F.col("year").cast("string"))).cast("boolean"))
+    c = cells.where(known) \
         .withColumn("__label", F.concat(F.lit(header.split("{y}")[0]), F.col("year").cast("string"),
                                         F.lit(header.split("{y}")[1])))
     # explicit pivot values: no extra job to discover them
@@ -154,16 +164,15 @@ def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> Dat
 
 def _price_rows(s: Star, spec: WideSpec) -> DataFrame:
     geo = _geo(s)
-    o = s.orders.where(F.col("o_orderstatus") == spec.price_status) \
-        .select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice")
-    c = broadcast_if_small(s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk")))
+    o = s.orders.select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice")
+    c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
     return o.join(c, o.o_custkey == c.c_custkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
         .select("__nk", F.col("r_regionkey").alias("__rk"), "year", F.col("o_totalprice").alias("v"))
 
 
 def _earnings_rows(s: Star) -> DataFrame:
     geo = _geo(s)
-    sup = broadcast_if_small(s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk")))
+    sup = s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk"))
     li = s.lineitem.select("l_suppkey", F.year("l_shipdate").alias("year"),
                            (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
     return li.join(sup, li.l_suppkey == sup.s_suppkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
@@ -189,8 +198,8 @@ def sheet_cells(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] = ("p
                     .when(F.col("level") == "r", region_code(F.col("__rk")))
                     .otherwise(F.lit(WORLD_CODE)))
     m = exact_median(lv, ["sheet", "level", "code", "year"], "v", "median").withColumnRenamed("n", "n_obs")
-    min_obs = F.when(F.col("sheet") == "price", F.lit(spec.min_obs_price)).otherwise(F.lit(spec.min_obs_earnings))
-    return cut_lineage(m.withColumn("cell", _cell(F.col("median"), F.col("n_obs"), min_obs)))
+    withheld = F.when(F.col("sheet") == "price", _withheld(spec.withheld_price)).otherwise(_withheld(spec.withheld_earnings))
+    return cut_lineage(m.withColumn("cell", _cell(F.col("median"), withheld)))
 
 
 def price_cells(s: Star, spec: WideSpec = WideSpec(), cells: DataFrame | None = None) -> DataFrame:
@@ -257,7 +266,7 @@ def housing_sheets(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] |
 def missing_district_rows(s: Star, spec: WideSpec = WideSpec(), pc: DataFrame | None = None,
                           ec: DataFrame | None = None) -> DataFrame:
     """Hand-collected fill-ins for districts whose ratio is missing: for each
-    nation-year whose price or earnings cell is suppressed, a ratio of mean
+    nation-year whose price or earnings cell is withheld or absent, a ratio of mean
     order value to mean line revenue from all its rows.  Columns as the
     appended sheet: Year, Affordability_Ratio, Region_Name,
     Local_Authority_Code, Local_Authority_Name."""
@@ -270,14 +279,17 @@ def missing_district_rows(s: Star, spec: WideSpec = WideSpec(), pc: DataFrame |
               ["code", "year"], "full") \
         .where((F.coalesce(F.col("pcell"), F.lit(":")) == ":") | (F.coalesce(F.col("ecell"), F.lit(":")) == ":"))
     o = s.orders.select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice")
-    c = broadcast_if_small(s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk")))
+    c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
+    # sums and counts per customer and supplier first: one row per key and year is joined
+    o = o.groupBy("o_custkey", "year").agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"))
     po = o.join(c, o.o_custkey == c.c_custkey).groupBy(nation_code(F.col("__nk")).alias("code"), "year") \
-        .agg(F.avg("o_totalprice").alias("p"))
-    sup = broadcast_if_small(s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk")))
+        .agg(F.try_divide(F.sum("s"), F.sum("n")).alias("p"))
+    sup = s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk"))
     li = s.lineitem.select("l_suppkey", F.year("l_shipdate").alias("year"),
                            (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("revenue"))
+    li = li.groupBy("l_suppkey", "year").agg(F.sum("revenue").alias("s"), F.count("revenue").alias("n"))
     el = li.join(sup, li.l_suppkey == sup.s_suppkey).groupBy(nation_code(F.col("__nk")).alias("code"), "year") \
-        .agg(F.avg("revenue").alias("e"))
+        .agg(F.try_divide(F.sum("s"), F.sum("n")).alias("e"))
     names = geo.select(nation_code(F.col("n_nationkey")).alias("code"), F.col("n_name").alias("Local_Authority_Name"),
                        F.col("r_name").alias("Region_Name"))
     out = gaps.select("code", "year").join(po, ["code", "year"], "left").join(el, ["code", "year"], "left") \

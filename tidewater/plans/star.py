@@ -2,7 +2,7 @@
 
 Small fixed dimensions (region, nation: row counts fixed by definition)
 are broadcast.  Dimensions that grow with the data (customer, part) are
-joined through ``broadcast_if_small`` — broadcast only under a size bound,
+joined without a hint — broadcast only if the planner or AQE knows the size,
 sort-merge otherwise — and facts are aggregated *before* they meet a
 growing dimension so the shuffle carries one row per key, not per line.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.operators.joins import broadcast_if_small
 
 
 def dim_snowflake(child: DataFrame, mid: DataFrame, top: DataFrame,
@@ -20,8 +19,8 @@ def dim_snowflake(child: DataFrame, mid: DataFrame, top: DataFrame,
     """Left-join chain child → mid → top where the second key comes from the
     nullable middle side (a child without a parent keeps NULL top columns).
     ``select`` maps output name → source column."""
-    j = child.join(broadcast_if_small(mid), child[child_key] == mid[mid_key], "left") \
-             .join(broadcast_if_small(top), F.col(mid_parent) == top[top_key], "left")
+    j = child.join(mid, child[child_key] == mid[mid_key], "left") \
+             .join(top, F.col(mid_parent) == top[top_key], "left")
     return j.select(*[F.col(src).alias(out) for out, src in select.items()])
 
 
@@ -36,7 +35,7 @@ def line_margin(lines: DataFrame, products: DataFrame, *, line_key: str = "l_par
                 unit_cost: str = "p_retailprice") -> DataFrame:
     """Fact ⟕ product: line total and ``line_total - qty * unit_cost``
     (NULL margin for a line whose product is unknown)."""
-    p = broadcast_if_small(products.select(F.col(product_key).alias("__pk"), F.col(unit_cost).alias("__cost")))
+    p = products.select(F.col(product_key).alias("__pk"), F.col(unit_cost).alias("__cost"))
     line_total = F.col(price) * (F.lit(1) - F.col(discount))
     j = lines.join(p, lines[line_key] == F.col("__pk"), "left")
     return j.select(
@@ -54,9 +53,10 @@ def sales_by_region(orders: DataFrame, customer: DataFrame, nation: DataFrame, r
     one row per customer; nation and region are fixed-size and broadcast."""
     per_cust = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
     c = customer.select("c_custkey", "c_nationkey")
-    j = per_cust.join(broadcast_if_small(c), per_cust.o_custkey == c.c_custkey) \
-        .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")) \
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    # orders of unknown customers, nations or regions count under a NULL region
+    j = per_cust.join(c, per_cust.o_custkey == c.c_custkey, "left") \
+        .join(F.broadcast(nation.select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"), "left") \
+        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return j.groupBy(F.col("r_name").alias("region")).agg(
         F.sum("n").alias("n_orders"), F.round(F.sum("s"), 2).alias("total_sales"))
 
@@ -68,7 +68,7 @@ def sales_by_product_group(lines: DataFrame, products: DataFrame, group_col: str
     line_total = F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))
     per_part = lines.groupBy("l_partkey").agg(F.sum(line_total).alias("rev"), F.sum("l_quantity").alias("qty"))
     p = products.select("p_partkey", group_col, "p_retailprice")
-    j = per_part.join(broadcast_if_small(p), per_part.l_partkey == p.p_partkey, "left")
+    j = per_part.join(p, per_part.l_partkey == p.p_partkey, "left")
     return j.groupBy(F.col(group_col).alias("product_group")).agg(
         F.round(F.sum("rev"), 2).alias("revenue"),
         F.round(F.sum(F.col("rev") - F.col("qty") * F.col("p_retailprice")), 2).alias("margin"),

@@ -12,36 +12,9 @@ DRIVER_TABLES = (
 )
 
 
-# Inferred Parquet schemas, keyed by application, path and the path's
-# modification time: inference reads a footer in a Spark job, and every query
-# reads the same tables again.  A rewritten table has a new modification
-# time and is inferred afresh.
-_SCHEMAS: dict[tuple[str, str, int], object] = {}
-
-
-def _modified(spark: SparkSession, path: str) -> int | None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hp = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return int(fs.getFileStatus(hp).getModificationTime())
-    except Exception:  # noqa: BLE001 - no status: do not cache
-        return None
-
-
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet(path)``, with the schema inferred once per
-    (application, path, modification time)."""
-    mtime = _modified(spark, path)
-    if mtime is None:
-        return spark.read.parquet(path)
-    key = (spark.sparkContext.applicationId, path, mtime)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """``spark.read.parquet(path)``: the schema as it is now."""
+    return spark.read.parquet(path)
 
 
 class Tables:
