@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest tables."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -21,8 +22,9 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"regression_models"}
+    # the llm folder holds its own list of queries without a SQL form
+    own = {n for n in QUERIES if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(ORACLE) == {"regression_models"}
     assert set(ORACLE) <= set(QUERIES)
 
 
