@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from tidewater.catalog import register
 from tidewater.plans import star as S
-from tidewater.sources.tables import Tables
+from tidewater.operators.joins import listed
+from tidewater.sources.tables import Tables, publish_view
 
 
 @register("dim_snowflake", """
@@ -82,3 +83,21 @@ SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS n_or
 FROM orders GROUP BY 1""")
 def sales_by_month(spark, root):
     return S.sales_by_month(Tables(spark, root).orders)
+
+
+@register("monthly_view", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, COUNT(*) AS n_orders,
+       ROUND(SUM(o_totalprice), 2) AS total_sales
+FROM orders GROUP BY 1 HAVING COUNT(*) > 1""")
+def monthly_view(spark, root):
+    publish_view(S.sales_by_month(Tables(spark, root).orders), "monthly_sales")
+    return spark.sql("SELECT month, n_orders, total_sales FROM monthly_sales WHERE n_orders > 1")
+
+
+@register("listed_orders", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def listed_orders(spark, root):
+    t = Tables(spark, root)
+    chosen = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return listed(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", chosen, "c_custkey")

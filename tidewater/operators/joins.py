@@ -7,6 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+def listed(df: DataFrame, column: str, members: DataFrame, member_column: str) -> DataFrame:
+    """Rows whose value is in a list of any length, as a semi join: no row is
+    repeated, and a short list is broadcast by its measured size."""
+    m = members.select(F.col(f"`{member_column}`").alias("__member"))
+    return df.join(m, F.col(f"`{column}`") == F.col("__member"), "left_semi")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
     """Join on same-named keys where NULL matches NULL (dplyr's default).

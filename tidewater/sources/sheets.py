@@ -4,8 +4,8 @@ Spreadsheets are exported one file per sheet.  ``read_sheet`` reads a
 CSV or Parquet export with an explicit schema.  ``read_sheet_with_preamble``
 handles exports that carry N title lines before the header and a missing
 marker such as ``':'``: files are read as text, each file's first N lines
-(by line number within the file) and its header are dropped, and the
-rest is parsed with ``from_csv`` — all in the JVM, file splits read in
+(by line number within the file) and its header are dropped in one Arrow
+pass, and the rest is parsed with ``from_csv``; file splits are read in
 parallel.
 """
 
@@ -29,6 +29,9 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.load(path)
 
 
+MAX_LAYOUTS = 50      # different header lines of one sheet's files
+
+
 def _split_csv_header(line: str) -> list[str]:
     import csv
     return next(csv.reader([line]))
@@ -42,15 +45,16 @@ def _strip_preamble(skip: int):
         import pandas as pd
         seen: dict[str, int] = {}
         for pdf in batches:
-            kinds = []
-            for path, start in zip(pdf["file"], pdf["start"]):
-                if start != 0:
-                    kinds.append("d")
-                    continue
-                n = seen.get(path, 0)
-                seen[path] = n + 1
-                kinds.append("p" if n < skip else "h" if n == skip else "d")
-            out = pd.DataFrame({"kind": kinds, "value": pdf["value"], "file": pdf["file"]})
+            kind = pd.Series("d", index=pdf.index)
+            top = pdf.loc[pdf["start"] == 0, "file"]
+            # most files are past their first lines after one batch
+            if len(top) and any(seen.get(f, 0) <= skip for f in top.unique()):
+                n = top.groupby(top).cumcount() + top.map(lambda f: seen.get(f, 0))
+                kind[n.index[n < skip]] = "p"
+                kind[n.index[n == skip]] = "h"
+            for f, k in top.value_counts().items():
+                seen[f] = seen.get(f, 0) + int(k)
+            out = pd.DataFrame({"kind": kind, "value": pdf["value"], "file": pdf["file"]})
             yield out[out["kind"] != "p"]
     return run
 
@@ -64,20 +68,34 @@ def read_sheet_with_preamble(spark: SparkSession, path: str, skip: int = 1, na:
     The preamble sits at the start of each file, i.e. in the split whose
     ``_metadata.file_block_start`` is 0; a ``mapInPandas`` pass drops those
     lines there (no per-file grouping, splits stay parallel).  Without
-    ``columns`` the header comes from the first file (one line).
+    ``columns`` every file is read by its own header, columns matched by name.
     """
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     lines = raw.mapInPandas(_strip_preamble(skip), "kind string, value string, file string")
-    if columns is None:
-        first = lines.where(F.col("kind") == "h").orderBy("file").select("value").first()
-        if first is None:
-            raise ValueError(f"{path}: no header line after {skip} preamble lines")
-        columns = _split_csv_header(first[0])
-    ddl = ", ".join("`" + c.replace("`", "``") + "` STRING" for c in columns)
     opts = {"nullValue": na} if na is not None else {}
     body = lines.where((F.col("kind") == "d") & (F.length("value") > 0))
-    out = body.select(F.from_csv("value", F.lit(ddl), opts).alias("__r")).select("__r.*")
+
+    def parse(part: DataFrame, names: Sequence[str]) -> DataFrame:
+        ddl = ", ".join("`" + c.replace("`", "``") + "` STRING" for c in names)
+        return part.select(F.from_csv("value", F.lit(ddl), opts).alias("__r")).select("__r.*")
+
+    if columns is not None:
+        out = parse(body, columns)
+    else:
+        # each file is read by its own header: one part per distinct header line
+        heads = lines.where(F.col("kind") == "h").select("file", F.col("value").alias("header"))
+        layouts = [r.header for r in heads.groupBy("header").agg(F.min("file").alias("f")).orderBy("f").limit(MAX_LAYOUTS + 1).collect()]
+        if not layouts:
+            raise ValueError(f"{path}: no header line after {skip} preamble lines")
+        if len(layouts) > MAX_LAYOUTS:
+            raise ValueError(f"{path}: more than {MAX_LAYOUTS} different headers")
+        columns = _split_csv_header(layouts[0])
+        out = parse(body if len(layouts) == 1 else body.join(heads.where(F.col("header") == layouts[0]), "file", "left_semi"), columns)
+        for h in layouts[1:]:
+            out = out.unionByName(parse(body.join(heads.where(F.col("header") == h), "file", "left_semi"), _split_csv_header(h)),
+                                  allowMissingColumns=True)
+        columns = out.columns
     if na is not None:
         out = out.select(*[F.when(F.trim(F.col(f"`{c}`")) == na, None).otherwise(F.col(f"`{c}`")).alias(c)
                            for c in columns])
