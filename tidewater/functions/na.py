@@ -45,12 +45,6 @@ def sum_strict(c) -> Column:
     return F.when(F.count_if(col(c).isNull()) == 0, F.sum(col(c)))
 
 
-def strict_over(agg: Column, c, window: WindowSpec) -> Column:
-    """Window aggregate that is NULL when any row of the frame is NULL
-    (R ``cumsum``/``median`` without ``na.rm``)."""
-    return F.when(~F.bool_or(col(c).isNull()).over(window), agg.over(window))
-
-
 def r_round(c, digits: int = 0) -> Column:
     """R ``round``: half to even."""
     return F.bround(col(c), digits)

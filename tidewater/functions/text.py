@@ -45,11 +45,6 @@ def digits_only(c) -> Column:
     return F.regexp_replace(col(c), "[^0-9]", "")
 
 
-def to_number(c) -> Column:
-    """R ``as.numeric(s)``: NULL (NA) when the text is not a number."""
-    return F.expr(f"try_cast({_sql_ref(c)} AS double)")
-
-
 def _sql_ref(c) -> str:
     if isinstance(c, str):
         return "`" + c.replace("`", "``") + "`"

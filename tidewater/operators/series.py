@@ -43,11 +43,3 @@ def stack_bounds(df: DataFrame, period: str, ordinal: str | Sequence[str], value
     ``ordinal`` order; upper = running sum, lower = upper - value."""
     w = W.partitionBy(period).orderBy(*_keys(ordinal)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(upper, F.sum(value).over(w)).withColumn(lower, F.col(upper) - F.col(value))
-
-
-def first_index_from(df: DataFrame, entity: str | Sequence[str], order: str, value: str,
-                     base_order_value, out: str) -> DataFrame:
-    """``value / value at base period`` per entity (growth multiple)."""
-    keys = _keys(entity)
-    base = df.where(F.col(order) == F.lit(base_order_value)).select(*keys, F.col(value).alias("__base"))
-    return df.join(base, keys, "left").withColumn(out, F.try_divide(F.col(value), F.col("__base"))).drop("__base")

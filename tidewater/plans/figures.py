@@ -81,9 +81,3 @@ def bar_totals(supply: DataFrame, x: str = "Year", y: str = "Net_Additional",
     """Bars with stat='identity': same-x values stack, i.e. sum per x."""
     b = supply.groupBy(x).agg((F.sum(y) / F.lit(1000.0)).alias("value_k"))
     return b.withColumn("at_or_above", F.col("value_k") >= spec.bar_threshold)
-
-
-def facet_partitions(region: DataFrame, spec: FigureSpec = FigureSpec(),
-                     keys: Sequence[str] = ("Region_Name",)) -> DataFrame:
-    """Facet key as the partition key of a sink (``write.partitionBy``)."""
-    return region_facets(region, spec).repartition(*keys)

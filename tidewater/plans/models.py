@@ -6,12 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from tidewater.operators.order_stats import cut_lineage
+
 FEATURES = ("n_lines", "quantity", "avg_discount", "avg_tax", "gross")
 
 
@@ -35,17 +36,22 @@ def _models(seed: int):
     }
 
 
-def compare_models(features: DataFrame, cols: Sequence[str] = FEATURES, seed: int = 42) -> DataFrame:
-    """Fit each model on the full table and report in-sample RMSE and R²
-    (one row per model)."""
+def compare_models(features: DataFrame, cols: Sequence[str] = FEATURES, seed: int = 42,
+                   key: str = "l_orderkey", folds: int = 5) -> DataFrame:
+    """Fit each model and report RMSE and R² on held-out rows (one row per
+    model).  A row is held out if its key's hash is 0 modulo ``folds``.  The
+    features are assembled and written once; the models read that table."""
     assemble = VectorAssembler(inputCols=list(cols), outputCol="raw")
-    scale = StandardScaler(inputCol="raw", outputCol="features")
-    rows = []
+    table = cut_lineage(assemble.transform(features).select(key, "label", "raw"))
+    held = F.pmod(F.xxhash64(key), F.lit(folds)) == 0
+    train, test = table.where(~held), table.where(held)
+    scale = StandardScaler(inputCol="raw", outputCol="features").fit(train)
+    train, test = scale.transform(train), scale.transform(test)
     rmse = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse")
     r2 = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="r2")
+    rows = []
     for name, est in _models(seed).items():
-        model = Pipeline(stages=[assemble, scale, est]).fit(features)
-        pred = model.transform(features)
+        pred = est.fit(train).transform(test)
         rows.append((name, float(rmse.evaluate(pred)), float(r2.evaluate(pred))))
     spark = features.sparkSession
     return spark.createDataFrame(rows, "model string, rmse double, r2 double")
