@@ -59,6 +59,14 @@ def test_structures():
         assert X.main_text(src) == want, src[:80]
 
 
+def test_head_without_end_tag():
+    for start in ("<html><head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title><link href=x>", "<head><script>a</script><body class=x>",
+                  "<html><head><style>p {}</style>\n", "<head><title>T</title></head><body>", "<head><meta name=a></html>"):
+        assert X.main_text(f"{start}<article><h1>Head</h1>{BODY}</article>") == "Head " + TEXT, start
+    assert X.main_text("<head><title>T</title>\n words <b>and</b> more") == "words and more"
+    assert X.main_text("<head><title>T</title><iframe src=x></iframe>words") == "words"
+
+
 def test_odd_inputs(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "y"), (3, "v", "<div>" * 50000 + "deep", "z"), (4, "w", "<p>" + "é " * 300000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -16,7 +16,8 @@ all reach the threshold.
 
 Defined results: a null, empty or tagless page gives its plain text (or an
 empty one); unclosed elements end with their parent; character references are
-decoded; white space in a block is one space and blocks are joined by one
+decoded; a head without its end tag ends at ``<body>`` or at the first text or
+element that may not stand in one; white space in a block is one space and blocks are joined by one
 space.  Rows are handled one by one, repeated ones alike; other columns are
 ignored.
 """
@@ -42,6 +43,7 @@ ATTR = re.compile(r"(?P<name>[a-zA-Z-]+)\s*+(?:=\s*+(?:\"(?P<a>[^\"]*+)\"|'(?P<b
 
 # fixed HTML element names
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 SKIP = frozenset("head nav header footer aside form button select fieldset dialog menu object canvas audio video applet".split())
 ENDS_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -72,6 +74,8 @@ class Page:
         stack, skip = [(0, "body", False)], None          # (node, tag, in a link); skip: depth below which nothing counts
         for m in TOKEN.finditer(source):
             text = m["text"] if m["text"] is not None else m["cdata"]
+            if skip is not None and stack[-1][1] == "head" and self._ends_head(m):
+                skip = self._close(stack, "head", skip)
             if text is not None:
                 if skip is None:
                     node, _, link = stack[-1]
@@ -120,6 +124,16 @@ class Page:
                 if out:
                     skip = len(stack) - 1
 
+    @staticmethod
+    def _ends_head(m: re.Match) -> bool:
+        """Whether a token that may not stand in a head ends an open one."""
+        if m["text"] is not None:
+            return bool(m["text"].strip())
+        tag = (m["raw"] or m["tag"] or "").lower()
+        if m["end"]:
+            return tag in ("html", "body")
+        return tag not in ("", "html", "head") and tag not in IN_HEAD
+
     @staticmethod
     def _close(stack: list, tag: str, skip: int | None) -> int | None:
         for k in range(len(stack) - 1, 0, -1):
