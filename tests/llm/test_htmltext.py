@@ -67,6 +67,26 @@ def test_head_without_end_tag():
     assert X.main_text("<head><title>T</title><iframe src=x></iframe>words") == "words"
 
 
+def test_marked_wrappers():
+    note = "<div class=comments><p>Short reply.</p></div>"
+    related = "<div class=related><article><p>A teaser of another page.</p></article></div>"
+    cases = {
+        f"<body><div class='content-sidebar-wrap'><main>{BODY}</main><div class=sidebar><p>Side words</p></div></div></body>": TEXT,
+        f"<body><div id='page' class='no-sidebar'><div>{BODY}</div><div class=ad>Buy</div></div></body>": TEXT,
+        f"<div class='article-share-discussion'><article>{BODY}</article></div>{note}": TEXT,
+        f"<div class='has-sidebar'><div class='content-sidebar-wrap'><article><h1>T</h1>{BODY}{note}</article></div></div>": "T " + TEXT,
+        f"<article><h1>T</h1><div class='article-share-discussion'>{BODY}</div></article>": "T " + TEXT,
+        f"<main>{BODY}{related}</main>": TEXT,
+        f"<article>{BODY}<section class=comments><article><p>{TEXT}{TEXT}</p></article></section></article>": TEXT,
+        f"<div id=content>{BODY}</div>{related}": TEXT,
+        f"<div class='no-sidebar'>{BODY}{BODY}</div>{related}": TEXT + " " + TEXT,
+        f"<div><p>Menu</p></div><div class='page-header-wrap'><main>{BODY}</main></div><div class=comments><p>{TEXT}{TEXT}</p></div>": TEXT,
+        f"<article>{BODY}<div class='promo' style='display:none'>{BODY}</div><span class=ad>Buy</span></article>": TEXT,
+    }
+    for src, want in cases.items():
+        assert X.main_text(src) == want, src[:80]
+
+
 def test_odd_inputs(spark):
     rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "y"), (3, "v", "<div>" * 50000 + "deep", "z"), (4, "w", "<p>" + "é " * 300000, "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

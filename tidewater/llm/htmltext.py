@@ -1,8 +1,10 @@
 """HTML main text by composite text density.
 
 A page is read into a list of nodes.  Elements that are not part of an article
-by their kind (menus, headers, footers, sidebars, forms, scripts, styles) or by
-their class, id or role (adverts, notices, comments and so on) are left out.
+by their kind (menus, headers, footers, sidebars, forms, scripts, styles) or that
+are hidden are left out.  So are those that a word of their class, id or role
+marks (adverts, notices, comments and so on), unless the word stands on a
+wrapper of the main text (``Page._wraps``): the densities decide there.
 For every remaining node with C characters, T tags, LC characters and LT tags
 in links the composite density is
 
@@ -54,6 +56,8 @@ NOISE = frozenset("""ad ads advert adverts advertisement advertising adsense spo
  menu navbar nav navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices alert popup modal
  newsletter subscribe subscription signup paywall comment comments reply replies disqus respond discussion related recommended share sharing
  social pagination pager toolbar widget complementary contentinfo""".split())
+# next to nothing is what the rest holds more than so many times
+NEARLY_ALL = 9
 
 
 class Page:
@@ -64,12 +68,46 @@ class Page:
         self.chars, self.link_chars, self.n_tags, self.link_tags = [0], [0], [1], [0]
         self.kids: list[list[int]] = [[]]
         self.order: list[tuple[int, str]] = []       # (node, text) in page order; text "" for a block's edge
+        self.marked = [False]
         self._read(source)
+        if any(self.marked):
+            self._leave_out()
         for i in range(len(self.tags) - 1, 0, -1):
             p = self.parent[i]
             for a in (self.chars, self.link_chars, self.n_tags, self.link_tags):
                 a[p] += a[i]
 
+    def _leave_out(self) -> None:
+        """Empty the marked nodes that are no wrappers, with all in them."""
+        n = len(self.tags)
+        plain = [c - l for c, l in zip(self.chars, self.link_chars)]     # unlinked characters: of the whole subtree
+        bare, holds = list(plain), [False] * n                           # the same outside marked nodes; holds an article or main
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            plain[p] += plain[i]
+            bare[p] += 0 if self.marked[i] else bare[i]
+            holds[p] |= holds[i] or self.tags[i] in ("article", "main")
+        out, scope = [False] * n, [0] * n                                # scope: the nearest article, main or body around a node
+        for i in range(1, n):
+            p = self.parent[i]
+            scope[i] = p if self.tags[p] in ("article", "main") else scope[p]
+            out[i] = out[p] or (self.marked[i] and not self._wraps(i, scope[i], plain, bare, holds))
+            if out[i]:
+                self.chars[i] = self.link_chars[i] = self.n_tags[i] = self.link_tags[i] = 0
+        self.kids = [[k for k in kids if not out[k]] for kids in self.kids]
+        self.order = [x for x in self.order if not out[x[0]]]
+
+    def _wraps(self, i: int, scope: int, plain: list, bare: list, holds: list) -> bool:
+        """Whether a marked node is a wrapper of the main text.  It is one if it
+        holds an article or main, at least as many unlinked characters as what
+        is not marked around it, and not next to nothing of all; or if, on a
+        page without article and main, it holds most of the unlinked
+        characters; or if next to nothing is left without it."""
+        rest = plain[scope] - plain[i]
+        if holds[i] and self.tags[scope] != "article":
+            return plain[i] >= bare[scope] and rest <= NEARLY_ALL * plain[i]
+        return plain[i] > (NEARLY_ALL if holds[0] else 1) * rest
+
     def _read(self, source: str) -> None:
         stack, skip = [(0, "body", False)], None          # (node, tag, in a link); skip: depth below which nothing counts
         for m in TOKEN.finditer(source):
@@ -105,12 +143,14 @@ class Page:
                 skip = self._imply(stack, SIBLINGS[tag], skip)
             if tag in VOID:
                 continue
-            out = skip is None and (tag in SKIP or (tag not in ("article", "main") and self._noise(m["attrs"])))
+            marked, hidden = (False, False) if skip is not None or tag in SKIP or tag in ("article", "main") else self._noise(m["attrs"])
+            out = skip is None and (tag in SKIP or hidden)
             if skip is None and not out:
                 p, _, link = stack[-1]
                 link = link or tag == "a"
                 self.tags.append(tag)
                 self.parent.append(p)
+                self.marked.append(marked)
                 self.kids.append([])
                 self.kids[p].append(len(self.tags) - 1)
                 self.chars.append(0)
@@ -151,18 +191,20 @@ class Page:
         return skip
 
     @staticmethod
-    def _noise(attrs: str) -> bool:
+    def _noise(attrs: str) -> tuple[bool, bool]:
+        """Whether a word marks an element, and whether it is hidden."""
+        marked = False
         if not attrs or attrs == "/":
-            return False
+            return False, False
         for a in ATTR.finditer(attrs):
             name, value = a["name"].lower(), (a["a"] or a["b"] or a["c"] or "").lower()
             if name in ("class", "id", "role") and not NOISE.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+                marked = True
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return marked, True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return marked, True
+        return marked, False
 
     def density(self, i: int) -> float:
         c, t, lc, lt = self.chars[i], self.n_tags[i], self.link_chars[i], self.link_tags[i]
