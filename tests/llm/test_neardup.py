@@ -81,6 +81,19 @@ def test_odd_inputs(spark):
     assert N.keep_one(d).columns == d.columns
 
 
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (6, a), (6, b), (7, b + " end"), (None, c), (None, c), (None, c + " end"), (None, "alone"), (None, None), (None, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*x, 5) for x in rows], "doc_id long, text string, th int")
+    got = N.keep_one(docs)
+    assert got.columns == docs.columns
+    left = [tuple(r)[:2] for r in got.collect()]
+    of_c = [x for x in left if x[1] in (c, c + " end")]
+    assert len(of_c) == 1 and of_c[0][0] is None
+    want = [(1, a), (6, b), (None, "alone"), (None, None), (None, None), (None, a)]
+    assert sorted([x for x in left if x not in of_c], key=str) == sorted(want, key=str)
+
+
 def test_posterior_bound_and_bands():
     least = N.least_matches(0.85)
     assert list(least) == [32, 64, 96, 128, 160] and all(a < b for a, b in zip(least.values(), list(least.values())[1:]))

@@ -54,6 +54,16 @@ def test_score_is_the_density_difference():
     assert np.allclose(m.score(q), want, atol=1e-6)
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    good = [f"A sentence number {i} that reads like any other one, with words and a stop." for i in range(12)]
+    junk = [f"$$ ## {i} @@ %% ^^ ** !! {i * 7} <> == ++" for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(good + junk)]
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, quality int")
+    odd = [(None, good[0]), (None, junk[0]), (100, good[1]), (100, junk[1])]
+    left = [tuple(r) for r in Q.keep(spark.createDataFrame(rows + odd, "doc_id long, text string"), labels).collect()]
+    assert sorted(left, key=str) == sorted([x for x in rows + odd if x[1] in good], key=str)
+
+
 def test_odd_inputs(spark):
     rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "Some words here.", "c"), (4, "x" * 300000, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")

@@ -81,7 +81,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _grouped(batches):
-    """``(ids, texts)`` a bounded number of characters at a time."""
+    """``(rows, texts)`` a bounded number of characters at a time."""
     for b in batches:
         at, texts = 0, b.column(1)
         while at < len(texts):
@@ -90,7 +90,7 @@ def _grouped(batches):
                 group.append(texts[at].as_py())
                 chars += len(group[-1])
                 at += 1
-            yield b.column(0)[at - len(group):at], group
+            yield b.slice(at - len(group), len(group)), group
 
 
 def _sets(texts: list[str], k: int):
@@ -103,19 +103,19 @@ def _print(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n_shingles, print, sig)`` of every row; the last two are null
-    without words."""
+    """``(doc_id, th, n_shingles, print, sig)`` of every row ``(doc_id, text,
+    th)``; the last two are null without words."""
     def run(batches):
-        for ids, texts in _grouped(batches):
+        for rows, texts in _grouped(batches):
             sets = _sets(texts, k)
             yield pa.RecordBatch.from_arrays([
-                ids, pa.array([len(s) for s in sets], type=pa.int64()),
+                rows.column(0), rows.column(2), pa.array([len(s) for s in sets], type=pa.int64()),
                 pa.array([_print(s) if len(s) else None for s in sets], type=pa.binary()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], type=pa.binary())],
-                ["doc_id", "n_shingles", "print", "sig"])
+                ["doc_id", "th", "n_shingles", "print", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, print binary, sig binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, th bigint, n_shingles bigint, print binary, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -318,10 +318,14 @@ def block_links(members: DataFrame, comps: DataFrame, classes: DataFrame, docs:
     return rows_in.groupBy("pair").applyInPandas(compare, "u bigint, v bigint")
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row: shingles of
-    ``k`` words, links at a Jaccard similarity of ``percent`` / 100 or more."""
-    docs = id_text(docs, id_col, text_col)
+def _hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _grouped_rows(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, th, n_shingles, component_id, root)`` for every row; ``th`` is
+    the hash of its text, and rows with words of an equal ``root`` form a group."""
+    docs = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     base = settle(sketches(docs, k))
     classes = settle(base.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"))
                      .withColumn("node", F.monotonically_increasing_id()))
@@ -334,16 +338,33 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         comps = settle(components(links.union(more)))
     tied = classes.select("node", "rep").join(comps, "node")
     first = tied.groupBy("root").agg(F.min("rep").alias("component"))
-    named = tied.join(first, "root").select("node", "component")
+    named = tied.join(first, "root").select("node", "component", "root")
     names = settle(classes.select("node", "print", "rep").join(named, "node", "left")
-                   .select("print", F.coalesce("component", "rep").alias("component")))
-    out = base.select("doc_id", "n_shingles", "print").join(names, "print", "left").withColumn(
-        "component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+                   .select("print", F.coalesce("component", "rep").alias("component"), F.coalesce("root", "node").alias("root")))
+    return base.select("doc_id", "th", "n_shingles", "print").join(names, "print", "left").select(
+        "doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row: shingles of
+    ``k`` words, links at a Jaccard similarity of ``percent`` / 100 or more."""
+    return _grouped_rows(docs, k, percent, id_col, text_col).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that another member of their group stands
-    for; all columns as they were.  Repeated rows of a kept id stay."""
-    gone = groups(docs, k, percent, id_col, text_col).filter(~F.col("kept") & F.col("component_id").isNotNull() & F.col("doc_id").isNotNull())
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    for; all columns as they were.  Rows are told apart by doc_id and text:
+    repeated rows of a kept id stay, and another text of an id goes or stays by
+    its own group.  Of the rows of a group that have a null doc_id, one stays,
+    of the smallest text hash."""
+    rows = _grouped_rows(docs, k, percent, id_col, text_col)
+    some = rows.filter("doc_id IS NOT NULL AND component_id IS NOT NULL AND doc_id <> component_id").select("doc_id", "th")
+    null = settle(rows.filter("doc_id IS NULL AND n_shingles > 0").select("doc_id", "th", "root").distinct())
+    least = null.groupBy("root").agg(F.min("th").alias("least"))
+    more = null.join(least, "root").filter("th <> least").select("doc_id", "th")
+    gone = some.union(more).distinct().select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    left = docs.withColumn("__key", _hash(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_anti")
+    # null ids with words: equal texts are one group, of which one row stays
+    once = F.col(id_col).isNull() & F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return left.filter(~once).union(left.filter(once).dropDuplicates(["__key"])).drop("__key")

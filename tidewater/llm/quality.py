@@ -76,15 +76,16 @@ def statistics(text: str) -> list[float]:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, x)`` for every row."""
-    df = id_text(docs, id_col, text_col)
+    """``(doc_id, th, x)`` for every row; ``th``, the hash of the text, tells
+    different texts under one doc_id apart."""
+    df = id_text(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
 
     def run(batches):
         for b in batches:
             x = [statistics(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, type=pa.list_(pa.float64()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, type=pa.list_(pa.float64()))], ["doc_id", "th", "x"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, th bigint, x array<double>")
 
 
 def held_out(doc_id) -> F.Column:
@@ -159,24 +160,30 @@ def fit(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return Model(sums)
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, th, score)`` for every row of ``docs``."""
     feats = settle(features(docs, id_col, text_col))   # read twice: to learn and to score
     model = fit(feats, labels)
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(model.score(_matrix(b.column(1))), type=pa.float64())], ["doc_id", "score"])
+                [b.column(0), b.column(1), pa.array(model.score(_matrix(b.column(2))), type=pa.float64())], ["doc_id", "th", "score"])
+
+    return feats.mapInArrow(run, f"doc_id {feats.schema['doc_id'].dataType.simpleString()}, th bigint, score double")
 
-    scored = feats.mapInArrow(run, f"doc_id {feats.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
+    return _scored(docs, labels, id_col, text_col).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected, all columns as they were.  Of an
-    id that repeats, all rows go if one is rejected."""
-    bad = classify(docs, labels, threshold, id_col, text_col).filter("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that are not rejected, all columns as they were.  Rows of
+    one doc_id, also a null one, are judged by their own texts."""
+    bad = _scored(docs, labels, id_col, text_col).filter(~(F.col("score") >= threshold)).select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")
