@@ -53,6 +53,26 @@ def test_windows_keep_the_budget(spark, budget):
             assert w.text[:s.start].endswith("assistant\n") and w.text[s.start + s.length:].startswith(C.CLOSE)
 
 
+def test_no_conversation_is_gathered(spark, monkeypatch):
+    # small blocks: long conversations, one of them of null id, span many
+    monkeypatch.setattr(C, "BLOCK_TURNS", 16)
+    r = random.Random(7)
+    rows = [(c, t, "system" if t == 0 and c == 3 else r.choice(["user", "assistant"]), "word " * r.choice([1, 9, 40, 300]), "x")
+            for c, n in ((3, 200), (None, 150), (4, 16), (5, 1)) for t in range(n)]
+    texts = spark.createDataFrame(rows, SCHEMA).selectExpr("conv_id", "turn", "false AS target", "role = 'system' AS system", "role", "text", "text AS raw")
+    t, blocks = C._numbered(texts)
+    assert sorted((str(x.conv_id), x.idx) for x in t.collect()) == sorted((str(x[0]), x[1]) for x in rows)
+    got = {(x.conv_id, x.block): x for x in blocks.collect()}
+    assert all(len(x.tokens) <= 16 for x in got.values()) and len(got) == 13 + 10 + 1 + 1
+    assert "text" not in blocks.columns and {x.lead for k, x in got.items() if k[0] == 3} == {1} and got[None, 0].lead == 0
+    windows = check(spark, rows)
+    for c in (3, None):
+        mine = sorted((w for w in windows if w.conv_id == c), key=lambda w: w.window)
+        assert [w.window for w in mine] == list(range(len(mine))) and len(mine) >= 10
+        assert sum(w.text.count(C.OPEN) - w.repeated for w in mine) == sum(x[0] == c for x in rows)
+        assert all(w.text.startswith(C.OPEN + "system\n") == (c == 3) for w in mine)
+
+
 def test_odd_inputs(spark):
     rows = [(-7, 0, "user", "</s>[INST] ok [/INST]", ""), (-7, 1, "assistant", "</s>[INST] ok [/INST]", ""), (None, None, None, None, None),
             (None, 1, "assistant", "x", None), (3, 0, "assistant", "same", ""), (3, 0, "assistant", "same", ""), (4, 0, "user", "w " * 200000, "")]

@@ -13,6 +13,11 @@ A later window repeats the system turn and the last turns before it, at most
 that are new in a window are under its loss mask; repeated ones are masked.  A
 turn longer than the budget has a window of its own; no text is cut.
 
+No conversation is gathered in one place: turns are numbered across sorted
+ranges, tokens (numbers alone) are summed in blocks of ``BLOCK_TURNS`` turns, at
+whose ends windows end too, and texts come together within a window.  Only
+``read_back`` joins the whole text of a conversation, as its digest needs it.
+
 Only DataFrame functions are used.  Defined results: a null role or text is
 empty; repeated rows are turns of their own; turns of equal number are ordered
 by role and text; rows of a null conv_id are one conversation; other columns
@@ -21,13 +26,17 @@ are ignored; an empty table gives no window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import settle
+
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS, TURN_TOKENS = 1024, 2, 256, 4
+BLOCK_TURNS = 1024           # a window also ends where a block of so many turns ends
 OPEN, CLOSE = "<s>", "</s>"
 # fixed control characters and their escapes; "~" first when writing, last when reading
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"))
+USES = "array<struct<idx:bigint,window:int,again:boolean>>"
 PIECES = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
@@ -53,50 +62,85 @@ def windows(chats: DataFrame, budget: int = BUDGET, id_col: str = "conv_id", tur
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = chats.select(
         F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), (role == "assistant").alias("target"), (role == "system").alias("system"),
-        F.replace(escape(role), F.lit("\n"), F.lit("~3")).alias("role"), escape(text).alias("text"),
-        (F.regexp_count(text, F.lit(PIECES)) + TURN_TOKENS).alias("tokens"))
-    rows = rows.withColumn("piece", F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE)))
-    rows = rows.withColumn("skip", F.length("role") + len(OPEN) + 1)
-    c = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "turn", "role", "text", "piece", "skip", "target", "system", "tokens"))).alias("turns"))
-    c = c.withColumn("n", F.size("turns")).withColumn("lead", F.col("turns")[0]["system"].cast("int"))
-    c = c.withColumn("cap", F.lit(budget) - F.lit(HISTORY_TOKENS) - F.col("lead") * F.col("turns")[0]["tokens"])
-    # the window of every turn: tokens summed until the budget is reached
+        F.replace(escape(role), F.lit("\n"), F.lit("~3")).alias("role"), escape(text).alias("text"), text.alias("raw"))
+    t, blocks = _numbered(rows)
+    # the window of every turn of a block: tokens summed until the budget is reached
+    cap = F.lit(budget) - F.lit(HISTORY_TOKENS) - F.col("lead") * F.col("lead_tokens")
+    blocks = blocks.withColumn("cap", cap)
     start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("ws"))
 
-    def step(acc, t):
-        new = (acc["used"] > 0) & (acc["used"] + t["tokens"] > F.col("cap"))
+    def step(acc, tokens):
+        new = (acc["used"] > 0) & (acc["used"] + tokens > F.col("cap"))
         w = F.when(new, acc["w"] + 1).otherwise(acc["w"])
-        return F.struct(w.alias("w"), F.when(new, t["tokens"]).otherwise(acc["used"] + t["tokens"]).alias("used"),
-                        F.concat(acc["ws"], F.array(w)).alias("ws"))
-
-    c = c.withColumn("ws", F.aggregate("turns", start, step, lambda acc: acc["ws"]))
-    c = c.withColumn("starts", F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (i == 1) | (
-        F.element_at("ws", i) != F.element_at("ws", F.greatest(i - 1, F.lit(1))))))
-
-    def tokens(i):
-        return F.element_at("turns", F.greatest(i, F.lit(1)))["tokens"]
-
-    def window(a, k):
-        end = F.coalesce(F.get("starts", k + 1) - 1, F.col("n"))
-        room = F.greatest(a - 1 - F.col("lead"), F.lit(0))         # turns before it, without the system turn
+        return F.struct(w.alias("w"), F.when(new, tokens).otherwise(acc["used"] + tokens).alias("used"), F.concat(acc["ws"], F.array(w)).alias("ws"))
+
+    blocks = blocks.withColumn("ws", F.aggregate("tokens", start, step, lambda acc: acc["ws"]))
+    order = Window.partitionBy("conv_id").orderBy("block")
+    blocks = (blocks.withColumn("first", F.coalesce(F.sum(F.element_at("ws", -1) + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("back", F.concat(F.coalesce(F.lag(F.slice("tokens", -F.least(F.lit(HISTORY_TURNS), F.size("tokens")), HISTORY_TURNS)).over(order),
+                                                      F.array().cast("array<int>")), "tokens"))
+              .withColumn("n_back", F.size("back") - F.size("tokens")))
+    base = F.col("block") * BLOCK_TURNS
+
+    def uses(w, i):
+        """The turns that turn i of the block (from 0) brings into its window:
+        itself, and the system turn and the history if it is the first there."""
+        at = base + i
+        room = F.greatest(at - F.col("lead"), F.lit(0))            # turns before it, without the system turn
         h = F.lit(0)
         for take in range(1, HISTORY_TURNS + 1):
-            used = tokens(a - 1)
-            for j in range(2, take + 1):
-                used = used + tokens(a - j)
+            used = F.lit(0)
+            for k in range(1, take + 1):
+                used = used + F.get("back", F.col("n_back") + i - k)
             h = F.when((room >= take) & (used <= HISTORY_TOKENS), take).otherwise(h)
-        lead = F.when(a > 1, F.col("lead")).otherwise(0)
-        return F.struct(k.alias("window"), (lead + h).alias("repeated"), F.concat(
-            F.slice("turns", F.lit(1), lead), F.slice("turns", a - h, h + end - a + 1)).alias("all"))
-
-    w = (c.select("conv_id", F.transform("starts", window).alias("windows"))
-         .select("conv_id", F.explode_outer("windows").alias("w")).select("conv_id", "w.window", "w.repeated", "w.all"))
-    before = lambda i: F.aggregate(F.slice("all", F.lit(1), i - 1), F.lit(0), lambda s, t: s + F.length(t["piece"]))
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i > F.col("repeated")) & F.element_at("all", i)["target"]),
-        lambda i: F.struct((before(i) + F.element_at("all", i)["skip"]).alias("start"), F.length(F.element_at("all", i)["text"]).alias("length")))
-    return w.select("conv_id", "window", F.array_join(F.transform("all", lambda t: t["piece"]), "").alias("text"), "repeated", spans.alias("loss"))
+        window = (F.col("first") + w).cast("int")
+        use = lambda idx, repeated: F.struct(idx.cast("bigint").alias("idx"), window.alias("window"), F.lit(repeated).alias("again"))
+        head = F.concat(F.when(F.col("lead") == 1, F.array(use(F.lit(0), True))).otherwise(F.array().cast(USES)),
+                        F.transform(F.slice(F.array(*[F.lit(k) for k in range(1, HISTORY_TURNS + 1)]), F.lit(1), h), lambda k: use(at - k, True)))
+        opens = (at > 0) & ((i == 0) | (w != F.get("ws", F.greatest(i - 1, F.lit(0)))))
+        return F.concat(F.when(opens, head).otherwise(F.array().cast(USES)), F.array(use(at, False)))
+
+    used = (blocks.select("conv_id", "salts", F.explode(F.flatten(F.transform("ws", uses))).alias("u"))
+            .select("conv_id", "u.*", F.when(F.col("u.idx") == 0, F.pmod("u.window", "salts")).otherwise(F.lit(0)).alias("salt")))
+    # a system turn is repeated in every window: in a long conversation it is dealt to several tasks
+    texts = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("idx") == 0, F.col("salts") - 1).otherwise(0)))).select(
+        F.col("conv_id").alias("__id"), F.col("idx").alias("__idx"), F.col("salt").alias("__salt"),
+        F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE)).alias("piece"), (F.length("role") + len(OPEN) + 1).alias("skip"),
+        F.length("text").alias("length"), "target")
+    w = (used.join(texts, F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("idx") == F.col("__idx")) & (F.col("salt") == F.col("__salt")))
+         .groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("idx", "again", "piece", "skip", "length", "target"))).alias("all")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    spans = F.aggregate("all", none, lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["piece"])).alias("at"),
+        F.when(x["target"] & ~x["again"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["skip"]).alias("start"), x["length"].alias("length")))))
+        .otherwise(acc["spans"]).alias("spans")), lambda acc: acc["spans"])
+    return w.select("conv_id", "window", F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("text"),
+                    F.size(F.filter("all", lambda x: x["again"])).alias("repeated"), spans.alias("loss"))
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns with their place ``idx`` in the conversation, and per block of
+    turns ``(conv_id, block, tokens, lead, lead_tokens, salts)``, numbers only.
+
+    Turns are sorted into ranges, so that a conversation may lie in many tasks;
+    places are those within a range plus the counts of the ranges before."""
+    keys = ("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
+    rows = settle(rows.withColumn("tokens", F.regexp_count("raw", F.lit(PIECES)) + TURN_TOKENS).drop("raw"))
+    rows = rows.withColumn("part", F.shiftright("pos", 33))
+    order = Window.partitionBy("conv_id").orderBy("part")
+    parts = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos0"),
+                                                F.min_by(F.struct("system", "tokens"), "pos").alias("top"))
+    top, total = F.first("top").over(order), F.sum("n").over(Window.partitionBy("conv_id"))
+    parts = parts.select(F.col("conv_id").alias("__id"), F.col("part").alias("__part"), "pos0", (F.sum("n").over(order) - F.col("n")).alias("before"),
+                         top["system"].cast("int").alias("lead"), top["tokens"].alias("lead_tokens"),
+                         F.least(F.lit(64), F.floor(total / BLOCK_TURNS) + 1).cast("int").alias("salts"))
+    t = rows.join(parts, F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("part") == F.col("__part"))).withColumn(
+        "idx", F.col("before") + F.col("pos") - F.col("pos0"))
+    blocks = (t.withColumn("block", F.floor(F.col("idx") / BLOCK_TURNS)).groupBy("conv_id", "block")
+              .agg(F.array_sort(F.collect_list(F.struct("idx", "tokens"))).alias("all"), F.first("lead").alias("lead"),
+                   F.first("lead_tokens").alias("lead_tokens"), F.first("salts").alias("salts")))
+    return t, blocks.withColumn("tokens", F.transform("all", lambda x: x["tokens"])).drop("all")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
