@@ -1,4 +1,4 @@
-"""Personal data by weak supervision: labelers, their reliabilities, one classifier.
+"""Personal data by weak supervision: labelers, their reliabilities, one rule.
 
 Candidates are spans of four base kinds (email, ip, card, phone; regular
 expressions over the whole text, leftmost and without overlap) and of two added
@@ -14,10 +14,9 @@ address).  On each candidate labelers vote 1, 0 or not at all:
 
 Expectation-maximisation over the counts of vote patterns (a table bounded by
 kinds times patterns, whatever the corpus) estimates per kind the share of true
-spans and every labeler's rates under conditional independence.  The posterior
-of each pattern trains the final classifier, a logistic model over the votes
-whose weights are the estimated log-odds; it accepts added spans at
-``THRESHOLD`` or more.  Base spans that pass their check always stay.
+spans and every labeler's rates under conditional independence.  The last
+posterior of each pattern is the final rule; no separate classifier is trained
+on it.  It accepts added spans at ``THRESHOLD`` or more.  Base spans that pass their check always stay.
 
 Only DataFrame functions are used.  Defined results: a null text is an empty
 one; a span's offsets are code points, the end exclusive; rows are handled one
@@ -153,7 +152,7 @@ def reliabilities(voted: DataFrame) -> dict[str, dict[str, float]]:
                 f1 = sum((1 - p) * n for p, (v, n) in zip(post, table) if v[j] == "1")
                 f0 = sum((1 - p) * n for p, (v, n) in zip(post, table) if v[j] == "0")
                 rate.append(((t1 + 4) / (t1 + t0 + 5), (f1 + 1) / (f1 + f0 + 5)))
-            # the classifier: a sum of log-odds weights over the votes cast
+            # the posterior: a sum of log-odds weights over the votes cast
             post = []
             for v, _ in table:
                 z = math.log(share / (1 - share))
