@@ -1,7 +1,7 @@
 """Line dedup with content-defined chunks of lines.
 
-Every line is hashed; a rolling hash over the last ``WINDOW`` line hashes ends a
-chunk where it is divisible by ``EVERY``, so that boundaries depend only on the
+Every line is hashed; a hash over the last ``WINDOW`` line hashes (one: nothing
+rolls) ends a chunk where it is divisible by ``EVERY``, so that boundaries depend only on the
 lines around them and shift along with inserted text.  A chunk that ends sooner
 than ``LEAST`` lines runs on to the next boundary, and a line of ``LONG`` words
 or more is a chunk of its own.
