@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, chat, decontam, htmltext, lengths, linededup, neardup, pii, quality, topk
+from tidewater.llm import align, bpe, chat, decontam, htmltext, lengths, linededup, neardup, pii, prefixtrie, quality, topk, vecgraph
 from tidewater.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,21 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.spans(table(spark, sf_dir, "documents")))
 
 
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.families(table(spark, sf_dir, "conversations"))
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
