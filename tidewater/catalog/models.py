@@ -1,4 +1,5 @@
-"""Model comparison (no SQL form: the driver checks rows only)."""
+"""Regression models: linear ones with an oracle, and the Spark ML comparison
+(no SQL form: the driver checks rows only)."""
 
 from __future__ import annotations
 
@@ -29,3 +30,60 @@ def order_features(spark, root):
     f = ML.order_features(t.lineitem, t.orders)
     return f.select("l_orderkey", *[F.round(c, 6).alias(c) for c in ("n_lines", "quantity", "avg_discount", "avg_tax")],
                     F.round("gross", 2).alias("gross"), "label")
+
+
+LSPEC = ML.LinearSpec()
+_X = ("n_lines", "quantity", "avg_discount", "avg_tax", "label")
+_Y = "gross"        # the order's gross line value, from the other columns
+_P = len(_X)
+
+
+def _pairs(fn) -> str:
+    return "[" + ", ".join("[" + ", ".join(fn(a, b) for b in _X) + "]" for a in _X) + "]"
+
+
+# Both models by cyclic coordinate descent as a fold over step numbers, scores
+# row by row: nothing is shared with the library's algebra on sums.
+LINEAR_SQL = f"""
+WITH f AS (
+    SELECT l_orderkey % {LSPEC.folds} = 0 AS held, CAST(COUNT(*) AS DOUBLE) AS n_lines, SUM(l_quantity) AS quantity,
+           AVG(l_discount) AS avg_discount, AVG(l_tax) AS avg_tax, SUM(l_extendedprice) AS gross, MAX(o_totalprice) AS label
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey
+),
+s AS (
+    SELECT [{", ".join(f"AVG({x})" for x in _X)}] AS mx, [{", ".join(f"STDDEV_POP({x})" for x in _X)}] AS dx,
+           AVG({_Y}) AS my, STDDEV_POP({_Y}) AS dy, {_pairs(lambda a, b: f"CORR({a}, {b})")} AS c,
+           [{", ".join(f"CORR({x}, {_Y})" for x in _X)}] AS cy
+    FROM f WHERE NOT held
+),
+m AS (
+    SELECT 'ridge' AS model, CAST(unnest({list(LSPEC.ridge)}) AS DOUBLE) AS penalty
+    UNION ALL SELECT 'lasso', CAST(unnest({list(LSPEC.lasso)}) AS DOUBLE)
+),
+b AS (
+    SELECT model, penalty, mx, my,
+           list_transform(list_reduce(list_transform(range({_P} * 3000), lambda k: [CAST(k % {_P} + 1 AS DOUBLE)]),
+               lambda acc, k: list_transform(acc, lambda v, i: CASE WHEN i <> k[1] THEN v
+                   WHEN model = 'ridge' THEN (cy[i] - list_dot_product(c[i], acc) + v) / (1 + penalty)
+                   ELSE sign(cy[i] - list_dot_product(c[i], acc) + v)
+                        * greatest(abs(cy[i] - list_dot_product(c[i], acc) + v) - penalty, 0) END),
+               list_value({", ".join("CAST(0 AS DOUBLE)" for _ in _X)})), lambda v, i: v * dy / dx[i]) AS w
+    FROM m, s
+),
+full_b AS (SELECT model, penalty, my - list_dot_product(w, mx) AS w0, w FROM b),
+scored AS (
+    SELECT model, penalty, SQRT(AVG(POWER(y - w0 - list_dot_product(w, x), 2))) AS rmse,
+           1 - SUM(POWER(y - w0 - list_dot_product(w, x), 2)) / (VAR_POP(y) * COUNT(*)) AS r2
+    FROM (SELECT {_Y} AS y, [{", ".join(_X)}] AS x FROM f WHERE held), full_b GROUP BY model, penalty
+)
+SELECT model, penalty, unnest(['intercept', {", ".join(f"'{x}'" for x in _X)}]) AS term,
+       unnest(list_transform(list_concat([w0], w), lambda v: ROUND(v, 3) + 0.0)) AS coefficient, ROUND(rmse, 3) AS rmse, ROUND(r2, 6) AS r2
+FROM full_b JOIN scored USING (model, penalty)"""
+
+
+@register("linear_models", LINEAR_SQL)
+def linear_models(spark, root):
+    from pyspark.sql import functions as F
+    t = Tables(spark, root)
+    out = ML.linear_models(ML.order_features(t.lineitem, t.orders), _X, _Y, spec=LSPEC)
+    return out.select("model", "penalty", "term", (F.round("coefficient", 3) + F.lit(0.0)).alias("coefficient"), F.round("rmse", 3).alias("rmse"), F.round("r2", 6).alias("r2"))
