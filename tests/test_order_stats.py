@@ -61,6 +61,18 @@ def test_grouped_median_and_quantiles(spark, max_exact):
         assert (r.a, r.b) == pytest.approx(ref_q[r.g])
 
 
+def test_buckets_follow_the_order(spark):
+    from tidewater.operators.order_stats import octave
+    inf, nan = float("inf"), float("nan")
+    vals = sorted([0.0, 5e-324, 1e-300, 1.0, 1.0000000001, 2.0, 1e300, 1.7e308, 3.14, 99.5, inf] + [-x for x in (5e-324, 1e-300, 1.0, 1.0000000001, 1e300, 3.14, inf)]) + [nan]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = [r.b for r in df.select("i", octave(F.col("v")).alias("b")).orderBy("i").collect()]
+    assert got == sorted(got)
+    for f in (0.0, 0.3, 0.5, 1.0):
+        q = exact_quantiles(df.where("NOT isnan(v) AND abs(v) < 1e299"), [], "v", [f], ["q"], buckets=4, max_exact_rows=1).first().q
+        assert q == df.where("NOT isnan(v) AND abs(v) < 1e299").agg(F.percentile("v", f)).first()[0]
+
+
 def test_hot_group_is_refined(spark):
     # one group holds most rows and a single repeated value; refinement must stay exact
     vals = [5] * 500 + list(range(100))
@@ -79,41 +91,25 @@ def test_single_value_bucket_resolved_without_refinement(spark):
     assert [got.a, got.b, got.c] == pytest.approx(ref)
 
 
-def test_direct_ranking_by_keys_and_by_group_hash_agree(spark):
-    """The direct path numbers rows per group either on the proven
-    collision-free key hash or on the keys themselves (string and NULL
-    keys included); both give the same k-th values."""
-    from tidewater.operators.order_stats import _rank_direct
-    rnd = random.Random(21)
-    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(3), float(rnd.randrange(40))) for _ in range(500)]
-    data = spark.createDataFrame(rows, "s string, y int, __v double")
-    counts = data.groupBy("s", "y").agg(F.count("*").alias("__n"))
-    tg = counts.select("s", "y", "__n", F.explode(F.array(F.lit(0).cast("long"), (F.col("__n") - 1).cast("long"),
-                                                         F.floor((F.col("__n") - 1) / 2).cast("long"))).alias("__k"))
-    def key(r):
-        return (r[0] or "", r[0] is None) + tuple(r[1:])
-    by_hash = sorted((tuple(r) for r in _rank_direct(data, tg, ["s", "y"], hash_is_exact=True).collect()), key=key)
-    by_keys = sorted((tuple(r) for r in _rank_direct(data, tg, ["s", "y"], hash_is_exact=False).collect()), key=key)
-    assert by_hash == by_keys
-    ref = {}
-    for s_, y, v in rows:
-        ref.setdefault((s_, y), []).append(v)
-    for s_, y, k, v, n in by_keys:
-        assert sorted(ref[(s_, y)])[k] == v and len(ref[(s_, y)]) == n
+def test_repeated_rows_keep_their_number(spark):
+    from tidewater.operators.order_stats import exact_percent_ranks
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 1.0, 5.0), ("b", 2.0, None), ("a", None, 5.0)], "g string, u double, v double")
+    want = df.withColumns({"pu": F.percent_rank().over(W.partitionBy("g").orderBy("u")),
+                           "pv": F.percent_rank().over(W.partitionBy("g").orderBy(F.col("v").desc_nulls_last()))})
+    got = exact_percent_ranks(df, {"u": ("pu", False), "v": ("pv", True)}, keys=["g"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 @pytest.mark.skipif(not __import__("os").path.exists("/root/testdata/sf0.001/lineitem.parquet"), reason="no driver data")
 def test_sheet_medians_on_driver_tables_all_paths(spark):
     """Medians of the sheet cells (sheet x level x entity x year groups) from
-    the driver tables: the direct path, one sketch level and a forced
-    multi-level refinement all equal Spark's single-buffer ``median``."""
+    the driver tables, by rolled-up histograms and by groups of their own,
+    equal Spark's single-buffer ``median``."""
     from tidewater.plans import sheets as SH
     from tidewater.sources.tables import Tables
     s = SH.star_from(Tables(spark, "/root/testdata/sf0.001"))
-    rows = SH._price_rows(s, SH.WideSpec()).withColumn("sheet", F.lit("price")) \
-        .unionByName(SH._earnings_rows(s).withColumn("sheet", F.lit("earnings")))
-    lv = rows.select("sheet", "__rk", "year", "v", F.explode(F.array(F.lit("r"), F.lit("w"))).alias("level")) \
-        .withColumn("code", F.when(F.col("level") == "r", F.col("__rk").cast("string")).otherwise(F.lit("W")))
+    rows = SH.sheet_rows(s)
+    lv = rows.join(F.broadcast(SH.entity_levels(s)), "__nk")
     keys = ["sheet", "level", "code", "year"]
     ref = {tuple(r[:4]): (r[4], r[5]) for r in lv.groupBy(*keys).agg(F.median("v"), F.count("v")).collect()}
     for max_exact, buckets in [(10 ** 9, 128), (200, 16), (20, 4)]:
@@ -122,3 +118,8 @@ def test_sheet_medians_on_driver_tables_all_paths(spark):
         assert got.keys() == ref.keys()
         for k, (m, n) in ref.items():
             assert got[k][1] == n and got[k][0] == pytest.approx(m, abs=1e-9)
+    for bounds in ({}, {"max_exact_rows": 3, "buckets": 4}):
+        got = {(r.sheet, r.level, r.code, r.year): (r["median"], r.n_obs) for r in SH.sheet_cells(s, **bounds).collect()}
+        assert got.keys() == ref.keys()
+        for k, (m, n) in ref.items():
+            assert got[k][1] == n and got[k][0] == pytest.approx(m, abs=1e-9)

@@ -14,7 +14,7 @@ from tidewater.sources.tables import read_parquet
 
 def test_null_customer_has_percent_ranks(spark):
     df = spark.createDataFrame([(1, 5.0), (None, 3.0), (2, 9.0)], "customer_id long, recency double")
-    got = {r.customer_id: r.r for r in O.exact_percent_ranks(df, "customer_id", {"recency": ("r", False)}).collect()}
+    got = {r.customer_id: r.r for r in O.exact_percent_ranks(df, {"recency": ("r", False)}).collect()}
     want = {r.customer_id: r.r for r in df.select("customer_id", F.percent_rank().over(W.orderBy("recency")).alias("r")).collect()}
     assert got == want
 

@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every binding module so the registries are filled."""
-    from tidewater.catalog import customers, star, panel, housing, figures, metrics, models  # noqa: F401
+    from tidewater.catalog import customers, star, panel, housing, figures, metrics, models, series  # noqa: F401

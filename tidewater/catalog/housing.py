@@ -42,23 +42,23 @@ geo AS (
 ),
 po AS (
     SELECT g.n_nationkey, g.r_regionkey, CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_totalprice AS v
-    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.n_nationkey
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN geo g ON c.c_nationkey = g.n_nationkey
 ),
 le AS (
     SELECT g.n_nationkey, g.r_regionkey, CAST(year(l.l_shipdate) AS INTEGER) AS year,
            l.l_extendedprice * (1 - l.l_discount) AS v
-    FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN geo g ON s.s_nationkey = g.n_nationkey
+    FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN geo g ON s.s_nationkey = g.n_nationkey
 ),
 pstat AS (
     SELECT 'n' AS level, 'NAT' || CAST(n_nationkey AS VARCHAR) AS code, year, COUNT(v) AS n_obs, median(v) AS med
-    FROM po GROUP BY n_nationkey, year
-    UNION ALL SELECT 'r', 'REG' || CAST(r_regionkey AS VARCHAR), year, COUNT(v), median(v) FROM po GROUP BY r_regionkey, year
+    FROM po WHERE n_nationkey IS NOT NULL GROUP BY n_nationkey, year
+    UNION ALL SELECT 'r', 'REG' || CAST(r_regionkey AS VARCHAR), year, COUNT(v), median(v) FROM po WHERE r_regionkey IS NOT NULL GROUP BY r_regionkey, year
     UNION ALL SELECT 'w', 'WLD', year, COUNT(v), median(v) FROM po GROUP BY year
 ),
 estat AS (
     SELECT 'n' AS level, 'NAT' || CAST(n_nationkey AS VARCHAR) AS code, year, COUNT(v) AS n_obs, median(v) AS med
-    FROM le GROUP BY n_nationkey, year
-    UNION ALL SELECT 'r', 'REG' || CAST(r_regionkey AS VARCHAR), year, COUNT(v), median(v) FROM le GROUP BY r_regionkey, year
+    FROM le WHERE n_nationkey IS NOT NULL GROUP BY n_nationkey, year
+    UNION ALL SELECT 'r', 'REG' || CAST(r_regionkey AS VARCHAR), year, COUNT(v), median(v) FROM le WHERE r_regionkey IS NOT NULL GROUP BY r_regionkey, year
     UNION ALL SELECT 'w', 'WLD', year, COUNT(v), median(v) FROM le GROUP BY year
 ),
 pc AS (SELECT level, code, year,
@@ -186,8 +186,8 @@ def _district(spark, root):
 
 
 def _dy(spark, root):
-    return A.district_year(_district(spark, root), ASPEC) \
-        .withColumn("Median_Value", F.round("Median_Value", 6))
+    dy = A.district_year(_district(spark, root), ASPEC)
+    return cut_lineage(dy.withColumn("Median_Value", F.round("Median_Value", 6)))
 
 
 @register("sheet_district_price", BASE + ", wide AS (" + _wide("(SELECT code AS la_code, year, cell FROM pc WHERE level = 'n')", "la_code", WSPEC.price_header) + """)

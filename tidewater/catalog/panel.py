@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewater.catalog import register
 from tidewater.operators.order_stats import cut_lineage
 from tidewater.plans import panel as P
@@ -17,20 +19,20 @@ geo AS (
     FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 pop AS (
-    SELECT g.n_name AS entity, COUNT(*) AS population FROM customer c JOIN geo g ON c.c_nationkey = g.n_nationkey GROUP BY g.n_name
+    SELECT g.n_name AS entity, COUNT(*) AS population FROM customer c LEFT JOIN geo g ON c.c_nationkey = g.n_nationkey GROUP BY g.n_name
     UNION ALL SELECT g.r_name, COUNT(*) FROM customer c JOIN geo g ON c.c_nationkey = g.n_nationkey GROUP BY g.r_name
-    UNION ALL SELECT 'World', COUNT(*) FROM customer c JOIN geo g ON c.c_nationkey = g.n_nationkey
+    UNION ALL SELECT 'World', COUNT(*) FROM customer c
 )"""
 
 _SHEETS = "WITH" + _GEO + """,
 ocy AS (
     SELECT g.n_nationkey, g.n_name, g.r_name, CAST(year(o.o_orderdate) AS INTEGER) AS year, o.o_totalprice AS v
-    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.n_nationkey
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN geo g ON c.c_nationkey = g.n_nationkey
 ),
 sheet_a AS (
     SELECT n_name AS entity, 'NAT' || CAST(n_nationkey AS VARCHAR) AS code, year, ROUND(SUM(v), 2) AS amount
     FROM ocy GROUP BY n_name, n_nationkey, year
-    UNION ALL SELECT r_name, NULL, year, ROUND(SUM(v), 2) FROM ocy GROUP BY r_name, year
+    UNION ALL SELECT r_name, NULL, year, ROUND(SUM(v), 2) FROM ocy WHERE r_name IS NOT NULL GROUP BY r_name, year
     UNION ALL SELECT 'World', NULL, year, ROUND(SUM(v), 2) FROM ocy GROUP BY year
 ),
 sheet_b AS (
@@ -43,12 +45,12 @@ lo AS (
 ),
 lcy AS (
     SELECT g.n_name, g.r_name, CAST(year(o.o_orderdate) AS INTEGER) AS year, lo.cons, lo.gross
-    FROM lo JOIN orders o ON lo.l_orderkey = o.o_orderkey
-    JOIN customer c ON o.o_custkey = c.c_custkey JOIN geo g ON c.c_nationkey = g.n_nationkey
+    FROM lo LEFT JOIN orders o ON lo.l_orderkey = o.o_orderkey
+    LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN geo g ON c.c_nationkey = g.n_nationkey
 ),
 lv AS (
     SELECT n_name AS entity, year, SUM(cons) AS cons, SUM(gross) AS gross FROM lcy GROUP BY n_name, year
-    UNION ALL SELECT r_name, year, SUM(cons), SUM(gross) FROM lcy GROUP BY r_name, year
+    UNION ALL SELECT r_name, year, SUM(cons), SUM(gross) FROM lcy WHERE r_name IS NOT NULL GROUP BY r_name, year
     UNION ALL SELECT 'World', year, SUM(cons), SUM(gross) FROM lcy GROUP BY year
 ),
 sheet_c AS (
@@ -95,7 +97,12 @@ def merged_panel(spark, root):
 
 
 def main_panel(spark, root):
-    return P.with_change(P.year_range(merged_panel(spark, root), SPEC))
+    # written once more: what follows reads it several times
+    return cut_lineage(P.with_change(P.year_range(merged_panel(spark, root), SPEC)))
+
+
+def running_totals(spark, root):
+    return cut_lineage(P.running_totals(main_panel(spark, root), SPEC))
 
 
 @register("panel_sheet_totals", _SHEETS + " SELECT * FROM sheet_a")
@@ -137,7 +144,7 @@ def panel_running_total(spark, root):
 
 @register("panel_entity_order", _SHEETS + " SELECT * FROM ord")
 def panel_entity_order(spark, root):
-    return P.entity_order(P.running_totals(main_panel(spark, root), SPEC), SPEC)
+    return P.entity_order(running_totals(spark, root), SPEC)
 
 
 @register("panel_stack", _SHEETS + """
@@ -150,7 +157,7 @@ def panel_entity_order(spark, root):
 SELECT entity, year, ordinal, cumulative, ROUND(stack_upper - cumulative, 6) AS stack_lower,
        ROUND(stack_upper, 6) AS stack_upper FROM st""")
 def panel_stack(spark, root):
-    return P.stacked(P.running_totals(main_panel(spark, root), SPEC), SPEC)
+    return P.stacked(running_totals(spark, root), SPEC)
 
 
 def _num_text(x: str) -> str:
@@ -196,17 +203,21 @@ def panel_leaders(spark, root):
     return P.leaders(main_panel(spark, root), SPEC)
 
 
-@register("map_keep_all", _SHEETS + """
-, d AS (SELECT code AS iso_code, entity, amount_capita FROM pct WHERE year = 2000 AND code IS NOT NULL),
-b AS (SELECT 'NAT' || CAST(n_nationkey AS VARCHAR) AS iso_code, n_name AS name,
-             'POINT (' || CAST(n_nationkey AS VARCHAR) || ' ' || CAST(n_regionkey AS VARCHAR) || ')' AS geom_wkt
-      FROM nation)
-SELECT b.iso_code, b.name, b.geom_wkt, d.entity, d.amount_capita,
-       CASE WHEN d.amount_capita > 0 THEN ln(d.amount_capita) END AS log_amount_capita
-FROM b LEFT JOIN d ON b.iso_code = d.iso_code""")
+# from the orders straight to the last year's totals of the nations
+@register("map_keep_all", f"""
+WITH last AS (
+    SELECT c_nationkey AS nation, SUM(o_totalprice) AS amount FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE o_orderdate >= TIMESTAMP '{SPEC.last_year}-01-01' AND o_orderdate < TIMESTAMP '{SPEC.last_year + 1}-01-01' GROUP BY c_nationkey),
+heads AS (SELECT c_nationkey AS nation, COUNT(*) AS population FROM customer GROUP BY c_nationkey)
+SELECT 'NAT' || CAST(n_nationkey AS VARCHAR) AS iso_code, n_name AS name,
+       'POINT (' || CAST(n_nationkey AS VARCHAR) || ' ' || CAST(n_regionkey AS VARCHAR) || ')' AS geom_wkt,
+       CASE WHEN amount IS NOT NULL THEN n_name END AS entity, ROUND(ROUND(amount, 2) / population, 6) AS amount_capita,
+       CASE WHEN amount > 0 THEN ROUND(ln(ROUND(amount, 2) / population), 6) END AS log_amount_capita
+FROM nation LEFT JOIN last ON last.nation = n_nationkey LEFT JOIN heads ON heads.nation = n_nationkey""")
 def map_keep_all(spark, root):
     t = Tables(spark, root)
-    return P.map_keep_all(P.boundary_from(t.nation), main_panel(spark, root), SPEC)
+    out = P.map_keep_all(P.boundary_from(t.nation), main_panel(spark, root), SPEC)
+    return out.withColumns({c: F.round(c, 6) for c in ("amount_capita", "log_amount_capita")})
 
 
 @register("elasticity", _SHEETS + """

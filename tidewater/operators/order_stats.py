@@ -4,19 +4,19 @@
 ``median`` all need the rank of values inside a whole table or group.
 Spark's built-ins plan them as one task (``Exchange SinglePartition``) or
 one aggregation buffer holding every distinct value of a group.  Here the
-same exact results come from distributed steps:
-
-1. ``percentile_approx`` split points per group (bounded sketch, merged
-   map-side, so a hot group costs no more than any other);
-2. each value's bucket = number of split points <= value, so equal values
-   share a bucket;
-3. bucket histogram (``groupBy``, tiny) and running offsets per group;
-4. only the bucket(s) holding a wanted rank are kept; their values are
-   collapsed to (value, count) map-side and ranked inside the bucket.
-   When such a bucket is still larger than ``max_exact_rows`` it is split
-   again (next level) from its own split points.
-
-Every step is a DataFrame plan; the driver reads one number per level.
+same exact results come from distributed steps, the same at every size:
+
+1. every value falls into a bucket of a fixed scale (``octave``: 32 buckets
+   between a number and its double), so histograms of any rows can be added;
+2. a histogram per group, added up before the shuffle, with the counts below
+   each bucket: only the buckets that hold a wanted rank go on;
+3. while a wanted bucket still holds too many rows, its own range is cut into
+   ``buckets`` equal parts and counted again, until every one fits;
+4. the values of what is left are collapsed to (value, count) before the
+   shuffle and ranked.
+
+``medians_by_level`` takes the medians of a hierarchy's entities from one
+histogram of its leaves.
 """
 
 from __future__ import annotations
@@ -25,177 +25,103 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewater.operators import ranges
 from tidewater.operators.joins import join_null_safe
-from tidewater.session import checkpoint_dir
+from tidewater.operators.ranges import ROWS, cut_lineage
 
-DEFAULT_BUCKETS = 128
-DEFAULT_ACCURACY = 20_000
-# Largest group ranked by sorting its values in one task.  Above it the
-# sketch path splits the group into value buckets first.
-DEFAULT_MAX_EXACT_ROWS = 4_000_000
-MAX_LEVELS = 6
+MAX_EXACT_ROWS = 1_000_000      # rows of a wanted bucket that one task ranks
+BUCKETS = 1024                  # parts of a wanted bucket that holds more
 
 
-ROWS_PER_BUCKET = 1_000_000
+def octave(v: Column) -> Column:
+    """A bucket number that never falls as ``v`` (double) grows; NaN is largest."""
+    steps = F.floor(F.log2(F.abs(v)) * 32).cast("int")
+    return (F.when(v.isNull(), F.lit(None).cast("int")).when(F.isnan(v), F.lit(1_000_000)).when(v == 0, F.lit(0))
+            .when(F.abs(v) == float("inf"), F.when(v > 0, F.lit(900_000)).otherwise(F.lit(-900_000)))
+            .when(v > 0, 400_000 + steps).otherwise(-400_000 - steps))
 
 
-def _fractions(b: int) -> list[float]:
-    return [i / b for i in range(1, b)]
-
-
-def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET, lo: int = 16, hi: int = 4096) -> int:
-    """Bucket count so that one bucket's distinct values (ranked in one
-    task) stay near ``rows_per_bucket``."""
-    return int(max(lo, min(hi, -(-rows // rows_per_bucket))))
-
-
-def _with_bucket(df: DataFrame, v: str, splits: str, n_splits: int, out: str = "__b") -> DataFrame:
-    """Add ``out`` = number of split points <= ``v`` (``splits`` sorted).
-
-    A binary search unrolled into log2(n) plain expressions, one projection
-    per step so the tree does not double at every step; all of it stays in
-    whole-stage codegen.  (A higher-order ``aggregate`` over the array is
-    interpreted and costs n comparisons per row.)"""
-    step = 1
-    while step * 2 <= n_splits:
-        step *= 2
-    df = df.withColumn(out, F.lit(0))
-    while step >= 1:
-        probe = F.try_element_at(F.col(splits), (F.col(out) + step).cast("int"))
-        df = df.withColumn(out, F.col(out) + F.when(F.coalesce(probe <= F.col(v), F.lit(False)), step).otherwise(0))
-        step //= 2
-    return df
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder
-    (cuts lineage between iterations; survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def select_kth(df: DataFrame, keys: Sequence[str], value: str,
-               targets: Callable[[Column, Column], Column] | DataFrame,
-               buckets: int = DEFAULT_BUCKETS, accuracy: int = DEFAULT_ACCURACY,
-               max_exact_rows: int = DEFAULT_MAX_EXACT_ROWS) -> DataFrame:
+def select_kth(df: DataFrame, keys: Sequence[str], value: str, targets: Callable[[Column, Column], Column],
+               buckets: int = BUCKETS, max_exact_rows: int = MAX_EXACT_ROWS) -> DataFrame:
     """k-th smallest non-NULL ``value`` per group, exactly.
 
-    ``targets`` is either a function ``(n, N) -> array<bigint>`` of wanted
-    0-based ranks among the group's ``n`` non-NULL values (``N`` counts the
-    NULLs too), or a DataFrame ``keys + ['__k']``.  Ranks outside
-    ``[0, n)`` are ignored.  Returns ``keys + ['__k', '__v', '__n']``.
+    ``targets`` is a function ``(n, N) -> array<bigint>`` of wanted 0-based
+    ranks among the group's ``n`` non-NULL values (``N`` counts the NULLs
+    too).  Ranks outside ``[0, n)`` are ignored.  Returns ``keys + ['__k',
+    '__v', '__n']``.
     """
     keys = list(keys)
-    raw = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{value}`").cast("double").alias("__v"))
-    data = raw.where(F.col("__v").isNotNull())
-    fr = _fractions(buckets)
-
-    # level 0: counts per group (map-side partial aggregate)
-    stats = cut_lineage(raw.groupBy(*keys).agg(F.count("*").alias("__nall"), F.count("__v").alias("__n")))
-    if callable(targets):
-        tg = stats.select(*keys, "__n", F.explode(F.array_distinct(
-            targets(F.col("__n"), F.col("__nall")))).alias("__k"))
-    else:
-        tg = join_null_safe(targets.select(*keys, "__k").distinct(), stats.select(*keys, "__n"), keys, "inner")
-    tg = tg.where((F.col("__k") >= 0) & (F.col("__k") < F.col("__n")))
-
-    h = _group_hash(keys)
-    largest, n_groups, n_hashes = stats.agg(
-        F.max("__n"), F.count("*"), F.count_distinct(h)).first()
-    if largest is None or largest <= max_exact_rows:
-        # every group is small enough to be sorted in one task
-        return _rank_direct(data, tg, keys, hash_is_exact=(n_groups == n_hashes))
-
-    # large groups: one bounded sketch per group, merged map-side
-    sk = cut_lineage(data.groupBy(*keys).agg(F.percentile_approx("__v", fr, accuracy).alias("__splits")))
-    stats = join_null_safe(stats, sk, keys, "inner")
-    bk = join_null_safe(data, stats.select(*keys, "__splits"), keys, "inner") \
-        .transform(lambda d: _with_bucket(d, "__v", "__splits", len(fr)))
-    hist = bk.groupBy(*keys, "__b").agg(F.count("*").alias("__c"), F.min("__v").alias("__lo"),
-                                         F.max("__v").alias("__hi"))
-    hist = hist.withColumn("__before", F.sum("__c").over(
-        W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c"))
-    ranges = join_null_safe(tg, hist, keys, "inner") \
-        .where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__c"))) \
-        .select(*keys, "__n", "__k", "__lo", "__hi", F.col("__before").alias("__below"), "__c")
-    ranges = cut_lineage(ranges)
-
-    done = []  # ranges whose bucket holds a single value are already answered
-    for _level in range(MAX_LEVELS):
-        done.append(ranges.where(F.col("__lo") == F.col("__hi"))
-                    .select(*keys, "__k", F.col("__lo").alias("__v"), "__n"))
-        ranges = ranges.where(F.col("__lo") < F.col("__hi"))
-        worst = ranges.agg(F.max("__c")).first()[0]
-        cand = _candidates(data, ranges, keys)
-        if worst is None or worst <= max_exact_rows:
-            return _union([_finish(cand, keys)] + done)
-        # a wanted bucket is still large: split it again from its own sketch
-        st = cand.groupBy(*keys, "__k").agg(F.percentile_approx("__v", fr, accuracy).alias("__splits"))
-        cb = join_null_safe(cand, st, keys + ["__k"], "inner") \
-            .transform(lambda d: _with_bucket(d, "__v", "__splits", len(fr)))
-        h = cb.groupBy(*keys, "__n", "__k", "__below", "__b").agg(
-            F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        h = h.withColumn("__before", F.sum("__c").over(
-            W.partitionBy(*keys, "__k").orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c"))
-        lo_rank = F.col("__below") + F.col("__before")
-        ranges = cut_lineage(
-            h.where((lo_rank <= F.col("__k")) & (F.col("__k") < lo_rank + F.col("__c")))
-             .select(*keys, "__n", "__k", "__lo", "__hi", lo_rank.alias("__below"), "__c"))
-    return _union([_finish(_candidates(data, ranges, keys), keys)] + done)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _candidates(data: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows inside a wanted value range (a rank range maps to a closed
-    value range because buckets split by value)."""
-    j = join_null_safe(data, ranges, keys, "inner")
-    return j.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))) \
-            .drop("__lo", "__hi", "__c")
-
-
-def _group_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
-
-
-def _rank_direct(data: DataFrame, tg: DataFrame, keys: list[str], hash_is_exact: bool = False) -> DataFrame:
-    """Groups of at most ``max_exact_rows``: number the group's values in
-    order (one sort per group, in the shuffle's sort, no hash aggregate
-    over every distinct value) and keep the wanted positions.  Ties need no
-    tie-break: every row at a position among equal values carries the same
-    value.
-
-    When the 64-bit hash of the group keys is proven collision-free on the
-    per-group table (``hash_is_exact``), rows are partitioned, sorted and
-    joined on that one long instead of the keys: the sort then compares a
-    numeric prefix and the value instead of strings."""
-    wanted = tg.select(*keys, "__k", "__n")
-    if hash_is_exact:
-        h = _group_hash(keys)
-        numbered = data.withColumn("__h", h) \
-            .withColumn("__k", F.row_number().over(W.partitionBy("__h").orderBy("__v")) - 1)
-        # groups x targets rows (checkpointed stats: the bounded count is
-        # cheap); broadcast, or the numbered rows would be shuffled again
-        wanted = wanted.select("__k", "__n", h.alias("__h"), *keys)
-        return numbered.select("__h", "__k", "__v").join(wanted, ["__h", "__k"], "inner") \
-            .select(*keys, "__k", "__v", "__n")
-    numbered = data.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("__v")) - 1)
-    return join_null_safe(numbered, wanted, keys + ["__k"], "inner") \
-        .select(*keys, "__k", "__v", "__n")
-
-
-def _finish(cand: DataFrame, keys: list[str]) -> DataFrame:
-    # duplicates collapse map-side; the window then sees distinct values of one bucket
-    vc = cand.groupBy(*keys, "__n", "__k", "__below", "__v").agg(F.count("*").alias("__c"))
-    w = W.partitionBy(*keys, "__k").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    vc = vc.withColumn("__cb", F.col("__below") + F.sum("__c").over(w) - F.col("__c"))
-    return vc.where((F.col("__cb") <= F.col("__k")) & (F.col("__k") < F.col("__cb") + F.col("__c"))) \
-             .select(*keys, "__k", "__v", "__n")
+    v = F.col(f"`{value}`").cast("double")
+    data = df.select(*[F.col(f"`{k}`") for k in keys], v.alias("__v"), octave(v).alias("__b"))
+    hist = data.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    return _pick(data.where(F.col("__v").isNotNull()), _wanted(hist, keys, targets), keys, buckets, max_exact_rows)
+
+
+def _wanted(hist: DataFrame, keys: list[str], targets: Callable[[Column, Column], Column]) -> DataFrame:
+    """``keys + [__n, __k, __b, __j, __lo, __hi, __c]``: the bucket that holds
+    each wanted rank ``__k`` and the rank ``__j`` inside it.  ``hist`` has the
+    rows and the range of every bucket, NULL's among them."""
+    group = W.partitionBy(*keys)        # the buckets of a group: a bounded number
+    known = F.when(F.col("__b").isNotNull(), F.col("__c"))
+    h = hist.withColumns({"__n": F.coalesce(F.sum(known).over(group), F.lit(0)), "__nall": F.sum("__c").over(group),
+                          "__before": F.sum("__c").over(group.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")})
+    h = h.withColumn("__before", F.col("__before") - (F.col("__nall") - F.col("__n"))).where(F.col("__b").isNotNull())   # NULLs sort first
+    wants = F.filter(F.array_distinct(targets(F.col("__n"), F.col("__nall"))), lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__c")))
+    h = h.select(*keys, "__n", "__b", "__lo", "__hi", "__c", "__before", F.explode(wants).alias("__k"))
+    return cut_lineage(h.select(*keys, "__n", "__k", "__b", (F.col("__k") - F.col("__before")).alias("__j"), "__lo", "__hi", "__c"))
+
+
+def _pick(data: DataFrame, wanted: DataFrame, keys: list[str], buckets: int, max_exact_rows: int) -> DataFrame:
+    """The values at the wanted ranks; ``data`` has ``keys + [__b, __v]``."""
+    def candidates(w: DataFrame) -> DataFrame:
+        j = join_null_safe(data, w, [*keys, "__b"], "inner")
+        return j.where(F.col("__v").eqNullSafe(F.col("__lo")) | ((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))))
+
+    by = [*keys, "__k"]
+    while True:
+        large = wanted.agg(F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__c")))).first()[0]
+        if large is None or large <= max_exact_rows:
+            break
+        part = F.when(F.col("__lo") < F.col("__hi"), F.least(F.lit(buckets - 1), F.floor(
+            (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * buckets)))
+        h = candidates(wanted).withColumn("__part", part).groupBy(*by, "__n", "__b", "__j", "__part").agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        below = F.sum("__c").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")
+        h = h.withColumn("__below", below).where((F.col("__below") <= F.col("__j")) & (F.col("__j") < F.col("__below") + F.col("__c")))
+        wanted = cut_lineage(h.select(*keys, "__n", "__k", "__b", (F.col("__j") - F.col("__below")).alias("__j"), "__lo", "__hi", "__c"))
+    vc = candidates(wanted).groupBy(*by, "__n", "__j", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    vc = vc.withColumn("__to", F.sum("__c").over(W.partitionBy(*by).orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
+    return vc.where((F.col("__to") - F.col("__c") <= F.col("__j")) & (F.col("__j") < F.col("__to"))).select(*keys, "__k", "__v", "__n")
+
+
+def _middle(n: Column, _all: Column) -> Column:
+    return F.array(F.floor((n - 1) / 2).cast("long"), F.ceil((n - 1) / 2).cast("long"))
+
+
+def medians_by_level(rows: DataFrame, keys: Sequence[str], leaf: str, levels: DataFrame, value: str,
+                     buckets: int = BUCKETS, max_exact_rows: int = MAX_EXACT_ROWS) -> DataFrame:
+    """Exact medians (NULLs ignored) of every entity of a hierarchy, per ``keys``.
+
+    ``levels`` maps each ``leaf`` to the entities ``(level, code)`` it belongs to,
+    a fixed number of rows.  Rows are counted once, per leaf and bucket; the
+    entities' histograms are sums of their leaves', and only rows of wanted
+    buckets meet the entities that want them.  Returns ``keys + [level, code,
+    median, n]``.
+    """
+    keys, ent = list(keys), [*keys, "level", "code"]
+    v = F.col(f"`{value}`").cast("double")
+    data = rows.select(*keys, leaf, v.alias("__v"), octave(v).alias("__b")).where(F.col("__v").isNotNull())
+    hist = cut_lineage(data.groupBy(*keys, leaf, "__b").agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")))
+    levels = F.broadcast(levels)
+    rolled = join_null_safe(hist, levels, [leaf], "inner").groupBy(*ent, "__b").agg(
+        F.sum("__c").alias("__c"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    wanted = _wanted(rolled, ent, _middle)
+    # the leaves that hold rows of a bucket their entity wants
+    asked = join_null_safe(hist.select(*keys, leaf, "__b"), levels, [leaf], "inner")
+    asked = join_null_safe(asked, wanted.select(*ent, "__b").distinct(), [*ent, "__b"], "left_semi")
+    some = join_null_safe(data, asked, [*keys, leaf, "__b"], "inner").select(*ent, "__b", "__v")
+    got = _pick(some, wanted, ent, buckets, max_exact_rows)
+    return got.groupBy(*ent).agg(F.avg("__v").alias("median"), F.max("__n").alias("n"))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -297,86 +223,18 @@ def above_cutoff(v: Column, prefix: str, i: int, descending: bool) -> Column:
     return F.when(v.isNull(), (N > 1) & (null_rank > j)).otherwise(nonnull)
 
 
-def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank",
-                       descending: bool = False, buckets: int | None = None,
-                       accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``PERCENT_RANK() OVER (ORDER BY value [DESC])`` as a column, exact,
-    without a single-partition sort.
+def exact_percent_rank(df: DataFrame, value: str, out: str = "percent_rank", descending: bool = False,
+                       keys: Sequence[str] = (), buckets: int | None = None, max_exact_rows: int = ROWS) -> DataFrame:
+    """``PERCENT_RANK() OVER ([PARTITION BY keys] ORDER BY value [DESC])`` as a
+    column, exact, without a window over a whole table or group."""
+    return ranges.percent_rank(df, keys, value, out, descending, max_exact_rows, buckets - 1 if buckets else None)
 
-    rank = 1 + (#NULLs when ascending) + #non-NULL values ordered before v.
-    The count before v = offset of v's bucket + running count of distinct
-    values inside the bucket.  Each row then joins its value's rank
-    (sort-merge join keyed by value; AQE splits a hot value's partition).
-    """
-    key = F.col(f"`{value}`").cast("double")
-    if descending:
-        key = -key
-    if buckets is None:
-        buckets = buckets_for(df.count())
-    base = df.withColumn("__x", key)
-    stats = cut_lineage(base.agg(
-        F.count("*").alias("__N"), F.count("__x").alias("__nn"),
-        F.percentile_approx("__x", _fractions(buckets), accuracy).alias("__splits")))
-    one = F.broadcast(stats)  # exactly one row
-    vals = base.select("__x").where(F.col("__x").isNotNull()).crossJoin(one.select("__splits")) \
-        .transform(lambda d: _with_bucket(d, "__x", "__splits", buckets - 1)) \
-        .groupBy("__b", "__x").agg(F.count("*").alias("__c"))
-    # <= buckets rows: offsets over an unpartitioned window are bounded
-    off = vals.groupBy("__b").agg(F.sum("__c").alias("__bc")) \
-        .withColumn("__off", F.sum("__bc").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
-                    - F.col("__bc"))
-    ranked = vals.join(F.broadcast(off.select("__b", "__off")), "__b") \
-        .withColumn("__before", F.col("__off") + F.sum("__c").over(
-            W.partitionBy("__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")) \
-        .select("__x", "__before")
-    j = base.join(ranked, "__x", "left").crossJoin(one.select("__N", "__nn"))
-    nulls = F.col("__N") - F.col("__nn")
-    if descending:
-        rank0 = F.when(F.col("__x").isNull(), F.col("__nn")).otherwise(F.col("__before"))
-    else:
-        rank0 = F.when(F.col("__x").isNull(), F.lit(0)).otherwise(nulls + F.col("__before"))
-    pr = F.when(F.col("__N") > 1, rank0.cast("double") / (F.col("__N") - 1).cast("double")).otherwise(F.lit(0.0))
-    return j.withColumn(out, pr).drop("__x", "__before", "__N", "__nn")
 
-
-def exact_percent_ranks(df: DataFrame, key: str, measures: dict[str, tuple[str, bool]],
-                        buckets: int | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """Several ``PERCENT_RANK()`` columns in one pass (long form, one group
-    per measure).  ``measures`` maps column → (output name, descending).
-    ``key`` must identify rows; the ranks are pivoted back by it.
-
-    Same method as :func:`exact_percent_rank`, but the sketch, bucket
-    histogram and value ranking run once for all measures instead of one
-    chained plan per measure.
-    """
-    names = list(measures)
-    desc = [m for m in names if measures[m][1]]
-    if buckets is None:
-        buckets = buckets_for(df.count())
-    long = df.select(F.col(f"`{key}`").alias("__key"), F.explode(F.array(*[
-        F.struct(F.lit(m).alias("m"), F.col(f"`{m}`").cast("double").alias("v")) for m in names])).alias("__s")) \
-        .select("__key", F.col("__s.m").alias("__m"),
-                F.when(F.col("__s.m").isin(desc), -F.col("__s.v")).otherwise(F.col("__s.v")).alias("__x"))
-    stats = cut_lineage(long.groupBy("__m").agg(
-        F.count("*").alias("__N"), F.count("__x").alias("__nn"),
-        F.percentile_approx("__x", _fractions(buckets), accuracy).alias("__splits")))
-    st = F.broadcast(stats)  # one row per measure
-    vals = long.where(F.col("__x").isNotNull()).join(st.select("__m", "__splits"), "__m") \
-        .transform(lambda d: _with_bucket(d, "__x", "__splits", buckets - 1)) \
-        .groupBy("__m", "__b", "__x").agg(F.count("*").alias("__c"))
-    # measures x buckets rows
-    off = vals.groupBy("__m", "__b").agg(F.sum("__c").alias("__bc")) \
-        .withColumn("__off", F.sum("__bc").over(W.partitionBy("__m").orderBy("__b")
-                                                .rowsBetween(W.unboundedPreceding, 0)) - F.col("__bc"))
-    ranked = vals.join(F.broadcast(off.select("__m", "__b", "__off")), ["__m", "__b"]) \
-        .withColumn("__before", F.col("__off") + F.sum("__c").over(
-            W.partitionBy("__m", "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")) \
-        .select("__m", "__x", "__before")
-    j = long.join(ranked, ["__m", "__x"], "left").join(st.select("__m", "__N", "__nn"), "__m")
-    is_desc = F.col("__m").isin(desc)
-    rank0 = F.when(F.col("__x").isNull(), F.when(is_desc, F.col("__nn")).otherwise(F.lit(0))) \
-             .otherwise(F.col("__before") + F.when(is_desc, F.lit(0)).otherwise(F.col("__N") - F.col("__nn")))
-    pr = F.when(F.col("__N") > 1, rank0.cast("double") / (F.col("__N") - 1).cast("double")).otherwise(F.lit(0.0))
-    wide = j.select("__key", "__m", pr.alias("__pr")).groupBy("__key").pivot("__m", names).agg(F.first("__pr"))
-    wide = wide.select(F.col("__key").alias(key), *[F.col(f"`{m}`").alias(measures[m][0]) for m in names])
-    return join_null_safe(df, wide, [key], "left")      # a NULL key has ranks too
+def exact_percent_ranks(df: DataFrame, measures: dict[str, tuple[str, bool]], keys: Sequence[str] = ()) -> DataFrame:
+    """Several percent ranks.  ``measures`` maps column → (output name,
+    descending).  Each measure's table of values and shares comes from ``df``
+    itself, and rows look their values up, so repeated rows stay as they are."""
+    out = df
+    for m, (name, desc) in measures.items():
+        out = join_null_safe(out, ranges.rank_shares(df, keys, m, name, desc), [*keys, m], "left")
+    return out

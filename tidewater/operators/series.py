@@ -2,7 +2,9 @@
 
 These run on panels: one row per (entity, period), sized by the number of
 entities and periods rather than by the fact data they were aggregated
-from, so per-entity windows hold a handful of rows each.
+from, so per-entity windows hold a handful of rows each.  Series of raw rows,
+where one entity may hold any share of them, go through ``operators.ranges``
+(``running_total``, ``neighbours``, ``local_extrema``).
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ def lag_pct_change(df: DataFrame, entity: str | Sequence[str], order: str, value
     return df.withColumn(out, pct_change(F.col(value), F.lag(value).over(w)))
 
 
+def lag_change(df: DataFrame, entity: str | Sequence[str], order: str, value: str, out: str) -> DataFrame:
+    """``x - lag(x)`` within each entity ordered by ``order``."""
+    w = W.partitionBy(*_keys(entity)).orderBy(order)
+    return df.withColumn(out, F.col(value) - F.lag(value).over(w))
+
+
 def running_total(df: DataFrame, entity: str | Sequence[str], order: str, value: str, out: str,
                   strict: bool = True) -> DataFrame:
     """Cumulative sum per entity.  ``strict`` (R ``cumsum``): NULL from the

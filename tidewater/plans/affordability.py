@@ -12,11 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewater.functions.binning import bin_labels, fixed_bins
 from tidewater.functions.na import asc_last, desc_last, not_in_keep_null, try_div
 from tidewater.operators.joins import attach_group_agg, join_null_safe
+from tidewater.operators.order_stats import exact_median
+from tidewater.operators.ranges import row_numbers
 from tidewater.operators.reshape import bind_rows, clean_long, cols_by_position, cols_with_prefix
 from tidewater.operators.topk import arg_extreme
 
@@ -54,8 +56,9 @@ def median_impute(df: DataFrame, groups: Sequence[str], value: str, digits: int
     an all-missing group stays missing.  Group medians are an aggregate
     joined back (the table has one row per district-year).  ``digits``
     rounds the filled-in median (printed precision of the sheet)."""
-    med = F.median(value) if digits is None else F.round(F.median(value), digits)
-    out = attach_group_agg(df, list(groups), {"__med": med})
+    med = exact_median(df, groups, value, "__med")
+    med = med.select(*[F.col(f"`{g}`") for g in groups], F.col("__med") if digits is None else F.round("__med", digits).alias("__med"))
+    out = join_null_safe(df, med, groups, "left")
     return out.withColumn(value, F.coalesce(F.col(value), F.col("__med"))).drop("__med")
 
 
@@ -94,8 +97,9 @@ def district_year(district: DataFrame, spec: AffordSpec = AffordSpec()) -> DataF
     """Last-year rows with the region's median ratio as a column, NULL when
     any ratio of the region is missing (``median`` without ``na.rm``)."""
     y = district.where(F.col("Year") == spec.last_year)
-    strict_median = F.when(F.count_if(F.col(RATIO).isNull()) == 0, F.median(RATIO))
-    return attach_group_agg(y, ["Region_Name"], {"Median_Value": strict_median})
+    med = exact_median(y, ["Region_Name"], RATIO, "Median_Value").drop("n")
+    out = join_null_safe(attach_group_agg(y, ["Region_Name"], {"__gaps": F.count_if(F.col(RATIO).isNull())}), med, ["Region_Name"], "left")
+    return out.withColumn("Median_Value", F.when(F.col("__gaps") == 0, F.col("Median_Value"))).drop("__gaps")
 
 
 def region_summary(dy: DataFrame) -> DataFrame:
@@ -104,12 +108,11 @@ def region_summary(dy: DataFrame) -> DataFrame:
     by median (1 = lowest)."""
     s = dy.groupBy("Region_Name").agg(
         F.min(RATIO).alias("min_value"), F.max(RATIO).alias("max_value"),
-        F.median(RATIO).alias("median_value"),
         arg_extreme("Local_Authority_Name", RATIO).alias("min_district"),
         arg_extreme("Local_Authority_Name", RATIO, largest=True).alias("max_district"))
-    # one row per region: a global window over a handful of rows
-    w = W.orderBy(asc_last("median_value"), F.col("Region_Name").asc_nulls_last())
-    return s.withColumn("order", F.row_number().over(w))
+    s = join_null_safe(s, exact_median(dy, ["Region_Name"], RATIO, "median_value").drop("n"), ["Region_Name"], "left")
+    s = row_numbers(s, [], "median_value", "order", ties=["Region_Name"])       # a missing median comes last
+    return s.select("Region_Name", "min_value", "max_value", "median_value", "min_district", "max_district", F.col("order").cast("int").alias("order"))
 
 
 def ranked_districts(dy: DataFrame, n: int = 10, least_affordable: bool = False) -> DataFrame:

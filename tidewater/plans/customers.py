@@ -110,7 +110,7 @@ def rfm_metrics(orders: DataFrame, win: RfmWindow = RfmWindow(),
 def rfm_percent_ranks(rfm: DataFrame) -> DataFrame:
     """Exact ``PERCENT_RANK()`` of recency (asc), frequency and monetary
     (desc) over all customers, without a single-partition sort."""
-    return exact_percent_ranks(rfm, "customer_id", {"recency": ("r_percent_rank", False),
+    return exact_percent_ranks(rfm, {"recency": ("r_percent_rank", False),
                                                     "frequency": ("f_percent_rank", True),
                                                     "monetary": ("m_percent_rank", True)})
 

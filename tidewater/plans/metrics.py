@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewater.functions.na import pct_change, try_div
+from tidewater.operators.joins import attach_group_agg
+from tidewater.operators.order_stats import exact_percent_rank
+from tidewater.operators.ranges import local_extrema
+from tidewater.operators.series import lag_change, lag_pct_change
 from tidewater.operators.topk import arg_extreme
 
 RATIO, PRICE, EARN = "Affordability_Ratio", "Median_House_Price", "Median_Earnings"
@@ -68,10 +72,8 @@ def growth_multiple(region: DataFrame, spec: MetricSpec = MetricSpec()) -> DataF
 def position_pct(dy: DataFrame) -> DataFrame:
     """Percent of the other districts with a lower ratio (a percent rank over
     the districts of one year; one row per district)."""
-    d = dy.where(F.col(RATIO).isNotNull())
-    w = W.partitionBy("Year").orderBy(RATIO)
-    return d.select("Local_Authority_Name", "Region_Name", RATIO,
-                    (F.percent_rank().over(w) * F.lit(100.0)).alias("pct_less_affordable_than"))
+    d = exact_percent_rank(dy.where(F.col(RATIO).isNotNull()), RATIO, "__share", keys=["Year"])
+    return d.select("Local_Authority_Name", "Region_Name", RATIO, (F.col("__share") * F.lit(100.0)).alias("pct_less_affordable_than"))
 
 
 def region_ranges(dy: DataFrame, spec: MetricSpec = MetricSpec()) -> DataFrame:
@@ -99,24 +101,19 @@ def extreme_regions(region: DataFrame, spec: MetricSpec = MetricSpec()) -> DataF
 def peaks_dips(region: DataFrame, spec: MetricSpec = MetricSpec()) -> DataFrame:
     """Local extrema of the series entity's ratio and its global peak."""
     s = region.where(F.col("Region_Name") == spec.series_entity).select("Year", RATIO)
-    w = W.orderBy("Year")  # one entity: a handful of rows
-    r, prev, nxt = F.col(RATIO), F.lag(RATIO).over(w), F.lead(RATIO).over(w)
-    out = s.withColumns({"local_peak": (r > prev) & (r > nxt), "local_dip": (r < prev) & (r < nxt)})
-    return out.withColumn("global_peak", r == F.max(RATIO).over(W.partitionBy()))
+    out = attach_group_agg(local_extrema(s, [], ["Year"], RATIO), [], {"__top": F.max(RATIO)})
+    return out.withColumn("global_peak", F.col(RATIO) == F.col("__top")).drop("__top")
 
 
 def early_growth(region: DataFrame, spec: MetricSpec = MetricSpec()) -> DataFrame:
-    w = W.partitionBy("Region_Name").orderBy("Year")
-    g = region.withColumn("price_growth_pct", pct_change(F.col(PRICE), F.lag(PRICE).over(w)))
+    g = lag_pct_change(region, "Region_Name", "Year", PRICE, "price_growth_pct")
     return g.where((F.col("Year") <= spec.early_until) & (F.col("price_growth_pct") > spec.early_growth_pct)) \
             .select("Region_Name", "Year", "price_growth_pct")
 
 
 def gap_change(region: DataFrame, spec: MetricSpec = MetricSpec()) -> DataFrame:
-    w = W.partitionBy("Region_Name").orderBy("Year")
     gap = F.col(PRICE) - F.lit(spec.earnings_multiple) * F.col(EARN)
-    g = region.select("Region_Name", "Year", gap.alias("gap"))
-    return g.withColumn("gap_change", F.col("gap") - F.lag("gap").over(w))
+    return lag_change(region.select("Region_Name", "Year", gap.alias("gap")), "Region_Name", "Year", "gap", "gap_change")
 
 
 def error_rollup(events: DataFrame, ts: str = "ts", kind: str = "event_type", error_value: str = "error") -> DataFrame:

@@ -24,7 +24,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.operators.order_stats import cut_lineage, exact_median
+from tidewater.operators.order_stats import medians_by_level
+from tidewater.operators.ranges import cut_lineage
 
 WORLD = "World"
 
@@ -61,7 +62,9 @@ def _levels(per_nation: DataFrame, s: Star, by: Sequence[str], sums: Sequence[st
     r = named.rollup(*by, "r_name", "n_name").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("n_nationkey").alias("__nk"), F.grouping_id().alias("__gid"))
-    r = r.where(F.col("__gid") < 4)  # drop the grand total over `by`; a NULL year is a group
+    # drop the grand total over `by` (a NULL year is a group), and the unknown
+    # region, whose rows are the unknown nation's
+    r = r.where((F.col("__gid") < 4) & ~((F.col("__gid") == 1) & F.col("r_name").isNull()))
     entity = F.when(F.col("__gid") == 0, F.col("n_name")).when(F.col("__gid") == 1, F.col("r_name")) \
               .otherwise(F.lit(WORLD))
     code = F.when(F.col("__gid") == 0, nation_code(F.col("__nk")))
@@ -84,7 +87,7 @@ def order_totals(s: Star) -> DataFrame:
     per_cy = s.orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")) \
         .agg(F.sum("o_totalprice").alias("amount"))
     c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
-    per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey).groupBy("__nk", "year") \
+    per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey, "left").groupBy("__nk", "year") \
         .agg(F.sum("amount").alias("amount"))
     out = _levels(per_n, s, ["year"], ["amount"])
     return out.withColumn("amount", F.round("amount", 2))
@@ -107,10 +110,10 @@ def line_values(s: Star) -> DataFrame:
     per_order = s.lineitem.groupBy("l_orderkey").agg(
         F.sum(ext * (F.lit(1) - disc) * (F.lit(1) + tax)).alias("cons"), F.sum(ext).alias("gross"))
     o = s.orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
-    per_cy = per_order.join(o, per_order.l_orderkey == o.o_orderkey) \
+    per_cy = per_order.join(o, per_order.l_orderkey == o.o_orderkey, "left") \
         .groupBy("o_custkey", "year").agg(F.sum("cons").alias("cons"), F.sum("gross").alias("gross"))
     c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
-    per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey).groupBy("__nk", "year") \
+    per_n = per_cy.join(c, per_cy.o_custkey == c.c_custkey, "left").groupBy("__nk", "year") \
         .agg(F.sum("cons").alias("cons"), F.sum("gross").alias("gross"))
     lv = _levels(per_n, s, ["year"], ["cons", "gross"])
     pop = customer_counts(s)
@@ -162,42 +165,43 @@ def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> Dat
     return c.groupBy(*ids).pivot("__label", labels).agg(F.first("cell"))
 
 
-def _price_rows(s: Star, spec: WideSpec) -> DataFrame:
-    geo = _geo(s)
-    o = s.orders.select("o_custkey", F.year("o_orderdate").alias("year"), "o_totalprice")
-    c = s.customer.select("c_custkey", F.col("c_nationkey").alias("__nk"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
-        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", F.col("o_totalprice").alias("v"))
-
-
-def _earnings_rows(s: Star) -> DataFrame:
-    geo = _geo(s)
-    sup = s.supplier.select("s_suppkey", F.col("s_nationkey").alias("__nk"))
-    li = s.lineitem.select("l_suppkey", F.year("l_shipdate").alias("year"),
-                           (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
-    return li.join(sup, li.l_suppkey == sup.s_suppkey).join(geo, F.col("__nk") == F.col("n_nationkey")) \
-        .select("__nk", F.col("r_regionkey").alias("__rk"), "year", "v")
+def entity_levels(s: Star) -> DataFrame:
+    """``(__nk, level, code)``: each nation's own code, its region's and the
+    world's; an unknown nation (NULL) belongs to the world only."""
+    geo, nk = _geo(s), F.col("n_nationkey").alias("__nk")
+    known = geo.select(nk, F.lit("n").alias("level"), nation_code(F.col("n_nationkey")).alias("code")) \
+        .union(geo.select(nk, F.lit("r"), region_code(F.col("r_regionkey")))).union(geo.select(nk, F.lit("w"), F.lit(WORLD_CODE)))
+    return known.unionByName(s.region.agg(F.lit(None).cast("int").alias("__nk"), F.lit("w").alias("level"), F.lit(WORLD_CODE).alias("code")))
 
 
-def sheet_cells(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] = ("price", "earnings")) -> DataFrame:
-    """Cells of the price and/or earnings sheets in one table
-    (sheet, level, code, year, median, n_obs, cell).  Both sheets go through
-    one grouped exact-median selection (group = sheet x level x entity x
-    year), and the small result is checkpointed once."""
+def sheet_rows(s: Star, which: Sequence[str] = ("price", "earnings")) -> DataFrame:
+    """``(sheet, year, __nk, v)``: order values by customer nation and line
+    revenues by supplier nation.  Rows whose customer, supplier or nation is
+    unknown have a NULL nation."""
+    known = F.broadcast(_geo(s).select("n_nationkey"))
     parts = []
     if "price" in which:
-        parts.append(_price_rows(s, spec).withColumn("sheet", F.lit("price")))
+        facts = s.orders.select(F.col("o_custkey").alias("__key"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("v"))
+        parts.append(("price", facts, s.customer.select(F.col("c_custkey").alias("__key"), F.col("c_nationkey").alias("__n"))))
     if "earnings" in which:
-        parts.append(_earnings_rows(s).withColumn("sheet", F.lit("earnings")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    lv = rows.select("sheet", "__nk", "__rk", "year", "v",
-                     F.explode(F.array(F.lit("n"), F.lit("r"), F.lit("w"))).alias("level")) \
-        .withColumn("code", F.when(F.col("level") == "n", nation_code(F.col("__nk")))
-                    .when(F.col("level") == "r", region_code(F.col("__rk")))
-                    .otherwise(F.lit(WORLD_CODE)))
-    m = exact_median(lv, ["sheet", "level", "code", "year"], "v", "median").withColumnRenamed("n", "n_obs")
+        facts = s.lineitem.select(F.col("l_suppkey").alias("__key"), F.year("l_shipdate").alias("year"),
+                                  (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
+        parts.append(("earnings", facts, s.supplier.select(F.col("s_suppkey").alias("__key"), F.col("s_nationkey").alias("__n"))))
+    rows = None
+    for name, facts, keys in parts:
+        keys = keys.join(known, F.col("__n") == F.col("n_nationkey"), "left").select("__key", F.col("n_nationkey").alias("__nk"))
+        part = facts.join(keys, "__key", "left").select(F.lit(name).alias("sheet"), "year", "__nk", "v")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def sheet_cells(s: Star, spec: WideSpec = WideSpec(), which: Sequence[str] = ("price", "earnings"), **bounds: int) -> DataFrame:
+    """Cells of the price and/or earnings sheets in one table
+    (sheet, level, code, year, median, n_obs, cell).  Every fact row is counted
+    once, under its nation; regions and the world are sums of their nations'
+    histograms.  The small result is checkpointed once."""
+    m = medians_by_level(sheet_rows(s, which), ["sheet", "year"], "__nk", entity_levels(s), "v", **bounds)
+    m = m.withColumnRenamed("n", "n_obs")
     withheld = F.when(F.col("sheet") == "price", _withheld(spec.withheld_price)).otherwise(_withheld(spec.withheld_earnings))
     return cut_lineage(m.withColumn("cell", _cell(F.col("median"), withheld)))
 
