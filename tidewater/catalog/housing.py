@@ -306,10 +306,8 @@ def ratio_bins(spark, root):
 
 
 def _scratch(spark, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    import uuid
-    from tidewater.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/sheets/{name}-{uuid.uuid4().hex}"
+    from tidewater.session import scratch_path
+    return scratch_path(spark, f"sheets-{name}")
 
 
 @register("sheet_roundtrip_long", BASE + " SELECT * FROM hp_district")
@@ -323,3 +321,47 @@ def sheet_roundtrip_long(spark, root):
                                      ["Median price paid by local authority"])
     back = read_sheet_with_preamble(spark, path, skip=1, na=":")
     return A.long_district_price(back)
+
+
+@register("map_boundary_table", _MAP_SQL + """
+SELECT LAD_CODE, 'POINT (' || CAST(n_nationkey AS VARCHAR) || ' ' || CAST(n_regionkey AS VARCHAR) || ')' AS geom, region, affordability_ratio
+FROM mapped JOIN nation ON LAD_CODE = 'NAT' || CAST(n_nationkey AS VARCHAR)""")
+def map_boundary_table(spark, root):
+    """The map join on a boundary table that is read back from its file."""
+    from tidewater.sources.sheets import read_boundary
+    t, path = Tables(spark, root), _scratch(spark, "boundary")
+    A.boundary(t.nation).write.parquet(path)
+    return A.map_shapes(read_boundary(spark, path, "LAD_CODE"), _dy(spark, root), ASPEC)
+
+
+# part names with line ends, quotes, commas and blanks, and some missing cells
+_NOTES = """
+SELECT p_partkey AS part_key, CASE WHEN p_partkey % 11 = 0 THEN NULL
+       ELSE p_name || chr(10) || ' "' || p_type || '", ' || chr(10) || chr(10) || p_brand || ' ' END AS note, CAST(p_size AS VARCHAR) AS size FROM part"""
+
+
+@register("sheet_multiline_cells", _NOTES)
+def sheet_multiline_cells(spark, root):
+    """A published sheet whose cells hold line ends, written and read back."""
+    from tidewater.sources.sheets import read_sheet_with_preamble
+    from tidewater.sources.sinks import write_sheet_with_preamble
+    note = F.concat(F.col("p_name"), F.lit("\n \""), F.col("p_type"), F.lit("\", \n\n"), F.col("p_brand"), F.lit(" "))
+    sheet = Tables(spark, root).part.select(F.col("p_partkey").alias("part_key"), F.when(F.col("p_partkey") % 11 != 0, note).alias("note"), F.col("p_size").alias("size"))
+    path = write_sheet_with_preamble(sheet, _scratch(spark, "notes"), ['Parts: a "title" with one quote more: "', "second line"])
+    back = read_sheet_with_preamble(spark, path, skip=2, na=":")
+    return back.select(F.col("part_key").cast("bigint").alias("part_key"), "note", "size")
+
+
+@register("published_ratios", BASE + """
+SELECT r.Region_Name, r."Year", r.Affordability_Ratio, COUNT(d.Local_Authority_Code) AS districts, MAX(d.Affordability_Ratio) AS highest
+FROM region_data r LEFT JOIN district_data d ON r.Region_Name = d.Region_Name AND r."Year" = d."Year"
+GROUP BY r.Region_Name, r."Year", r.Affordability_Ratio""")
+def published_ratios(spark, root):
+    """Both ratio tables published as one set and read from it."""
+    from tidewater.sources.sinks import publish_datasets, read_published
+    out = _scratch(spark, "published")
+    publish_datasets({"region": _region(spark, root), "district": _district(spark, root)}, out)
+    r = read_published(spark, out, "region")
+    d = read_published(spark, out, "district").select("Region_Name", "Year", "Local_Authority_Code", F.col("Affordability_Ratio").alias("ratio"))
+    return r.join(d, ["Region_Name", "Year"], "left").groupBy("Region_Name", "Year", "Affordability_Ratio").agg(
+        F.count("Local_Authority_Code").alias("districts"), F.max("ratio").alias("highest"))

@@ -4,10 +4,12 @@ dimension; orders the header fact; lineitem ⟕ part the detail fact."""
 
 from __future__ import annotations
 
+import hashlib
+
 from tidewater.catalog import register
 from tidewater.plans import star as S
 from tidewater.operators.joins import listed
-from tidewater.sources.tables import Tables, publish_view
+from tidewater.sources.tables import Tables, publish_view, store_view
 
 
 @register("dim_snowflake", """
@@ -94,6 +96,19 @@ def monthly_view(spark, root):
     return spark.sql("SELECT month, n_orders, total_sales FROM monthly_sales WHERE n_orders > 1")
 
 
+@register("stored_monthly_view", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, COUNT(*) AS n_orders, ROUND(SUM(o_totalprice), 2) AS total_sales
+FROM orders GROUP BY 1, 2""")
+def stored_monthly_view(spark, root):
+    """A view in the catalogue over the table's path, read by name from another
+    session of the application."""
+    t = Tables(spark, root)
+    name = "monthly_sales_" + hashlib.sha256(t.path("orders").encode()).hexdigest()[:12]     # one view a table
+    store_view(spark, name, """SELECT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS month, o_orderstatus, COUNT(*) AS n_orders,
+                                      ROUND(SUM(o_totalprice), 2) AS total_sales FROM {orders} GROUP BY 1, 2""", orders=t.path("orders"))
+    return spark.newSession().table(name)
+
+
 @register("listed_orders", """
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")

@@ -126,7 +126,8 @@ def ranked_districts(dy: DataFrame, n: int = 10, least_affordable: bool = False)
 
 def boundary(nation: DataFrame) -> DataFrame:
     from tidewater.plans.sheets import nation_code
-    return nation.select(nation_code(F.col("n_nationkey")).alias("LAD_CODE"), F.col("n_name").alias("LAD_NAME"))
+    return nation.select(nation_code(F.col("n_nationkey")).alias("LAD_CODE"), F.col("n_name").alias("LAD_NAME"),
+                         F.concat_ws(" ", F.lit("POINT"), F.concat(F.lit("("), F.col("n_nationkey").cast("string"), F.lit(" "), F.col("n_regionkey").cast("string"), F.lit(")"))).alias("geom"))
 
 
 def map_matched(bnd: DataFrame, dy: DataFrame, spec: AffordSpec = AffordSpec()) -> DataFrame:
@@ -139,6 +140,13 @@ def map_matched(bnd: DataFrame, dy: DataFrame, spec: AffordSpec = AffordSpec())
                     F.col(RATIO).alias("affordability_ratio"))
 
 
+def map_shapes(bnd: DataFrame, dy: DataFrame, spec: AffordSpec = AffordSpec()) -> DataFrame:
+    """As ``map_matched`` for a boundary table of codes and geometries: the
+    geometry is passed through."""
+    j = bnd.join(dy, bnd.LAD_CODE == dy.Local_Authority_Code, "left").where(F.col(RATIO).isNotNull() & (F.col("Year") == spec.last_year))
+    return j.select("LAD_CODE", "geom", F.col("Region_Name").alias("region"), F.col(RATIO).alias("affordability_ratio"))
+
+
 def ratio_bins(mapped: DataFrame, spec: AffordSpec = AffordSpec()) -> DataFrame:
     labels = bin_labels(spec.bins)
     return mapped.withColumns({"bin": fixed_bins("affordability_ratio", spec.bins),

@@ -3,17 +3,22 @@
 Spreadsheets are exported one file per sheet.  ``read_sheet`` reads a
 CSV or Parquet export with an explicit schema.  ``read_sheet_with_preamble``
 handles exports that carry N title lines before the header and a missing
-marker such as ``':'``: files are read as text, each file's first N lines
-(by line number within the file) and its header are dropped in one Arrow
-pass, and the rest is parsed with ``from_csv``; file splits are read in
-parallel.
+marker such as ``':'``, whose quoted cells may hold line ends:
+
+1. files are read as lines, in parallel splits.  A first pass counts lines and
+   quotes of every split; whether a split begins inside a quoted cell follows from
+   the quotes before it in its file (an odd number: yes).
+2. the second pass joins the lines of each split to records.  A record that
+   a split's end cuts leaves pieces, one a split, which are put together again.
+3. records are parsed once, by position, and every file's header says which
+   column a position is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -29,73 +34,153 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.load(path)
 
 
-MAX_LAYOUTS = 50      # different header lines of one sheet's files
+# quotes inside a quoted cell are doubled, and cells are kept as they stand
+CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_PIECE = "file string, start bigint, kind string, value string"
 
 
-def _split_csv_header(line: str) -> list[str]:
-    import csv
-    return next(csv.reader([line]))
+def _splits_of(batches):
+    """``(file, start, [lines])`` in file order; a split may come in parts."""
+    for pdf in batches:
+        same = (pdf["file"] != pdf["file"].shift()) | (pdf["start"] != pdf["start"].shift())
+        for _, g in pdf.groupby(same.cumsum(), sort=False):
+            yield g["file"].iloc[0], int(g["start"].iloc[0]), g["value"].tolist()
 
 
-def _strip_preamble(skip: int):
-    """mapInPandas body: within a task, rows of a file split arrive in file
-    order; the split starting at byte 0 holds the preamble and the header.
-    Emits ('h', header) once per file and ('d', line) for data lines."""
+def _split_facts(skip: int):
+    """mapInPandas body: ``(file, start, n, odd, first)``: lines, whether their
+    quotes are odd in number, and the same for each of the first ``skip``."""
     def run(batches):
         import pandas as pd
-        seen: dict[str, int] = {}
-        for pdf in batches:
-            kind = pd.Series("d", index=pdf.index)
-            top = pdf.loc[pdf["start"] == 0, "file"]
-            # most files are past their first lines after one batch
-            if len(top) and any(seen.get(f, 0) <= skip for f in top.unique()):
-                n = top.groupby(top).cumcount() + top.map(lambda f: seen.get(f, 0))
-                kind[n.index[n < skip]] = "p"
-                kind[n.index[n == skip]] = "h"
-            for f, k in top.value_counts().items():
-                seen[f] = seen.get(f, 0) + int(k)
-            out = pd.DataFrame({"kind": kind, "value": pdf["value"], "file": pdf["file"]})
-            yield out[out["kind"] != "p"]
+        facts: dict[tuple, list] = {}
+        for file, start, lines in _splits_of(batches):
+            f = facts.setdefault((file, start), [0, 0, []])
+            for line in lines:
+                odd = line.count('"') % 2
+                f[0] += 1
+                f[1] ^= odd
+                if len(f[2]) < skip:
+                    f[2].append(odd)
+        yield pd.DataFrame([(*k, *v) for k, v in facts.items()], columns=["file", "start", "n", "odd", "first"])
     return run
 
 
+def _records(skip: int, entry: dict[tuple[str, int], tuple[int, int]]):
+    """mapInPandas body: records of each split.  Kinds: ``h`` header, ``d``
+    data; of a record that goes beyond the split, ``ho``/``do`` its beginning,
+    ``m`` a whole split inside it, ``c`` its end.  ``entry`` holds (lines
+    before, inside a cell) of splits that begin inside a cell or no later than
+    the header; others begin with a record."""
+    def run(batches):
+        import pandas as pd
+        out: list[tuple] = []
+        at, kind, inside, held, line_no = None, "", 0, [], 0
+
+        def flush(end: bool):
+            nonlocal held
+            text = "\n".join(held)
+            if end:
+                out.append((*at, kind, text))
+            elif held:
+                out.append((*at, "m" if kind == "c" else kind + "o", text))
+            held = []
+
+        for file, start, lines in _splits_of(batches):
+            if (file, start) != at:
+                if at:
+                    flush(False)
+                at = (file, start)
+                line_no, inside = (0, 0) if start == 0 else entry.get(at, (skip + 1, 0))
+                kind = "c" if inside else ""
+            for line in lines:
+                line_no += 1
+                if line_no <= skip and not inside:
+                    continue
+                if not held and not inside:
+                    kind = "h" if line_no == skip + 1 else "d"
+                held.append(line)
+                inside ^= line.count('"') % 2
+                if not inside:
+                    held[-1] = held[-1].removesuffix("\r")
+                    if kind != "d" or len(held) > 1 or held[0]:
+                        flush(True)
+                    held = []
+            if len(out) > 5000:
+                yield pd.DataFrame(out, columns=["file", "start", "kind", "value"])
+                out = []
+        if at:
+            flush(False)
+        yield pd.DataFrame(out, columns=["file", "start", "kind", "value"])
+    return run
+
+
+def sheet_records(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """``(file, kind, value)``: the header (``h``) and data (``d``) records of
+    every file after its first ``skip`` lines; a record may span lines."""
+    raw = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    facts = raw.mapInPandas(_split_facts(skip), "file string, start bigint, n bigint, odd int, first array<int>")
+    w = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)    # the splits of a file
+    facts = facts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    title = F.slice("first", 1, F.greatest(F.lit(0), F.lit(skip) - F.col("before")).cast("int"))     # its preamble lines do not count
+    facts = facts.withColumn("odd", F.col("odd") + F.aggregate(title, F.lit(0), lambda a, x: a + x))
+    facts = facts.withColumn("inside", F.coalesce(F.sum("odd").over(w), F.lit(0)) % 2)
+    # splits that do not simply begin with a data record
+    some = facts.where((F.col("start") > 0) & ((F.col("inside") == 1) | (F.col("before") <= skip))).select("file", "start", "before", "inside").collect()
+    entry = {(r.file, r.start): (r.before, int(r.inside)) for r in some}
+    pieces = raw.mapInPandas(_records(skip, entry), _PIECE)
+    whole = pieces.where(F.col("kind").isin("h", "d")).select("file", "kind", "value")
+    # at most two pieces a split; a record is its beginning and what follows up to the next beginning
+    cut = pieces.where(~F.col("kind").isin("h", "d")).withColumn("begins", F.col("kind").endswith("o").cast("int"))
+    order = W.partitionBy("file").orderBy("start", "begins")
+    cut = cut.withColumn("record", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = cut.groupBy("file", "record").agg(
+        F.max(F.when(F.col("begins") == 1, F.substring("kind", 1, 1))).alias("kind"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "begins", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return whole.unionByName(joined.select("file", "kind", "value"))
+
+
+def _header(record: str) -> list[str]:
+    """Column names; a repeated one gets its position."""
+    import csv
+    names = next(csv.reader([record.replace("\n", "\x00")]), [])
+    names = [n.replace("\x00", "\n") for n in names]
+    return [n if n not in names[:k] else f"{n}...{k + 1}" for k, n in enumerate(names)]
+
+
 def read_sheet_with_preamble(spark: SparkSession, path: str, skip: int = 1, na: str | None = ":",
                              columns: Sequence[str] | None = None) -> DataFrame:
     """``read_excel(path, skip=N, na=":")`` for CSV exports: drop the first
-    ``skip`` lines of every file, take the next line as the header, read all
-    cells as text with ``na`` as NULL.
+    ``skip`` lines of every file, take the next record as the header, read all
+    cells as text with ``na`` as NULL.  Quoted cells may hold commas, doubled
+    quotes and line ends.
 
-    The preamble sits at the start of each file, i.e. in the split whose
-    ``_metadata.file_block_start`` is 0; a ``mapInPandas`` pass drops those
-    lines there (no per-file grouping, splits stay parallel).  Without
-    ``columns`` every file is read by its own header, columns matched by name.
+    Without ``columns`` every file is read by its own header, columns matched by
+    name; any number of layouts is parsed in one pass.
     """
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-    lines = raw.mapInPandas(_strip_preamble(skip), "kind string, value string, file string")
-    opts = {"nullValue": na} if na is not None else {}
-    body = lines.where((F.col("kind") == "d") & (F.length("value") > 0))
-
-    def parse(part: DataFrame, names: Sequence[str]) -> DataFrame:
-        ddl = ", ".join("`" + c.replace("`", "``") + "` STRING" for c in names)
-        return part.select(F.from_csv("value", F.lit(ddl), opts).alias("__r")).select("__r.*")
-
+    records = sheet_records(spark, path, skip)
+    body = records.where(F.col("kind") == "d")
+    place = None
     if columns is not None:
-        out = parse(body, columns)
+        columns, wide = list(columns), len(columns)
     else:
-        # each file is read by its own header: one part per distinct header line
-        heads = lines.where(F.col("kind") == "h").select("file", F.col("value").alias("header"))
-        layouts = [r.header for r in heads.groupBy("header").agg(F.min("file").alias("f")).orderBy("f").limit(MAX_LAYOUTS + 1).collect()]
+        heads = records.where(F.col("kind") == "h").select("file", F.col("value").alias("header"))
+        # the sheet's columns: one row a distinct header
+        layouts = [(r.header, _header(r.header)) for r in heads.groupBy("header").agg(F.min("file").alias("f")).orderBy("f").collect()]
         if not layouts:
-            raise ValueError(f"{path}: no header line after {skip} preamble lines")
-        if len(layouts) > MAX_LAYOUTS:
-            raise ValueError(f"{path}: more than {MAX_LAYOUTS} different headers")
-        columns = _split_csv_header(layouts[0])
-        out = parse(body if len(layouts) == 1 else body.join(heads.where(F.col("header") == layouts[0]), "file", "left_semi"), columns)
-        for h in layouts[1:]:
-            out = out.unionByName(parse(body.join(heads.where(F.col("header") == h), "file", "left_semi"), _split_csv_header(h)),
-                                  allowMissingColumns=True)
-        columns = out.columns
+            raise ValueError(f"{path}: no header after {skip} preamble lines")
+        columns = list(dict.fromkeys(c for _, names in layouts for c in names))
+        wide = max(len(names) for _, names in layouts)
+        if len(layouts) > 1:
+            at = [(h, [names.index(c) if c in names else -1 for c in columns]) for h, names in layouts]
+            place = heads.join(spark.createDataFrame(at, "header string, at array<int>"), "header").select("file", "at")
+    ddl = ", ".join(f"c{k} STRING" for k in range(wide))
+    cells = F.from_csv("value", F.lit(ddl), {**CSV, **({"nullValue": na} if na is not None else {})})
+    if place is None:
+        out = body.select(cells.alias("__r")).select(*[F.col(f"__r.c{k}").alias(c) for k, c in enumerate(columns)])
+    else:
+        row = body.join(place, "file").select(cells.alias("__r"), "at").select(F.array(*[F.col(f"__r.c{k}") for k in range(wide)]).alias("__c"), "at")
+        out = row.select(*[F.get("__c", F.col("at")[k]).alias(c) for k, c in enumerate(columns)])
     if na is not None:
         out = out.select(*[F.when(F.trim(F.col(f"`{c}`")) == na, None).otherwise(F.col(f"`{c}`")).alias(c)
                            for c in columns])

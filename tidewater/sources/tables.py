@@ -48,3 +48,11 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     """``CREATE OR ALTER VIEW`` counterpart: a session temp view."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
+
+
+def store_view(spark: SparkSession, name: str, select: str, **paths: str) -> None:
+    """``CREATE OR ALTER VIEW`` in the catalogue: the view outlives the session
+    that made it and is replaced in one step.  ``select`` names tables as
+    ``{table}``; each is a Parquet path, so that nothing session-bound is used."""
+    relations = {t: "parquet.`" + p.replace("`", "``") + "`" for t, p in paths.items()}
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {select.format(**relations)}")
