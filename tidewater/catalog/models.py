@@ -32,6 +32,18 @@ def order_features(spark, root):
                     F.round("gross", 2).alias("gross"), "label")
 
 
+@register("clustered_order_features", """
+SELECT l_orderkey, CAST(COUNT(*) AS DOUBLE) AS n_lines, ROUND(SUM(l_quantity), 6) AS quantity, ROUND(SUM(l_extendedprice), 2) AS gross, MAX(o_totalprice) AS label
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""")
+def clustered_order_features(spark, root):
+    """Order features from facts laid out by order key: no exchange at all."""
+    from pyspark.sql import functions as F
+    from tidewater.sources.layout import clustered
+    t = Tables(spark, root)
+    f = ML.order_features(clustered(spark, t.path("lineitem"), "l_orderkey"), clustered(spark, t.path("orders"), "o_orderkey"))
+    return f.select("l_orderkey", "n_lines", F.round("quantity", 6).alias("quantity"), F.round("gross", 2).alias("gross"), "label")
+
+
 LSPEC = ML.LinearSpec()
 _X = ("n_lines", "quantity", "avg_discount", "avg_tax", "label")
 _Y = "gross"        # the order's gross line value, from the other columns

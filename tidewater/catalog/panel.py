@@ -115,6 +115,17 @@ def panel_sheet_lines(spark, root):
     return SH.line_values(star(spark, root))
 
 
+@register("clustered_panel_lines", _SHEETS + " SELECT * FROM sheet_c")
+def clustered_panel_lines(spark, root):
+    """The line sheet from facts laid out by order key: lines meet their orders
+    without a shuffle; only sums per customer and year move."""
+    from dataclasses import replace
+    from tidewater.sources.layout import clustered
+    t = Tables(spark, root)
+    return SH.line_values(replace(star(spark, root), lineitem=clustered(spark, t.path("lineitem"), "l_orderkey"),
+                                  orders=clustered(spark, t.path("orders"), "o_orderkey")))
+
+
 @register("panel_merge", _SHEETS + " SELECT * FROM panel")
 def panel_merge(spark, root):
     s = star(spark, root)
