@@ -58,10 +58,28 @@ def test_observed_medians_are_never_withheld_by_number(spark):
     assert cells["n", 1995] == "10.0"
 
 
-def test_year_without_a_column_fails(spark):
-    cells = spark.createDataFrame([("n", "NAT0", 1990, "1.0")], "level string, code string, year int, cell string")
-    with pytest.raises(Exception, match="no sheet column"):
-        SH._pivot(cells, ["code"], SH.WideSpec(), "Year {y}").collect()
+def test_columns_follow_the_years_of_the_cells(spark):
+    cells = spark.createDataFrame([("n", "NAT0", 1990, "1.0"), ("n", "NAT0", None, "2.0"), ("n", "NAT0", 1996, "3.0")], "level string, code string, year int, cell string")
+    got = SH._pivot(cells, ["code"], SH.WideSpec(), "Year {y}")
+    assert got.columns == ["code", "Year 1990", *(f"Year {y}" for y in range(1995, 2002)), "Year NA"]
+    assert got.first()["Year 1990"] == "1.0" and got.first()["Year NA"] == "2.0" and got.first()["Year 1995"] is None
+    from tidewater.plans import affordability as A
+    long = {r.Year: r[A.PRICE] for r in A.clean_long(got, got.columns[1:], A.PRICE).collect()}
+    assert long[None] == 2.0 and long[1990] == 1.0 and long[1996] == 3.0
+
+
+def test_unknown_customers_count_in_the_world(spark):
+    """An order of a customer that no table knows, and one of a nation that no
+    table knows, stay in the world's totals and medians."""
+    s = star(spark)
+    day = dt.datetime(1995, 6, 1)
+    more = spark.createDataFrame([(4, 777, "F", 1e6, day), (5, 50, "F", 30.0, day)], s.orders.schema)
+    s = SH.Star(**{**s.__dict__, "orders": s.orders.union(more), "customer": s.customer.union(spark.createDataFrame([(50, 99)], s.customer.schema))})
+    rows = {(r.entity, r.year): r.amount for r in SH.order_totals(s).collect()}
+    assert rows["World", 1995] == 1_000_060.0 and rows["N", 1995] == 10.0 and rows["R", 1995] == 10.0
+    assert [r for r in rows if r[0] is None] == [(None, 1995)] and rows[None, 1995] == 1_000_050.0
+    cells = {(r.level, r.year): (r["median"], r.n_obs) for r in SH.sheet_cells(s, SH.WideSpec(), ("price",)).collect()}
+    assert cells["w", 1995] == (25.0, 4) and cells["n", 1995] == (10.0, 1)
 
 
 def test_new_column_in_a_partition_is_seen(spark, scratch):

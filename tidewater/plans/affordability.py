@@ -31,7 +31,7 @@ RATIO = "Affordability_Ratio"
 class AffordSpec:
     exclude_regions: tuple[str, ...] = ("MIDDLE EAST",)   # rows left out of the analysis
     last_year: int = 2000
-    n_years: int = 7                                      # year columns per sheet
+    n_years: int | None = None                            # year columns per sheet (None: all after the names)
     bins: tuple[float, ...] = (0, 4.5, 5, 5.5, 6, 44)     # map colour breaks
 
 
@@ -40,7 +40,7 @@ def long_region_price(sheet: DataFrame) -> DataFrame:
 
 
 def long_region_earnings(sheet: DataFrame, spec: AffordSpec = AffordSpec()) -> DataFrame:
-    return clean_long(sheet, cols_by_position(sheet, 3, 2 + spec.n_years), EARN)
+    return clean_long(sheet, cols_by_position(sheet, 3, len(sheet.columns) if spec.n_years is None else 2 + spec.n_years), EARN)
 
 
 def long_district_price(sheet: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def long_district_price(sheet: DataFrame) -> DataFrame:
 
 
 def long_district_earnings(sheet: DataFrame, spec: AffordSpec = AffordSpec()) -> DataFrame:
-    return clean_long(sheet, cols_by_position(sheet, 5, 4 + spec.n_years), EARN)
+    return clean_long(sheet, cols_by_position(sheet, 5, len(sheet.columns) if spec.n_years is None else 4 + spec.n_years), EARN)
 
 
 def median_impute(df: DataFrame, groups: Sequence[str], value: str, digits: int | None = None) -> DataFrame:

@@ -154,15 +154,13 @@ WORLD_CODE = "WLD"
 
 
 def _pivot(cells: DataFrame, ids: list[str], spec: WideSpec, header: str) -> DataFrame:
-    labels = [header.format(y=y) for y in spec.years]
-    # a row without a year has no column; any other year must have one
-    known = F.when(F.col("year").isNull(), F.lit(False)).when(F.col("year").isin(list(spec.years)), F.lit(True)) \
-        .otherwise(F.raise_error(F.concat(F.lit("no sheet column for year "), F.col("year").cast("string"))).cast("boolean"))
-    c = cells.where(known) \
-        .withColumn("__label", F.concat(F.lit(header.split("{y}")[0]), F.col("year").cast("string"),
-                                        F.lit(header.split("{y}")[1])))
-    # explicit pivot values: no extra job to discover them
-    return c.groupBy(*ids).pivot("__label", labels).agg(F.first("cell"))
+    # the spec's years, then any other that the cells have; cells without a
+    # year get a column of their own, whose header names none
+    found = {r.year for r in cells.select("year").distinct().collect()}      # one row a sheet column
+    years = [*sorted({*spec.years, *(y for y in found if y is not None)}), *(["NA"] if None in found else [])]
+    year = F.coalesce(F.col("year").cast("string"), F.lit("NA"))
+    label = F.concat(F.lit(header.split("{y}")[0]), year, F.lit(header.split("{y}")[1]))
+    return cells.withColumn("__label", label).groupBy(*ids).pivot("__label", [header.format(y=y) for y in years]).agg(F.first("cell"))
 
 
 def entity_levels(s: Star) -> DataFrame:
@@ -237,7 +235,7 @@ def district_sheet(cells: DataFrame, s: Star, spec: WideSpec, header: str, earni
     wide = _pivot(cells.where(F.col("level") == "n").select(F.col("code").alias("la_code"), "year", "cell"),
                   ["la_code"], spec, header)
     out = _names(s).join(wide, "la_code", "left")
-    years = [header.format(y=y) for y in spec.years]
+    years = wide.columns[1:]
     la_c, la_n = ("Code", "Name") if earnings_layout else ("Local authority code", "Local authority name")
     return out.select(F.col("rg_code").alias("Region code"), F.col("rg_name").alias("Region name"),
                       F.col("la_code").alias(la_c), F.col("la_name").alias(la_n), *[F.col(f"`{y}`") for y in years])
