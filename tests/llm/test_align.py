@@ -77,7 +77,7 @@ def check(spark, texts):
 
 
 ODD = [None, "", " ", "  two  spaces ", "a▁b", "tab\tand\nline\r\n", "<|endoftext|> </s> <s> <unk> <0x41>", "﻿bom   nbsp", "日本語のテキスト と emoji 👩‍👩‍👧 🇫🇷",
-       "é combining", "‮ rtl \u0000 nul", "same text", "same text", "x" * 5000, " " * 3000, "1234567890" * 300, "word " * 20000, "ÀÉÎİßﬁ"]
+       "é combining", "‮ rtl \u0000 nul", "same text", "same text", "x" * 5000, " " * 3000, "1234567890" * 300, "word " * 20000, "ÀÉÎİßﬁ", "a" + " " * 12000 + "b" + "\n" * 11000 + "<|endoftext|>"]
 
 
 def test_odd_texts(spark):

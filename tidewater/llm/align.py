@@ -29,6 +29,7 @@ table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -59,9 +60,16 @@ class Side:
                 for i, w in zip(self.encode(texts), wanted)]
 
 
+# the split of byte-level vocabularies; a fixed value
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANKS = 10_000         # a longer run of white space is too deep for tiktoken's matcher
+
+
 def byte_level(path: str) -> Side:
     """A byte-level vocabulary file of the tokenizers library; the text gets a
-    leading space."""
+    leading space.  If the file has nothing but the usual split and merges whose
+    ids follow their order, tiktoken encodes by the same table, several times
+    faster; texts with very long runs of white space go to the library itself."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,7 +80,27 @@ def byte_level(path: str) -> Side:
     value = {s: b for b, s in enumerate(byte_symbols())}
     names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
     pieces = [bytes(value[c] for c in n) if all(c in value for c in n) else n.encode() for n in names]
-    return Side(lambda texts: [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)], pieces)
+
+    def library(texts):
+        return [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
+    plain = (not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+             and merged == sorted(set(merged)) and len(model["vocab"]) == len(merged) + 256 and all(c in value for n in model["vocab"] for c in n))
+    if not plain:
+        return Side(library, pieces)
+    import tiktoken
+
+    table = tiktoken.Encoding(os.path.basename(path), pat_str=SPLIT, mergeable_ranks={pieces[i]: i for i in model["vocab"].values()}, special_tokens={})
+
+    def fast(texts):
+        return [library([x])[0] if len(x) >= BLANKS and re.search(r"\s{%d}" % BLANKS, x) else table.encode_ordinary(" " + x) for x in texts]
+
+    return Side(fast, pieces)
 
 
 def piece_level(path: str) -> Side:
@@ -102,11 +130,13 @@ def leaf_groups(ea: np.ndarray, eb: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     todo = (a[:-1], a[1:], b[:-1], b[1:])
     leaves = []
     while len(todo[0]):
-        alo, ahi, blo, bhi = todo
+        single = (todo[1] - todo[0] == 1) | (todo[3] - todo[2] == 1)
+        leaves.append(np.stack([x[single] for x in todo]))
+        alo, ahi, blo, bhi = (x[~single] for x in todo)
         n = len(alo)
         cut, at = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
         middle = alo + (ahi - alo - 1) // 2
-        open_ = np.flatnonzero((ahi - alo > 1) & (bhi - blo > 1))
+        open_ = np.arange(n)
         step = 0
         while len(open_):
             for sign in (1, -1) if step else (1,):
@@ -122,7 +152,7 @@ def leaf_groups(ea: np.ndarray, eb: np.ndarray, a: np.ndarray, b: np.ndarray) ->
             step += 1
             open_ = open_[(middle[open_] + step < ahi[open_] - 1) | (middle[open_] - step >= alo[open_])]
         done, split = cut < 0, cut >= 0
-        leaves.append(np.stack([x[done] for x in todo]))
+        leaves.append(np.stack([x[done] for x in (alo, ahi, blo, bhi)]))
         c, d = cut[split], at[split]
         todo = (np.r_[alo[split], c], np.r_[c, ahi[split]], np.r_[blo[split], d], np.r_[d, bhi[split]])
     out = np.concatenate(leaves, axis=1) if leaves else np.zeros((4, 0), dtype=np.int64)
