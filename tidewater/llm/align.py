@@ -127,33 +127,29 @@ def leaf_groups(ea: np.ndarray, eb: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     """Leaf groups ``(alo, ahi, blo, bhi)``, half open, in order.  ``ea`` and
     ``eb`` hold ascending end offsets of the tokens of several texts; ``a`` and
     ``b`` the token numbers at which the texts begin, and the last ends."""
+    # each end of A bisected among B's ends; ascending, so the sweep is cheap
+    place = np.searchsorted(eb, ea)
+    shared = eb[np.minimum(place, max(len(eb) - 1, 0))] == ea if len(eb) else np.zeros(0, dtype=bool)
     todo = (a[:-1], a[1:], b[:-1], b[1:])
     leaves = []
     while len(todo[0]):
         single = (todo[1] - todo[0] == 1) | (todo[3] - todo[2] == 1)
         leaves.append(np.stack([x[single] for x in todo]))
         alo, ahi, blo, bhi = (x[~single] for x in todo)
-        n = len(alo)
-        cut, at = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        cut = np.full(len(alo), -1, dtype=np.int64)
         middle = alo + (ahi - alo - 1) // 2
-        open_ = np.arange(n)
-        step = 0
-        while len(open_):
-            for sign in (1, -1) if step else (1,):
-                if not len(open_):
-                    break
-                i = middle[open_] + sign * step
-                ok = (i >= alo[open_]) & (i < ahi[open_] - 1)
-                some, i = open_[ok], i[ok]
-                j = np.searchsorted(eb, ea[i])
-                hit = eb[np.minimum(j, len(eb) - 1)] == ea[i]
-                cut[some[hit]], at[some[hit]] = i[hit] + 1, j[hit] + 1
-                open_ = open_[cut[open_] < 0]
+        open_, step = np.arange(len(alo)), 0
+        while len(open_):       # the middle end first, then its neighbours on both sides
+            for i in ((middle[open_],) if not step else (middle[open_] + step, middle[open_] - step)):
+                hit = (i < ahi[open_] - 1) & (i >= alo[open_]) & (cut[open_] < 0)
+                hit[hit] = shared[i[hit]]
+                cut[open_[hit]] = i[hit] + 1
             step += 1
-            open_ = open_[(middle[open_] + step < ahi[open_] - 1) | (middle[open_] - step >= alo[open_])]
-        done, split = cut < 0, cut >= 0
-        leaves.append(np.stack([x[done] for x in (alo, ahi, blo, bhi)]))
-        c, d = cut[split], at[split]
+            open_ = open_[(cut[open_] < 0) & ((middle[open_] + step < ahi[open_] - 1) | (middle[open_] - step >= alo[open_]))]
+        split = cut >= 0
+        leaves.append(np.stack([x[~split] for x in (alo, ahi, blo, bhi)]))
+        c = cut[split]
+        d = place[c - 1] + 1
         todo = (np.r_[alo[split], c], np.r_[c, ahi[split]], np.r_[blo[split], d], np.r_[d, bhi[split]])
     out = np.concatenate(leaves, axis=1) if leaves else np.zeros((4, 0), dtype=np.int64)
     return tuple(out[:, np.argsort(out[0], kind="stable")])
