@@ -85,3 +85,45 @@ def test_em_finds_reliable_labelers(spark):
     df = spark.createDataFrame([x[:2] for x in rows], "kind string, votes string")
     post = P.reliabilities(df)["secret"]
     assert sum((post[v] >= 0.5) == y for _, v, y in rows) / len(rows) > 0.95
+
+
+def test_classifier_learns_from_posteriors_and_traits(spark):
+    """Labelers that err often; the span's length tells true ones apart, and
+    the classifier makes use of it where the votes alone cannot."""
+    r = random.Random(3)
+    rows = []
+    for _ in range(6000):
+        y = r.random() < 0.4
+        say = lambda acc: str(int(y if r.random() < acc else not y))
+        rows.append(("secret", say(0.8) + say(0.75) + "-" + say(0.7) + "-", ("5" if r.random() < 0.95 else "3") + "20" if y else ("3" if r.random() < 0.95 else "5") + "20", y))
+    df = spark.createDataFrame([x[:3] for x in rows], "kind string, votes string, traits string")
+    post = P.reliabilities(df)
+    w = P.classifier(df, post)["secret"]
+    got = {(x.votes, x.traits): x.p for x in df.distinct().withColumn("p", P.score(w, post["secret"])).collect()}
+    by_votes = sum((post["secret"][v] >= 0.5) == y for _, v, _, y in rows) / len(rows)
+    by_model = sum((got[v, t] >= 0.5) == y for _, v, t, y in rows) / len(rows)
+    assert by_model > by_votes + 0.02, (by_model, by_votes)
+
+
+def test_added_spans_found_and_left_alone(spark):
+    """Recall and precision of the added kinds on texts whose spans are known."""
+    r = random.Random(11)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    docs, want = [], {"secret": set(), "name": set()}
+    for i in range(400):
+        kind = i % 4
+        value = {0: hexes(r.choice([32, 40])), 1: r.choice(P.GIVEN[:60]) + " " + r.choice(["Miller", "Lopez", "Schmidt"]), 2: r.choice(["The", "This", "Your"]), 3: "x" * r.randrange(20, 24)}[kind]
+        lead = {0: 'my token = "', 1: "contact Dr. ", 2: "Dr. ", 3: "key = "}[kind]
+        text = f"word {i} " + lead + value + (" wrote" if kind in (1, 2) else '" end')
+        at = text.index(value, len(f"word {i} " + lead) - 1)
+        if kind < 2:
+            want["secret" if kind == 0 else "name"].add(f"{i}:{at}:{at + len(value)}")
+        docs.append((i, text))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {"secret": set(), "name": set()}
+    for x in P.spans(df).collect():
+        for s in x.spans:
+            if s["kind"] in got:
+                got[s["kind"]].add(f"{x.doc_id}:{s['start']}:{s['end']}")
+    for k in got:
+        assert len(got[k] & want[k]) >= 0.95 * len(want[k]) and len(got[k] & want[k]) >= 0.95 * len(got[k]), (k, len(got[k]), len(want[k]))

@@ -1,4 +1,4 @@
-"""Personal data by weak supervision: labelers, their reliabilities, one rule.
+"""Personal data by weak supervision: labelers, their reliabilities, a classifier.
 
 Candidates are spans of four base kinds (email, ip, card, phone; regular
 expressions over the whole text, leftmost and without overlap) and of two added
@@ -14,9 +14,12 @@ address).  On each candidate labelers vote 1, 0 or not at all:
 
 Expectation-maximisation over the counts of vote patterns (a table bounded by
 kinds times patterns, whatever the corpus) estimates per kind the share of true
-spans and every labeler's rates under conditional independence.  The last
-posterior of each pattern is the final rule; no separate classifier is trained
-on it.  It accepts added spans at ``THRESHOLD`` or more.  Base spans that pass their check always stay.
+spans and every labeler's rates under conditional independence.  Its posteriors
+are the soft labels on which a logistic classifier per kind is trained, over
+features that no labeler votes on: the span's length and its shares of digits and
+capital letters, in a few steps each.  Its training table, the counts of votes and
+features, is bounded as well.  Added spans whose probability, from votes and
+classifier together, is ``THRESHOLD`` or more are accepted.  Base spans that pass their check always stay.
 
 Only DataFrame functions are used.  Defined results: a null text is an empty
 one; a span's offsets are code points, the end exclusive; rows are handled one
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +43,8 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "name")
 CONTEXT = 24                                  # code points before a span that labelers see
 THRESHOLD, ROUNDS = 0.5, 25
+STEPS = (10, 5, 5)                            # steps of a span's length (in powers of two) and of its shares of digits and capitals
+RIDGE = 1.0
 
 # Each pattern starts a run or where the last match ended, and takes whole runs,
 # so that no text makes it try a run again from every place.
@@ -55,7 +61,20 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9]
          "secret": r"(?i)(?:token|secret|key|passw)", "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau)\b"}
 # fixed word lists of the labelers
 INTRODUCES = {"email": r"(?i)(?:mail|contact|write|reach)", "ip": r"(?i)(?:\bip\b|address|host|server|login)", "card": r"(?i)(?:card|visa|credit|payment|pay)",
-              "phone": r"(?i)(?:phone|call|tel|mobile|fax|contact)", "secret": r"(?i)(?:token|secret|password|api)", "name": r"(?i)(?:dear|contact|signed|by)"}
+              "phone": r"(?i)(?:phone|call|tel|mobile|fax|contact)", "secret": r"(?i)(?:token|secret|passw|api|key)", "name": r"(?i)(?:dear|contact|signed|by)"}
+# given names, a fixed list
+GIVEN = ("Adam Ahmed Alan Albert Alexander Alice Amelie Amir Ana Andrea Andreas Andrew Angela Anita Anna Anne Anthony Antonio Arthur Barbara Ben Bernd Betty Brian "
+         "Carla Carlos Carmen Carol Caroline Charles Charlotte Chen Chloe Christian Christine Claire Claudia Clara Daniel David Deborah Diana Diego Dieter Donald "
+         "Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Fatima Felix Fernando Francisco Frank Franz Gabriel George Gerhard Giulia Grace Hannah Hans Heinz Helen "
+         "Helga Henry Ingrid Isabel Ivan Jack Jacques James Jan Jane Javier Jean Jennifer Jessica Joan Johann John Jonas Jorge Jose Joseph Juan Julia Julie Karen Karl "
+         "Katharina Kevin Klaus Laura Lena Leo Linda Lisa Louis Lucas Lucia Luis Lukas Luke Manuel Maria Marie Mark Markus Martin Mary Matthew Max Mehmet Michael "
+         "Miguel Mohammed Monika Nancy Natalie Nicole Nina Nora Olga Oliver Olivia Omar Patricia Patrick Paul Pedro Peter Petra Philip Pierre Rachel Rebecca Renate "
+         "Richard Robert Rosa Ruth Sabine Samuel Sandra Sara Sarah Sofia Sophie Stefan Stephen Steven Susan Sven Teresa Thomas Tim Tom Uwe Vera Victor Walter Wei "
+         "William Wolfgang Yusuf").split()
+# words that begin sentences, not names; a fixed list
+NO_NAME = r"^(?:The|This|That|These|Those|And|But|When|With|From|Your|Our|Der|Die|Das|Les|Une|Los|Las)\b"
+# generic top-level domains, a fixed list; countries have two letters
+GENERIC = "com org net edu gov mil int info biz name pro aero coop museum io dev app online site shop blog cloud email".split()
 DENIES = r"(?i)(?:version|section|isbn|chapter|page|figure|example)[^\n]{0,8}$"
 
 
@@ -114,21 +133,33 @@ def votes(c: DataFrame) -> DataFrame:
         return out
 
     own = F.when(kind.isin(*BASE), F.when(F.col("base"), "1").otherwise("0")).otherwise(
-        sign(span.rlike("[0-9]") & span.rlike("[a-zA-Z]") | ((kind == "name") & span.rlike(r"\x20")), span.rlike("^(.)\\1+$")))
+        sign(span.rlike("[0-9]") & span.rlike("[a-zA-Z]") | ((kind == "name") & span.rlike(r"\x20")),
+             span.rlike("^(.)\\1+$") | ((kind == "name") & span.rlike(NO_NAME))))
     gazetteer = by_kind({
-        "email": sign(span.rlike(r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$"), span.rlike(r"\.[0-9-]+$")),
+        "email": sign(span.rlike(r"(?i)\.(?:[a-z]{2}|" + "|".join(GENERIC) + ")$"), span.rlike(r"\.[0-9-]+$")),
         "ip": sign(span.rlike(r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\."), span.rlike(r"^(?:0|127|255)\.")),
         "card": sign(span.rlike(r"^(?:4|5[1-5]|3[47]|6)"), span.rlike(r"^0")),
         "phone": sign(span.rlike(r"^\+(?:1|33|34|44|49)\b|^\+1"), span.rlike(r"^\+0")),
-        "secret": sign(span.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), span.rlike(r"^[A-Za-z]+$")),
+        "secret": sign(span.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z-]{20,})$"), span.rlike(r"^[A-Za-z]+$")),
+        "name": sign(span.rlike("^(?:" + "|".join(GIVEN) + r")\b"), span.rlike(NO_NAME)),
     }, F.lit("-"))
     context = F.when(before.rlike(DENIES), "0").when(by_kind({k: before.rlike(v) for k, v in INTRODUCES.items()}, F.lit(False)), "1").otherwise("-")
     shape = by_kind({
         "email": sign(F.length(span) <= 80, F.length(span) > 254), "ip": sign(F.length(span).between(7, 15), F.length(span) > 15),
         "card": sign(F.length(span) >= 13, F.length(span) < 12), "phone": sign(F.length(span).between(10, 22), F.length(span) > 30),
-        "secret": sign(F.length(span) >= 24, F.length(span) < 22), "name": sign(F.length(span) >= 6, F.length(span) < 3)}, F.lit("-"))
+        "secret": sign(F.length(span) >= 24, F.length(span) < 22), "name": sign(F.length(span) >= 6, F.length(span) < 5)}, F.lit("-"))
     alone = sign(before.rlike(r"(?:^|[\s\"'(:=])$") | (before == ""), before.rlike(r"[A-Za-z0-9.]$"))
-    return c.withColumn("votes", F.concat(own, gazetteer, context, shape, alone))
+    return c.withColumn("votes", F.concat(own, gazetteer, context, shape, alone)).withColumn("traits", traits(span))
+
+
+def traits(span) -> F.Column:
+    """The span's features as one digit each."""
+    n = F.greatest(F.length(span), F.lit(1))
+
+    def share(pattern):
+        return F.floor((n - F.length(F.regexp_replace(span, pattern, ""))) * (STEPS[1] - 1) / n)
+
+    return F.concat(*[x.cast("int").cast("string") for x in (F.least(F.floor(F.log2(n)), F.lit(STEPS[0] - 1)), share("[0-9]"), share(r"\p{Lu}"))])
 
 
 def reliabilities(voted: DataFrame) -> dict[str, dict[str, float]]:
@@ -163,14 +194,61 @@ def reliabilities(voted: DataFrame) -> dict[str, dict[str, float]]:
     return out
 
 
+def _design(marks: str) -> np.ndarray:
+    """One row: 1, and one column a step of each feature."""
+    return np.array([1.0, *(float(int(mark) == k) for n, mark in zip(STEPS, marks) for k in range(n))])
+
+
+def classifier(voted: DataFrame, posterior: dict[str, dict[str, float]]) -> dict[str, tuple[np.ndarray, float]]:
+    """Per kind, weights of a logistic model of the span's features, and the
+    logit of the share of true spans.  Each row of the table of counts is a
+    true span with its posterior's weight and a false one with the rest; Newton
+    steps with a ridge penalty."""
+    rows = voted.groupBy("kind", "votes", "traits").agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for kind, post in posterior.items():
+        table = sorted((r.votes, r.traits, r.n) for r in rows if r.kind == kind)
+        x = np.array([_design(t) for _, t, _ in table])
+        n, y = np.array([float(t[2]) for t in table]), np.array([post[t[0]] for t in table])
+        w, keep = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, RIDGE)]
+        for _ in range(ROUNDS):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope = x.T @ (n * (y - p)) - keep * w
+            step = np.linalg.solve((x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(keep), slope)
+            w = w + np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-9:
+                break
+        out[kind] = (w, float(_logit(n @ y / n.sum())))
+    return out
+
+
+def _logit(p):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def score(model: tuple[np.ndarray, float], posterior: dict[str, float]) -> F.Column:
+    """The probability of a row with ``votes`` and ``traits``: the evidence of the
+    votes (their posterior) and of the features (the classifier), taken as
+    independent given the truth, so the share of true spans counts once."""
+    w, share = model
+    votes = F.create_map(*[F.lit(x) for v, p in posterior.items() for x in (v, float(_logit(p)))])      # at most 243 patterns
+    z, at = F.coalesce(votes[F.col("votes")], F.lit(share)) + F.lit(float(w[0]) - share), 1
+    for j, n in enumerate(STEPS):
+        z = z + F.element_at(F.array(*[F.lit(float(v)) for v in w[at:at + n]]), F.substr(F.col("traits"), F.lit(j + 1), F.lit(1)).cast("int") + 1)
+        at += n
+    return 1 / (1 + F.exp(-z))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, kind, start, end, base)`` of the accepted spans."""
     voted = settle(votes(candidates(docs)).drop("span", "before"))
-    model = reliabilities(voted)
-    accept = [(k, v) for k, by in model.items() if k in ADDED for v, p in by.items() if p >= THRESHOLD]
+    posterior = reliabilities(voted)
+    models = classifier(voted, posterior)
     ok = F.col("base")
     for k in ADDED:
-        ok = ok | ((F.col("kind") == k) & F.col("votes").isin([v for a, v in accept if a == k]))
+        if k in models:
+            ok = ok | ((F.col("kind") == k) & (score(models[k], posterior[k]) >= THRESHOLD))
     return voted.filter(ok).select("doc_id", "th", "kind", "start", "end", "base")
 
 
