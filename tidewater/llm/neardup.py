@@ -35,7 +35,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewater.llm import wordhash as H
@@ -188,7 +188,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def star_pairs(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(band, hub, node)`` for the classes other than the hub of all buckets
     of two or more, and the distinct pairs ``(hub, node)``."""
-    hubs = settle(banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "hub")
     members = settle(banded.join(hubs, "band").filter("node <> hub").select("band", "hub", "node"))
     return members, members.select("hub", "node").distinct()
 
@@ -221,34 +221,59 @@ def verify_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int,
     return settle(full.mapInArrow(confirm, "u bigint, v bigint"))
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars ``(node, smallest node)`` that join what the pairs join."""
+    names, flat = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = flat[:len(u)], flat[len(u):]
+    root = np.arange(len(names))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    some = root != np.arange(len(names))
+    return names[some], names[root[some]]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of a link; the root is the smallest
-    node.  Alternating large-star and small-star steps until the edges stay.
+    node.  Every task first joins what its own links join; then alternating
+    large-star and small-star steps until neither changes an edge, which the
+    steps themselves count.
 
-    The edges alternate between two tables in the shared folder: read back,
-    they have true sizes, where a chain of checkpoints would multiply the
-    planner's estimates with every join."""
+    Each step writes its edges to the shared folder: read back, they have true
+    sizes, where a chain of checkpoints would multiply the planner's estimates
+    with every join."""
     spark = links.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    edges = put(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges1")
-    before, turn = None, 0
+    def joined(batches):
+        for b in batches:
+            u, v = forest(*(np.asarray(b.column(c)) for c in ("u", "v")))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    edges, turn = put(links.filter("u <> v").select("u", "v").mapInArrow(joined, "u bigint, v bigint").distinct(), "begin"), 0
     while True:
+        moved, kept = Observation(), Observation()
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low1")
-        large = put(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        low = put(large.groupBy("u").agg(F.min("v").alias("m")), "low2")
-        edges = put(large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                    .union(low.select("u", F.col("m").alias("v"))).distinct(), f"edges{turn}")
-        turn = 1 - turn
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u").observe(moved, F.count_if(F.col("m") != F.col("u")).alias("n"))
+        large = put(large.select(F.col("v").alias("u"), F.col("m").alias("v")), f"large{turn}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").observe(kept, F.count_if(F.col("v") != F.col("m")).alias("n"))
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = put(small.select("e.*").filter("u <> v").distinct(), f"edges{turn}")
+        if not edges.isEmpty() and moved.get["n"] + kept.get["n"]:
+            turn += 1
+            continue
+        break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

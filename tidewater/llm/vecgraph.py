@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import settle
-from tidewater.llm.neardup import components
+from tidewater.llm.neardup import components, forest
 
 CELL, SHARD, OVERLAP = 256, 1024, 3
 NEAR, DEGREE, ALPHA = 48, 16, 1.2
@@ -233,7 +233,7 @@ def visit(graphs: DataFrame, visits: DataFrame, low: float, ef: int, dtype) -> D
                 c, j = np.unique(mine[rows, cols], return_index=True)
                 more += zip([int(ids[k])] * len(c), c.tolist(), node[at[rows[j]]].tolist())
         out = [np.array([(0, u, 0, w) for u, w in zip(ids.tolist(), links.tolist()) if w], dtype=np.int64).reshape(-1, 4),
-               np.array([(1, *x) for x in more], dtype=np.int64).reshape(-1, 4), forest(ids[r], node[i])]
+               np.array([(1, *x) for x in more], dtype=np.int64).reshape(-1, 4), np.array([(2, *x, 0) for x in zip(*forest(ids[r], node[i]))], dtype=np.int64).reshape(-1, 4)]
         return pd.DataFrame(np.concatenate(out), columns=["kind", "u", "v", "n"])
 
     return settle(together(visits, graphs, "shard", 4 * CHUNK).applyInPandas(run, "kind bigint, u bigint, v bigint, n bigint"))
@@ -244,25 +244,6 @@ def _even(lists) -> list[list[int]]:
     return [[*c, *[-1] * (most - len(c))] for c in lists]
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Rows ``(2, node, root, 0)`` that join what the pairs join."""
-    if not len(u):
-        return np.zeros((0, 4), dtype=np.int64)
-    names, flat = np.unique(np.r_[u, v], return_inverse=True)
-    a, b = flat[:len(u)], flat[len(u):]
-    root = np.arange(len(names))
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    some = root != np.arange(len(names))
-    return np.c_[np.full(some.sum(), 2), names[some], names[root[some]], np.zeros(some.sum(), dtype=np.int64)]
-
-
 def audit(classes: DataFrame, found: DataFrame, low: float, dtype, count: int = AUDIT) -> tuple[int, int]:
     """``(links, found links)`` of the audited classes, by comparing each with
     all classes of its group."""
