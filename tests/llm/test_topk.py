@@ -39,3 +39,19 @@ def test_odd_inputs(spark):
     check(spark, rows)
     check(spark, [])
     check(spark, [(3, [1.0])])
+
+
+def test_share_of_products_on_clustered_vectors(spark, monkeypatch):
+    """Vectors in tight clusters: most annuli are never visited, and a query
+    whose clusters lie near still gets the exact result."""
+    monkeypatch.setattr(T, "FIRST", 2)
+    monkeypatch.setattr(T, "GROWTH", 3)
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(20, 16)) * 4
+    rows = [(i, (centers[i % 20] + 0.05 * r.normal(size=16)).astype(np.float32).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    seen = {}
+    got = T.search(df, F.col("vec_id") % 10 == 0, 5, report=seen)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 5, 10)
+    assert seen["all"] == 120 * 1200 and seen["products"] < 0.4 * seen["all"] and seen["rounds"] >= 2
+    assert T.search(df, F.lit(False), 5).collect() == []

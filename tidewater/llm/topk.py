@@ -4,17 +4,20 @@ Components become ``floor(SCALE * x)``.  With M the largest norm, a vector x is
 extended to (x, sqrt(M^2 - |x|^2)) and a query q to (q, 0); then
 ``dist^2 = |q|^2 + M^2 - 2 <q, x>``, so the highest products are the nearest
 neighbours.  Every vector is keyed by its nearest pivot and the distance to it;
-each pivot's vectors form annuli of ``WIDTH`` times M, and an annulus of many
-vectors is cut into blocks by a hash, so that no key is large.
+each pivot's vectors form annuli of ``WIDTH`` times M, sorted by distance, and an
+annulus of many vectors is cut into blocks by a hash, so that no key is large.
 
-Queries go in chunks of a home pivot.  A first scan of one block gives each a
-k-th score to beat.  Then the annuli are expanded in the order of the
-triangle inequality's bound: a block is visited by a chunk only if
+Queries go in chunks of a home pivot.  The triangle inequality bounds the
+distance from a query to any vector of an annulus:
 
-    LB = max(0, d(q, pivot) - outer, inner - d(q, pivot)),   (|q|^2 + M^2 - LB^2) / 2 >= k-th score
+    LB = max(0, d(q, pivot) - outer, inner - d(q, pivot)),   score <= (|q|^2 + M^2 - LB^2) / 2
 
-for some query of it.  So the result is exact whatever the pivots, which come from a sample of ``SAMPLE``
-vectors of the smallest hashes.
+A chunk's annuli are expanded in the order of rising bounds, in rounds: the
+``FIRST`` nearest, then ``GROWTH`` times as many, and so on.  After each round every
+query's k-th score is the one to beat.  A query takes no part in an annulus whose
+bound cannot reach it, and a chunk leaves when none of its queries can win
+in any annulus left.  So the result is exact whatever the pivots, which come
+from a sample of ``SAMPLE`` vectors of the smallest hashes.
 
 Defined results: vectors that are null, empty, without id, or hold a null or a
 non-finite component take no part; rows of equal id are different vectors;
@@ -35,6 +38,7 @@ from tidewater.llm.common import settle
 
 SCALE, PIVOTS, SAMPLE, WIDTH = 64, 24, 2048, 1 / 8
 BLOCK, CHUNK = 4096, 512
+FIRST, GROWTH = 4, 8
 EXACT = float(2 ** 53)
 
 
@@ -89,8 +93,10 @@ def distances(x: np.ndarray, last: np.ndarray, pivots: np.ndarray) -> np.ndarray
     return np.sqrt(np.maximum(0, (y * y).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * y @ pivots.T))
 
 
-def index(base: DataFrame, pivots: dict[int, np.ndarray], m2: float) -> DataFrame:
-    """``(rid, vec_id, vec, norm2, pivot, dist, ring, block)``."""
+def index(base: DataFrame, pivots: dict[int, np.ndarray], m2: float) -> tuple[DataFrame, pd.DataFrame]:
+    """``(rid, vec_id, dim, vec, norm2, pivot, ring, block)`` of every vector, and
+    the annuli ``(pivot, ring, dim, inner, outer, n, parts)``: at most ``PIVOTS``
+    times 2 / ``WIDTH`` for each vector length."""
     width = max(np.sqrt(m2) * WIDTH, 1e-9)
 
     def run(batches):
@@ -105,32 +111,74 @@ def index(base: DataFrame, pivots: dict[int, np.ndarray], m2: float) -> DataFram
                 yield pa.RecordBatch.from_pandas(out[["rid", "vec_id", "dim", "vec", "norm2", "pivot", "dist", "ring"]], preserve_index=False)
 
     keyed = settle(base.mapInArrow(run, "rid bigint, vec_id bigint, dim int, vec binary, norm2 double, pivot bigint, dist double, ring bigint"))
-    n = settle(keyed.groupBy("pivot", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")))
-    return settle(keyed.join(F.broadcast(n) if n.count() < 100_000 else n, ["pivot", "ring"])
-                  .withColumn("block", F.xxhash64("pivot", "ring", F.pmod(F.xxhash64("rid"), F.col("parts")))).drop("parts"))
+    rings = keyed.groupBy("pivot", "ring", "dim").agg(F.min("dist").alias("inner"), F.max("dist").alias("outer"), F.count(F.lit(1)).alias("n"))
+    annuli = rings.toPandas()
+    annuli["parts"] = -(-annuli["n"] // BLOCK)
+    parts = keyed.sparkSession.createDataFrame(annuli[["pivot", "ring", "parts"]], "pivot bigint, ring bigint, parts bigint")
+    return settle(keyed.join(F.broadcast(parts), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts"))).drop("parts", "dist")), annuli
 
 
-def visit(pairs: DataFrame, idx: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(qid, query_id, vec_id, score)``: the best of each pair ``(chunk, block)``."""
-    p = pairs.select("chunk", "block", F.xxhash64("chunk", "block").alias("pair"))
-    cols = ("pair", "side", "rid", "vec_id", "vec", "beat")
-    left = idx.join(p, "block").withColumn("side", F.lit(0)).withColumn("beat", F.lit(None).cast("double")).select(*cols)
-    right = queries.join(p, "chunk").withColumn("side", F.lit(1)).select(*cols)
+def bounds(d: np.ndarray, annuli: pd.DataFrame) -> np.ndarray:
+    """The least distance from each query (rows of ``d``, its distances to the
+    pivots) to each annulus (columns)."""
+    at = d[:, annuli["pivot"].to_numpy() & 0xFFFF]
+    return np.maximum(0, np.maximum(at - annuli["outer"].to_numpy(), annuli["inner"].to_numpy() - at))
+
+
+def plan(queries: DataFrame, annuli: pd.DataFrame, pivots: dict[int, np.ndarray], m2: float, done: int, upto: int) -> DataFrame:
+    """``(chunk, pivot, ring, part, inner, outer, wins, n, last)``: the blocks of the annuli
+    from the ``done``-th to before the ``upto``-th nearest that a query of the chunk
+    may still win in; ``wins`` counts such queries.  A row of part -1 gives in
+    ``last`` the annuli farther out in which some may."""
+    slack = 1e-6 * (m2 + 1)                    # rounding of distances only lets more in
+
+    def run(t):
+        dim = int(t["dim"].iloc[0])
+        a = annuli[annuli["dim"] == dim]
+        low = bounds(distances(_rows(t["vec"]), np.zeros(len(t)), pivots.get(dim, np.zeros((1, dim + 1)))), a)
+        best = (t["norm2"].to_numpy()[:, None] + m2 - low * low) / 2 + slack
+        wins = (best >= t["beat"].fillna(-np.inf).to_numpy(dtype=np.float64)[:, None]).sum(0)
+        a = a.assign(wins=wins).iloc[np.argsort(low.min(0), kind="stable")]
+        rest = int((a["wins"].iloc[upto:] > 0).sum())
+        a = a.iloc[done:upto]
+        a = a[a["wins"] > 0]
+        a = a.loc[a.index.repeat(a["parts"])]
+        out = a.assign(chunk=t["chunk"].iloc[0], part=a.groupby(["pivot", "ring"]).cumcount(), last=0)
+        out = pd.concat([out, pd.DataFrame({"chunk": [t["chunk"].iloc[0]], "part": [-1], "last": [rest]})]).fillna(0)   # one row says what is left
+        return out[["chunk", "pivot", "ring", "part", "inner", "outer", "wins", "n", "parts", "last"]]
+
+    return settle(queries.select("chunk", "dim", "vec", "norm2", "beat").groupBy("chunk").applyInPandas(
+        run, "chunk bigint, pivot bigint, ring bigint, part bigint, inner double, outer double, wins bigint, n bigint, parts bigint, last bigint"))
+
+
+def visit(blocks: DataFrame, idx: DataFrame, queries: DataFrame, pivots: dict[int, np.ndarray], m2: float, k: int) -> DataFrame:
+    """``(qid, query_id, vec_id, score)``: the best of each query in each planned block."""
+    slack = 1e-6 * (m2 + 1)
+    p = blocks.filter("part >= 0").select("chunk", "pivot", "ring", "part", "inner", "outer", F.xxhash64("chunk", "pivot", "ring", "part").alias("pair"))
+    none = F.lit(None).cast("double")
+    left = idx.join(p.select("pivot", "ring", "part", "pair"), ["pivot", "ring", "part"]).select(
+        "pair", F.lit(0).alias("side"), "rid", "vec_id", "vec", "pivot", none.alias("norm2"), none.alias("inner"), none.alias("outer"), none.alias("beat"))
+    right = queries.drop("pivot").join(p.drop("ring", "part"), "chunk").select("pair", F.lit(1).alias("side"), "rid", "vec_id", "vec", "pivot", "norm2", "inner", "outer", "beat")
 
     def scan(t):
         v, q = t[t["side"] == 0], t[t["side"] == 1]
+        if not len(v):
+            return pd.DataFrame({"qid": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         x, y = _rows(v["vec"]), _rows(q["vec"])
+        pivot, dim = int(q["pivot"].iloc[0]), y.shape[1]
+        low = bounds(distances(y, np.zeros(len(y)), pivots.get(dim, np.zeros((1, dim + 1)))),
+                     pd.DataFrame({"pivot": [pivot], "inner": [q["inner"].iloc[0]], "outer": [q["outer"].iloc[0]]}))[:, 0]
+        beats = q["beat"].fillna(-np.inf).to_numpy(dtype=np.float64)
+        may = (q["norm2"].to_numpy() + m2 - low * low) / 2 + slack >= beats
+        q, y, beats = q[may], y[may], beats[may]
         top = np.abs(x).max(initial=0) * np.abs(y).max(initial=0) * x.shape[1]
         s = y @ x.T if top < EXACT else (y.astype(object) @ x.T.astype(object))
         ids, rid = v["vec_id"].to_numpy(), v["rid"].to_numpy()
         order = np.argsort(ids, kind="stable")
         out = []
-        for i, (qrid, qid, beat) in enumerate(zip(q["rid"].to_numpy(), q["vec_id"].to_numpy(), q["beat"].to_numpy())):
+        for i, (qrid, qid, beat) in enumerate(zip(q["rid"].to_numpy(), q["vec_id"].to_numpy(), beats)):
             row = s[i][order]
-            ok = rid[order] != qrid
-            if beat == beat:
-                ok &= np.asarray(row >= beat, dtype=bool)
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((rid[order] != qrid) & np.asarray(row >= beat, dtype=bool))
             if len(at) > k:
                 # the k highest, ties in the order of ids
                 cut = np.sort(row[at])[-k]
@@ -142,42 +190,33 @@ def visit(pairs: DataFrame, idx: DataFrame, queries: DataFrame, k: int) -> DataF
     return left.union(right).groupBy("pair").applyInPandas(scan, "qid bigint, query_id bigint, vec_id bigint, score bigint")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE,
+           report: dict | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every vector for which
-    ``is_query`` (a condition on ``vec_id``) holds, its k highest products."""
+    ``is_query`` (a condition on ``vec_id``) holds, its k highest products.
+    ``report`` receives the number of rounds, of products computed, and of all."""
     base = prepare(vectors, id_col, vec_col, scale)
     m2 = base.agg(F.max("norm2")).first()[0] or 0.0
     pivots = choose_pivots(base, m2)
-    idx = index(base, pivots, m2)
-    blocks = settle(idx.groupBy("block", "pivot", "dim").agg(F.min("dist").alias("inner"), F.max("dist").alias("outer"), F.count(F.lit(1)).alias("n")))
-
+    idx, annuli = index(base, pivots, m2)
     q = idx.filter(is_query).select("rid", "vec_id", "dim", "vec", "norm2", "pivot")
     size = q.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
-    q = settle(q.join(size, "pivot").withColumn("chunk", F.xxhash64("pivot", F.pmod(F.xxhash64("rid"), F.col("parts")))).drop("parts"))
-    # first visit: the largest block of the home pivot
-    home = blocks.groupBy("pivot").agg(F.max_by("block", F.struct("n", "block")).alias("block"))
-    first = q.select("chunk", "pivot").distinct().join(home, "pivot").select("chunk", "block")
-    tops = visit(first, idx, q.withColumn("beat", F.lit(None).cast("double")), k)
-    beat = settle(tops.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("beat")))
-    q = settle(q.join(beat.withColumnRenamed("qid", "rid"), "rid", "left"))
-
-    # how near each chunk comes to each pivot, and what it has to beat
-    def reach(batches):
-        for b in batches:
-            t = b.to_pandas()
-            for dim, g in t.groupby("dim", sort=False):
-                d = distances(_rows(g["vec"]), np.zeros(len(g)), pivots.get(dim, np.zeros((1, dim + 1))))
-                n = d.shape[1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(g["chunk"].to_numpy(), n)), pa.array(np.tile(np.arange(n) + (np.int64(dim) << 16), len(g))), pa.array(d.ravel()),
-                    pa.array(np.repeat(g["norm2"].to_numpy(), n)), pa.array(np.repeat(g["beat"].fillna(-np.inf).to_numpy(dtype=np.float64), n))],
-                    ["chunk", "pivot", "d", "norm2", "beat"])
-
-    spans = (q.select("chunk", "dim", "vec", "norm2", "beat").mapInArrow(reach, "chunk bigint, pivot bigint, d double, norm2 double, beat double")
-             .groupBy("chunk", "pivot").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min(F.col("beat") - F.col("norm2") / 2).alias("need")))
-    bound = F.greatest(F.lit(0.0), F.col("lo") - F.col("outer"), F.col("inner") - F.col("hi"))
-    slack = 1e-6 * (m2 + 1)                    # rounding of distances only lets more in
-    pairs = settle(blocks.join(spans, "pivot").filter((F.lit(m2) - bound * bound) / 2 + slack >= F.col("need")).select("chunk", "block"))
-    best = visit(pairs, idx, q, k)
+    plain = settle(q.join(size, "pivot").withColumn("chunk", F.xxhash64("pivot", F.pmod(F.xxhash64("rid"), F.col("parts")))).drop("parts"))
+    q, best = plain.withColumn("beat", F.lit(None).cast("double")), None
     w = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done, upto, rounds, products = 0, FIRST, 0, 0
+    while True:
+        blocks = plan(q, annuli, pivots, m2, done, upto)
+        ahead = blocks.agg(F.sum(F.when(F.col("part") >= 0, F.col("wins") * F.col("n") / F.col("parts"))), F.max("last")).first()
+        found = visit(blocks, idx, q, pivots, m2, k)
+        best = found if best is None else best.unionByName(found)
+        best = settle(best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank"))
+        rounds, products, done, upto = rounds + 1, products + (ahead[0] or 0), upto, upto * GROWTH
+        if not ahead[1]:
+            break
+        beat = best.groupBy(F.col("qid").alias("rid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("beat"))
+        q = settle(plain.join(beat, "rid", "left"))
+    if report is not None:
+        by = plain.groupBy("dim").count().toPandas().set_index("dim")["count"]
+        report.update(rounds=rounds, products=int(products), all=int(sum(by.get(d, 0) * n for d, n in annuli.groupby("dim")["n"].sum().items())))
+    return best.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "vec_id", "score")
