@@ -65,3 +65,16 @@ def test_cut_takes_out_the_passage(spark):
     got = {r.doc_id: r.text for r in D.cut(d, b).collect()}
     assert got == {1: "Before, it. ! After.", 2: "Clean text.  Stays", 3: ""}
     assert D.report(D.cut(d, b), b).filter("contaminated").count() == 0
+
+
+def test_shuffled_look_up(spark, monkeypatch):
+    """A benchmark beyond the broadcast bound: the same results by the other
+    path, which shuffles no texts with its windows."""
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    test_random_small_alphabet(spark)
+    test_odd_inputs(spark)
+    test_cut_takes_out_the_passage(spark)
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    plan = D.scan(d, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower()

@@ -8,7 +8,8 @@ by comparing the words themselves, and the words that verified hits cover are
 marked.  Only DataFrame functions are used.
 
 The broadcast side is the benchmark's distinct windows.  Its size is measured
-first; beyond ``BROADCAST_BYTES`` the look-up becomes a shuffled join.
+first; beyond ``BROADCAST_BYTES`` the look-up is a shuffled join of window hashes
+alone, and only its few candidates meet their texts again to be verified.
 
 Defined results: a null or empty text has no words and is clean; an item
 without words has no window; repeated items share a window and are each
@@ -74,20 +75,27 @@ def scan(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id",
     anchors = sorted({x for x in (known.short, n if known.long == n else None) if x})
     a = F.when(F.col("k") == n, F.lit(n)).otherwise(F.lit(known.short))
     grams = grams.select(F.col("k"), "gram", "items", a.alias("a"), F.xxhash64(F.slice("gram", F.lit(1), a)).alias("h"))
-    if (known.b or 0) <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
+    small = (known.b or 0) <= BROADCAST_BYTES
     d = id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("ws"))
     ws = F.col("ws")
     rows = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("a"), F.lit(0).cast("bigint").alias("h"))).cast(SCAN),
                     *[F.coalesce(_placed(windows(ws, k), k), F.array().cast(SCAN)) for k in anchors])
     # explode() would have its input's size tested first, in a filter that
     # cuts the text anew for every window
-    w = (d.select("doc_id", "key", "ws", rows.alias("rows")).select("doc_id", "key", "ws", F.explode_outer("rows").alias("w"))
-         .select("doc_id", "key", "ws", "w.at", "w.a", "w.h"))
-    found = w.join(grams, ["a", "h"], "left").filter(
-        (F.col("at") == 0) | (F.slice("ws", F.greatest("at", F.lit(1)), F.coalesce("k", F.lit(1))) == F.col("gram")))
-    return found.select("doc_id", "key", F.when(F.col("at") == 0, F.size("ws").cast("bigint")).alias("n_words"),
-                        "at", "k", F.when(F.col("at") > 0, F.col("items")).alias("items"))
+    carried = ["ws"] if small else [F.size("ws").cast("bigint").alias("n_words")]
+    w = (d.select("doc_id", "key", *carried, rows.alias("rows")).select("doc_id", "key", carried[0] if small else "n_words", F.explode_outer("rows").alias("w"))
+         .select("doc_id", "key", "ws" if small else "n_words", "w.at", "w.a", "w.h"))
+    hit = F.slice("ws", F.greatest("at", F.lit(1)), F.coalesce("k", F.lit(1))) == F.col("gram")
+    if small:
+        found = w.join(F.broadcast(grams), ["a", "h"], "left").filter((F.col("at") == 0) | hit)
+        return found.select("doc_id", "key", F.when(F.col("at") == 0, F.size("ws").cast("bigint")).alias("n_words"),
+                            "at", "k", F.when(F.col("at") > 0, F.col("items")).alias("items"))
+    heads = w.filter("at = 0").select("doc_id", "key", "n_words", "at", F.lit(None).cast("int").alias("k"), F.lit(None).cast("array<string>").alias("items"))
+    likely = w.filter("at > 0").select("doc_id", "key", "at", "a", "h").distinct().join(grams, ["a", "h"]).select(
+        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "at", "k", "gram", "items")
+    texts = d.dropDuplicates(["doc_id", "key"])         # equal rows have equal hits
+    found = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).filter(hit)
+    return heads.unionByName(found.select("doc_id", "key", F.lit(None).cast("bigint").alias("n_words"), "at", "k", "items"))
 
 
 def report(docs: DataFrame, bench: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
