@@ -93,3 +93,25 @@ def test_odd_inputs(spark):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in X.extract(df).collect()), key=str)
     assert got == sorted([(1, "u", 0), (1, "u", 0), (None, None, 1), (3, "v", 4), (4, "w", 599999)], key=str)
     assert X.extract(df.limit(0)).collect() == []
+
+
+def test_pages_without_article_or_main():
+    """The driver's pages with their article elements renamed: the densities
+    and the threshold on the body path alone give nearly always the same text."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [h for h in pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist() if h]
+    for tag in ("div", "section"):
+        renamed = [re.sub(r"<(/?)(?:article|main)(?=[\s>])", rf"<\1{tag}", h) for h in pages]
+        assert sum(X.main_text(a) == X.main_text(b) for a, b in zip(pages, renamed)) >= 0.99 * len(pages)
+
+
+def test_threshold_keeps_dense_siblings_and_leaves_sparse_ones():
+    dense = "Words of a long paragraph that go on and on, as those of an article do. " * 6
+    links = "<ul>" + "".join(f'<li><a href="/{i}">go {i}</a></li>' for i in range(12)) + "</ul>"
+    page = f"<html><body><div><div><p>{dense}A</p><p>{dense}B</p><p>{dense}C</p></div><div>{links}</div><blockquote>{dense}D</blockquote></div></body></html>"
+    text = X.main_text(page)
+    assert all(f"{x}" in text.replace(" ", "")[-4000:] for x in "ABCD") and "go 3" not in text
+    assert X.main_text("<p>short</p>") == "short" and X.main_text("<b>only inline</b>") == "only inline"

@@ -10,11 +10,12 @@ in links the composite density is
 
     C / T * log base ln(C * LC / (C - LC) + LCb * C / Cb + e) of (C * T / (LC * LT))
 
-with b for the body and zero divisors as one.  The node whose children's
-densities sum to the maximum is the main text; nodes on its path to the body
-give a threshold, the least density on that path, and the node is widened to an
-enclosing ``article`` or ``main`` and to every ancestor whose other children
-all reach the threshold.
+with b for the body and zero divisors as one.  The block whose child blocks'
+densities sum to the maximum holds the main text (inline elements are part of
+their block's text, not candidates).  The blocks on its path to the body give a
+threshold, the least density on that path.  An ``article`` or ``main`` that
+encloses the block is the main text; without one it is the block and, of the
+other children of the blocks on its path, those that reach the threshold.
 
 Defined results: a null, empty or tagless page gives its plain text (or an
 empty one); unclosed elements end with their parent; character references are
@@ -214,31 +215,28 @@ class Page:
         return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt))) / math.log(max(base, 1.0001)) if base > 1 else c / t * math.log(
             max(1.0, c / max(1, lc) * t / max(1, lt)) + 1)
 
-    def main(self) -> int:
-        """The node that holds the main text."""
+    def main(self) -> set[int]:
+        """The nodes whose subtrees hold the main text."""
         dens = [self.density(i) for i in range(len(self.tags))]
-        sums = [sum(dens[k] for k in kids) for kids in self.kids]
+        block = [t not in INLINE for t in self.tags]
+        sums = [sum(dens[k] for k in kids if block[k]) if block[i] else 0.0 for i, kids in enumerate(self.kids)]
         best = max(range(len(sums)), key=lambda i: (sums[i], -i))
         path = [best]
         while path[-1] > 0:
             path.append(self.parent[path[-1]])
+        for i in path:
+            if self.tags[i] in ("article", "main"):
+                return {i}
         least = min(dens[i] for i in path)
-        holders = [k for k, i in enumerate(path) if self.tags[i] in ("article", "main")]
-        at = holders[0] if holders else 0
-        while not holders and at + 1 < len(path):
-            others = [k for k in self.kids[path[at + 1]] if k != path[at] and self.chars[k]]
-            if any(dens[k] < least for k in others):
-                break
-            at += 1
-        return path[at]
+        return {best, *(k for i in path[1:] for k in self.kids[i] if k not in path and self.chars[k] and dens[k] >= least)}
 
 
 def main_text(source: str) -> str:
     page = Page(source)
-    top = page.main()
-    inside = [i == top for i in range(len(page.tags))]
-    for i in range(top + 1, len(inside)):
-        inside[i] = inside[page.parent[i]]
+    tops = page.main()
+    inside = [i in tops for i in range(len(page.tags))]
+    for i in range(1, len(inside)):
+        inside[i] = inside[i] or inside[page.parent[i]]
     return " ".join("".join(t or " " for i, t in page.order if inside[i]).split())
 
 
