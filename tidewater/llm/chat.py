@@ -125,7 +125,8 @@ def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Turns are sorted into ranges, so that a conversation may lie in many tasks;
     places are those within a range plus the counts of the ranges before."""
     keys = ("conv_id", "turn", "role", "text")
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
+    # the ranges' sample, which the driver holds, has the beginnings of texts only
+    rows = rows.repartitionByRange(*keys[:-1], F.substring("text", 1, 32)).sortWithinPartitions(*keys).withColumn("pos", F.monotonically_increasing_id())
     rows = settle(rows.withColumn("tokens", F.regexp_count("raw", F.lit(PIECES)) + TURN_TOKENS).drop("raw"))
     rows = rows.withColumn("part", F.shiftright("pos", 33))
     order = Window.partitionBy("conv_id").orderBy("part")
