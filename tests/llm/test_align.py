@@ -18,7 +18,6 @@ def brute(texts):
     t = Tokenizer.from_file(PATHS[0])
     t.encode_special_tokens = True
     sp = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    from tokenizers.decoders import ByteLevel
     rows, count = [], Counter()
     for text in texts:
         if not text:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.session import checkpoint_dir
+from tidewater.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to a table in the shared checkpoint
     folder and read it again.  A file has its true size for the planner, where
-    a chain of checkpoints would multiply its estimates with every join."""
+    a chain of checkpoints would multiply its estimates with every join.  The
+    table is deleted when the application ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewater.llm import wordhash as H
-from tidewater.llm.common import checkpoint_dir, id_text, settle
+from tidewater.llm.common import id_text, settle
+from tidewater.session import scratch_path
 
 HASHES = 160            # positions of a signature
 BAND_HASHES = 125       # of which bands are made
@@ -248,7 +248,7 @@ def components(links: DataFrame) -> DataFrame:
     sizes, where a chain of checkpoints would multiply the planner's estimates
     with every join."""
     spark = links.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "components")
 
     def put(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")

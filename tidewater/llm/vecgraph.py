@@ -46,7 +46,7 @@ from tidewater.llm.neardup import components, forest
 
 CELL, SHARD, OVERLAP = 256, 1024, 3
 NEAR, DEGREE, ALPHA = 48, 16, 1.2
-EF, EXPAND, CHUNK = 24, 6, 256
+EF, EXPAND, CHUNK = 24, 12, 256
 AUDIT, RECALL = 64, 0.95
 POINTS = 4096           # rows compared with the centres of a group in one task
 
