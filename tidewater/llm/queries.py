@@ -116,6 +116,18 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+ORACLE["op11_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS r, b.r AS s FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.s FROM reach JOIN links ON reach.s = links.r),
+comp AS (SELECT reach.r, min(w.vec_id) AS component_id FROM reach JOIN v w ON reach.s = w.r GROUP BY reach.r)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN comp USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM links GROUP BY r) USING (r)
+"""
+
+
 @query
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -126,6 +138,36 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.families(table(spark, sf_dir, "conversations"))
 
 
+# prefixes as strings of turns with their lengths in front; a node's ancestors
+# lie on its smallest member's path
+ORACLE["op13_prefix_trie"] = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+              lambda s, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END + k, xor(s, b)),
+              CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+          FROM (SELECT DISTINCT c FROM t)),
+begun AS (SELECT convs.c, b.pos AS depth, role, text FROM convs JOIN t b ON b.c = base AND b.pos <= h),
+took AS (SELECT convs.c, h, count(depth) AS n FROM convs LEFT JOIN begun USING (c) GROUP BY convs.c, h),
+turns AS (SELECT * FROM begun UNION ALL SELECT t.c, n + pos - h, role, text FROM t JOIN took USING (c) WHERE pos > h),
+paths AS (SELECT c, depth, strlen(text) AS size,
+                 string_agg(len(role) || ':' || role || len(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY c ORDER BY depth) AS p FROM turns
+          UNION ALL SELECT c, 0, 0, '' FROM convs),
+lens AS (SELECT c, max(depth) AS n FROM paths GROUP BY c),
+nodes AS (SELECT depth, p, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size,
+                 coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = depth), '') AS ends FROM paths JOIN lens USING (c) GROUP BY depth, p),
+up AS (SELECT s.depth, s.p, q.p AS over FROM nodes s JOIN paths q ON q.c = s.conv_id AND q.depth = s.depth - 1),
+kids AS (SELECT over AS p, depth - 1 AS depth, count(*) AS n FROM up GROUP BY over, depth),
+below AS (SELECT q.depth, q.p, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * s.size) AS saved
+          FROM nodes s JOIN paths q ON q.c = s.conv_id AND q.depth <= s.depth LEFT JOIN kids ON kids.p = s.p AND kids.depth = s.depth GROUP BY q.depth, q.p)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, x.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN below USING (depth, p) LEFT JOIN kids USING (depth, p) LEFT JOIN up USING (depth, p)
+LEFT JOIN nodes o ON o.p = up.over AND o.depth = x.depth - 1
+"""
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.keep(docs, table(spark, sf_dir, "labels"))
