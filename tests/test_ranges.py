@@ -92,3 +92,43 @@ def test_interval_join(spark):
     plan = interval_join(df, "x", b, "lo", "hi", on=["g"])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert interval_join(df, "x", b.where("false"), "lo", "hi").collect() == []
+
+
+@pytest.fixture()
+def plain_joins(spark):
+    """No join turns into a broadcast or is split at run time."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def in_one_partition(df):
+    return max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+
+
+def test_few_large_groups_are_not_brought_together(spark, plain_joins):
+    """Three groups: no row moves to find its range, and no group ends in one task."""
+    df = spark.range(6000).select("id", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("g"), ((F.col("id") * 7) % 5000).cast("double").alias("v")).repartition(6)
+    for order in (["v"], ["v", "id"]):
+        cut = R.with_ranges(df, ["g"], order, **SMALL)
+        assert "hashpartitioning(g" not in cut._jdf.queryExecution().executedPlan().toString()
+        assert in_one_partition(cut) <= 1100
+        assert cut.count() == 6000
+
+
+def test_large_and_many_groups(spark, plain_joins):
+    """One hot group and 1,100 that are just cut: the hot one's rows are dealt out, all ranks are right."""
+    rows = [(i, "hot", None, None if i % 40 == 0 else float(i * 7 % 1900), 0) for i in range(4000)]
+    rows += [(10_000 + 8 * g + k, None if g == 0 else f"g{g}", None, float((k * 5 + g) % 8 // (1 + g % 2)), k) for g in range(1100) for k in range(8)]
+    df = spark.createDataFrame(rows, "id long, g string, day timestamp_ntz, v double, extra int").repartition(8)
+    cut = R.with_ranges(df, ["g"], ["v", "id"], **SMALL)
+    assert in_one_partition(cut) <= 3200 and cut.count() == len(rows)
+    for desc in (False, True):
+        o = F.col("v").desc_nulls_last() if desc else F.col("v").asc_nulls_first()
+        same(R.percent_rank(df, ["g"], "v", "p", desc, **SMALL), df.withColumn("p", F.percent_rank().over(W.partitionBy("g").orderBy(o))), ["p"])
+    w = W.partitionBy("g").orderBy("v", "id")
+    same(R.running_total(df, ["g"], ["v", "id"], "extra", "t", **SMALL), df.withColumn("t", F.sum("extra").over(w.rowsBetween(W.unboundedPreceding, 0))), ["t"])

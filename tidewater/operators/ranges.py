@@ -9,7 +9,9 @@ order:
 2. A row's range is its place among the split points (a binary search in plain
    expressions).  Rows equal to a split point form a range of their own, which
    the next order column cuts again if it is still large: so ties are cut too.
-3. Windows run inside ranges.  What crosses a range's edge is one row per range
+3. Rows find their group's split points without meeting the rest of the group:
+   those of the few largest groups are broadcast (``attach_large``).
+4. Windows run inside ranges.  What crosses a range's edge is one row per range
    (sums, counts, edge rows), combined over the ranges of a group and joined
    back on the range.
 
@@ -29,6 +31,7 @@ from tidewater.session import checkpoint_dir
 
 ROWS = 4096             # a group of more rows is cut
 GRID, GRID_ALL = 255, 1023      # split points a group, and of a whole table, at most
+LARGEST = 1024          # a group with more than this part of all cut groups' rows is one of the largest: there are fewer
 RANGE = "__range"
 
 
@@ -70,6 +73,27 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], bounded: bool
     return join_null_safe(df, F.broadcast(per_key) if bounded else per_key, keys, "left")
 
 
+def with_share(n: DataFrame) -> DataFrame:
+    """``n`` (groups with their ``__n`` rows) with ``__large``: one of fewer than
+    ``LARGEST`` groups that may hold any share of the rows."""
+    every = F.broadcast(n.agg(F.sum("__n").alias("__every")))
+    return n.crossJoin(every).withColumn("__large", F.col("__n") * LARGEST > F.col("__every")).drop("__every")
+
+
+def attach_large(df: DataFrame, per_group: DataFrame, keys: Sequence[str], out: str, spread: Sequence[str]) -> DataFrame:
+    """Left join of ``out``, never NULL in ``per_group``, without bringing a large group's
+    rows to one task: the rows marked ``__large`` are broadcast.  Only if there are
+    others the rest is shuffled by its keys, and what has its value by then by ``spread``."""
+    large, rest = per_group.where("__large"), per_group.where("NOT __large")
+    df = join_null_safe(df, F.broadcast(large.select(*keys, out)), keys, "left")
+    if rest.isEmpty():
+        return df
+    found = F.col(out).isNotNull()
+    df = df.withColumn("__deal", F.when(found, 1 + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
+    rest = rest.select(*keys, F.lit(0).cast("long").alias("__deal"), F.col(out).alias("__other"))
+    return join_null_safe(df, rest, [*keys, "__deal"], "left").withColumn(out, F.coalesce(out, "__other")).drop("__deal", "__other")
+
+
 def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = ROWS, grid: int | None = None) -> DataFrame:
     """``df`` with ``__range``: ascending numbers of the ranges of each group."""
     keys, whole = list(keys), not keys
@@ -81,11 +105,19 @@ def with_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows:
             # the filter is on aggregates: one on the range itself would be pushed below the search and repeat it in every step
             odd = F.lit(0) if first else F.max(F.pmod(F.col(RANGE), F.lit(2)))
             n = cut_lineage(df.groupBy(*by).agg(F.count(c).alias("__n"), odd.alias("__odd")).where((F.col("__n") > rows) & (F.col("__odd") == 0)).drop("__odd"))
-            some = join_null_safe(df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*by, c])]), F.broadcast(n) if whole else n, by, "inner")
-            stats = some.groupBy(*by).agg(split_points(c, F.max("__n"), rows, grid).alias("__splits"))
+            some = df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*by, *order])])
+            if whole:       # one range a split point at most
+                some = join_null_safe(some, F.broadcast(n), by, "inner")
+            else:
+                some = attach_large(some, with_share(n), by, "__n", order).where(F.col("__n").isNotNull())
+            stats = some.withColumnRenamed("__n", "__of").groupBy(*by).agg(F.max("__of").alias("__n"), split_points(c, F.max("__of"), rows, grid).alias("__splits"))
         else:
             stats = df.agg(split_points(c, F.count(c), rows, grid).alias("__splits"))
-        df = attach(df, cut_lineage(stats), by, bounded=whole)
+        stats = cut_lineage(stats)
+        if whole:
+            df = attach(df, stats.drop("__n"), by, bounded=True)
+        else:
+            df = attach_large(df, with_share(stats), by, "__splits", order)
         df = place(df, c, "__splits", grid, "__at")
         at_split = F.get("__splits", F.col("__at") - 1) == F.col(c)
         here = F.when(F.col(c).isNull(), F.lit(-1)).otherwise(2 * F.col("__at") + F.when(at_split, 0).otherwise(1))
