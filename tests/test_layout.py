@@ -41,3 +41,24 @@ def test_layout_follows_the_data(spark, scratch):
     spark.range(70).withColumnRenamed("id", "k").write.mode("overwrite").parquet(path)
     assert clustered(spark, path, "k", 4).count() == 70
     assert clustered(spark.newSession(), path, "k", 4).count() == 70
+
+
+def test_layout_holds_the_columns_asked_for(spark, scratch):
+    path = f"{scratch}/t"
+    spark.range(50).selectExpr("id % 7 AS k", "id AS a", "id * 2 AS b", "CAST(id AS STRING) AS c").write.parquet(path)
+    part = clustered(spark, path, "k", 4, columns=["b", "a"])
+    assert sorted(part.columns) == ["a", "b", "k"] == sorted(spark.read.parquet(*part.inputFiles()).columns)
+    assert sorted(map(tuple, part.select("k", "a", "b").collect())) == sorted((i % 7, i, i * 2) for i in range(50))
+    assert clustered(spark, path, "k", 4, columns=["a", "b"]).inputFiles() == part.inputFiles()
+    whole = clustered(spark, path, "k", 4)
+    assert sorted(whole.columns) == ["a", "b", "c", "k"] and whole.inputFiles() != part.inputFiles()
+
+
+def test_queries_lay_out_what_they_read(spark):
+    """Columns that no step of a query reads are neither shuffled nor written."""
+    load_all()
+    for name, most in (("clustered_panel_lines", {"l_extendedprice", "l_discount", "l_tax", "o_custkey", "o_orderdate"}),
+                       ("clustered_order_features", {"l_quantity", "l_discount", "l_tax", "l_extendedprice", "o_totalprice"})):
+        files = [f for f in QUERIES[name](spark, SF).inputFiles() if "/clustered_" in f]
+        laid = {c for f in files for c in spark.read.parquet(f).columns}
+        assert files and laid == {"l_orderkey", "o_orderkey", *most}

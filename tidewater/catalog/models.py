@@ -40,7 +40,8 @@ def clustered_order_features(spark, root):
     from pyspark.sql import functions as F
     from tidewater.sources.layout import clustered
     t = Tables(spark, root)
-    f = ML.order_features(clustered(spark, t.path("lineitem"), "l_orderkey"), clustered(spark, t.path("orders"), "o_orderkey"))
+    f = ML.order_features(clustered(spark, t.path("lineitem"), "l_orderkey", columns=["l_quantity", "l_discount", "l_tax", "l_extendedprice"]),
+                          clustered(spark, t.path("orders"), "o_orderkey", columns=["o_totalprice"]))
     return f.select("l_orderkey", "n_lines", F.round("quantity", 6).alias("quantity"), F.round("gross", 2).alias("gross"), "label")
 
 

@@ -122,8 +122,9 @@ def clustered_panel_lines(spark, root):
     from dataclasses import replace
     from tidewater.sources.layout import clustered
     t = Tables(spark, root)
-    return SH.line_values(replace(star(spark, root), lineitem=clustered(spark, t.path("lineitem"), "l_orderkey"),
-                                  orders=clustered(spark, t.path("orders"), "o_orderkey")))
+    return SH.line_values(replace(
+        star(spark, root), lineitem=clustered(spark, t.path("lineitem"), "l_orderkey", columns=["l_extendedprice", "l_discount", "l_tax"]),
+        orders=clustered(spark, t.path("orders"), "o_orderkey", columns=["o_custkey", "o_orderdate"])))
 
 
 @register("panel_merge", _SHEETS + " SELECT * FROM panel")

@@ -8,6 +8,7 @@ single query shuffles less than it would write.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,21 @@ def _state(spark: SparkSession, path: str) -> str:
     return "\n".join(sorted(out))
 
 
-def clustered(spark: SparkSession, path: str, key: str, buckets: int | None = None) -> DataFrame:
+def clustered(spark: SparkSession, path: str, key: str, buckets: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The Parquet table at ``path``, bucketed and sorted by ``key``.  The first
     call of an application writes it (one shuffle, one file a bucket); later
     calls, in any session, read it.  Tables with equal ``buckets`` (default:
-    the shuffle partitions) join on their keys without an exchange."""
+    the shuffle partitions) join on their keys without an exchange.  Only the key
+    and ``columns`` (default: all) are shuffled and written; calls with the same
+    columns share a layout."""
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    mark = hashlib.sha256(f"{path} {key} {buckets} {_state(spark, path)}".encode()).hexdigest()[:24]
+    columns = None if columns is None else sorted({key, *columns})
+    mark = hashlib.sha256(f"{path} {key} {buckets} {columns} {_state(spark, path)}".encode()).hexdigest()[:24]
     name = f"clustered_{mark}"
     if not spark.catalog.tableExists(name):
         df = spark.read.parquet(path)
+        if columns:
+            df = df.select(*[f"`{c}`" for c in columns])
         (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet")
          .option("path", scratch_path(spark, name)).saveAsTable(name))
     return spark.table(name)
